@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundloom.llm import bpe, scratch, token_files
+from groundloom.llm import bpe, chat_format, embedding_dedup, fingerprints, language_id, line_dedup, mixing, scratch, secret_scan, simhash, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_BPE_SIZE = 50_257
 
 
@@ -23,16 +25,140 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, out, ids=False)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(_read(spark, sf_dir, "conversations"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"), BYTE_BPE_RANKS, public_tokenizers.PATTERN)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    sized = scratch.table(docs, "sizes")
+    return mixing.assign(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (op1_token_files, op2_chat_format, op3_secret_scan, op4_language_id, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_bpe_round_trip, op9_mixing, op10_fingerprints)
+    return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
     return {
-        "op1_token_files": op1_token_files,
-        "op8_bpe_round_trip": op8_bpe_round_trip,
+        "op2_chat_format": CHAT_FORMAT,
+        "op6_line_dedup": LINE_DEDUP,
+        "op7_embedding_dedup": EMBEDDING_DEDUP,
+        "op9_mixing": MIXING,
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+CHAT_FORMAT = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM conversations),
+chained AS (
+  SELECT *, md5(string_agg(md5(role || chr(31) || text), ',') OVER (PARTITION BY conv_id ORDER BY place)) AS h FROM turns),
+whole AS (
+  SELECT n_turns, h, min(conv_id) AS conv_id, count(*) AS n_logged FROM chained WHERE place = n_turns GROUP BY n_turns, h),
+kept AS (
+  SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM chained c WHERE c.place < c.n_turns AND c.place = w.n_turns AND c.h = w.h))
+SELECT k.conv_id, k.n_turns, k.n_logged,
+  string_agg('<|im_start|>' || t.role || chr(10) || replace(t.text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY t.place) AS rendered
+FROM kept k JOIN turns t ON t.conv_id IS NOT DISTINCT FROM k.conv_id
+GROUP BY k.conv_id, k.n_turns, k.n_logged
+"""
+
+LINE_DEDUP = """
+WITH each AS (
+  SELECT doc_id, source, line, trim(line, ' ' || chr(9) || chr(13)) AS core, place FROM (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+    FROM documents WHERE text IS NOT NULL)),
+shared AS (
+  SELECT core, min(doc_id) AS first FROM each WHERE core <> '' GROUP BY core HAVING count(DISTINCT coalesce(source, '')) >= 5),
+marked AS (
+  SELECT e.*, s.core IS NOT NULL AND NOT (e.doc_id = s.first AND e.place = min(e.place) OVER (PARTITION BY e.doc_id, e.core)) AS gone
+  FROM each e LEFT JOIN shared s USING (core)),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, sha256(k.text) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT m.vec_id, coalesce(c.n_links, 0) AS n_links, l.component_id, m.vec_id = l.component_id AS kept
+FROM embeddings m JOIN least l ON l.a = m.vec_id LEFT JOIN counts c ON c.a = m.vec_id
+"""
+
+MIXING = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM docs GROUP BY source),
+ranked AS (
+  SELECT *, 3 * source_size AS cap, row_number() OVER w AS place,
+    sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_left
+  FROM per WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
+free AS (
+  SELECT place, rest, weight_left FROM ranked WHERE cap * weight_left >= rest * weight ORDER BY place LIMIT 1),
+targets AS (
+  SELECT r.source, r.source_size, CASE WHEN r.place < f.place THEN r.cap::DOUBLE ELSE (f.rest * r.weight)::DOUBLE / f.weight_left::DOUBLE END AS target
+  FROM ranked r, free f),
+placed AS (
+  SELECT d.*, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start,
+    floor(t.target + 0.5)::BIGINT AS budget
+  FROM docs d JOIN targets t ON t.source IS NOT DISTINCT FROM d.source),
+epochs AS (
+  SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS full_epochs FROM placed)
+SELECT doc_id, size, source_size, target,
+  (full_epochs * size + least(greatest(budget - full_epochs * source_size - start, 0), size))::BIGINT AS taken
+FROM epochs
+"""

@@ -1,17 +1,18 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL functions.
+"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame operations.
 
-A text is cut into paragraphs: lines, and the sentences and stretches of at most 120 characters of a line. Its
-fingerprint is a sketch of their distinct digests: 3 tables of cells, each the number, exclusive or and check
+A text is cut into paragraphs: lines, or stretches of a line that end with the sentence after 80 characters. Its
+fingerprint is a sketch of their distinct digests: 4 tables of cells, each the number, exclusive or and check
 of the digests that hash there. Two sketches are subtracted cell by cell; what both texts share cancels, and
-cells that hold one digest are peeled off until the differing digests are all known. If that fails, as it must
-if more differ than there are cells, larger sketches of both texts are tried, and again, larger, with other
-hashes; what still fails is compared digest by digest. The likeness of two texts is
-the share of their digests that both have (empty texts are alike).
-
-The sketches of a row are arrays in that row. The text of each document moves once, to meet the head of the
-next one. Null text counts as empty; a null id comes first; rows of equal id are ordered by a hash of their
-text, and rows of equal id and text are one document that comes as often as it is given. An empty table gives
-no rows; other columns are ignored.
+cells that hold one digest are peeled off, table by table, until the differing digests are all known. If that
+fails, as it must if more differ than there are cells, a sketch sized by the two texts is peeled with other
+hashes; the few pairs where that fails too are compared digest by digest. The likeness of two texts is the
+share of their digests that both have (empty texts are alike).
+
+Cells are rows, dealt out by document. The text of each document moves once, to meet the head of the next
+one; all sketches and all rounds of peeling are sums by document and cell within that partitioning. Null text
+counts as empty; a null id comes first; rows of equal id are ordered by a hash of their text, and rows of
+equal id and text are one document that comes as often as it is given. An empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,125 +22,133 @@ from pyspark.sql import functions as F
 
 from groundloom.llm import scratch
 
-PARAGRAPH = r"[^\n.!?]{1,120}[.!?\s]*"
-TABLES, CELLS, ROUNDS = 3, 10, 24
-#: Of retries: cells of a table for each digest of the two texts, and the seed of the hashes.
-RETRIES = ((0.6, 1), (1.2, 2))
-#: Texts of more digests together are compared digest by digest at once: peeling copies the list of cells for each cell.
-LARGEST = 50_000
+PARAGRAPH = r"[^\n]{1,80}[^\n.!?]{0,120}[.!?\s]*"
+#: Tables of a sketch; cells of each in a fingerprint.
+TABLES, CELLS = 4, 8
+#: Of a retry: cells of a table for each digest of the two texts.
+PER_DIGEST = 0.45
+#: Times that each table is peeled.
+CYCLES = 3
 FIRST = -(2**63)
+DOC = ["d", "h"]
+#: A cell: of a document's pair of texts, the sketch's level and size, its place (-1: a digest that is known, and which).
+CELL = [*DOC, "pair", "level", "size", "cell", "known"]
 
 
 def digests(text: Column) -> Column:
-    """The distinct paragraph digests of a text."""
+    """The paragraph digests of a text, in order."""
     found = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(F.transform(found, lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    return F.transform(F.filter(F.transform(found, lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != ""), lambda p: F.xxhash64(p))
 
 
-def _check(key: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(100 + seed), key), 32)
+def _check(k: Column, level: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("check"), level, k), 32)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once however often body uses it."""
-    return F.transform(F.array(value), body)[0]
+def _place(k: Column, level: Column, size: Column, table: int) -> Column:
+    """The cell of a table that a digest hashes to."""
+    return (F.pmod(F.xxhash64(F.lit(table), level, k), size) + size * table).cast("int")
 
 
-def _cell(c: Column, n: Column, k: Column, h: Column) -> Column:
-    return F.struct(c.cast("bigint").alias("c"), n.cast("bigint").alias("n"), k.alias("k"), h.alias("h"))
+def _items(texts: DataFrame) -> DataFrame:
+    """d, h, side and k: the distinct digests of each document's text (0), edited text (1) and next text (2).
 
+    all_1 and all_2 are the paragraphs of the text and of the other one, repeats counted.
+    """
 
-def _in_cells(k: Column, n: Column, h: Column, size: Column, seed: int) -> Column:
-    """A digest as it stands in its cell of each table."""
-    return F.array(*(_cell(F.pmod(F.xxhash64(F.lit(10 * seed + t), k), size) + size * t, n, k, h) for t in range(TABLES)))
-
-
-def _items(keys: Column, sign: int, size: Column, seed: int) -> Column:
-    return F.flatten(F.transform(keys, lambda k: _in_cells(k, F.lit(sign), _check(k, seed), size, seed)))
-
+    def side(column: str, number: int) -> Column:
+        return F.transform(column, lambda k: F.struct(F.lit(number).alias("side"), k.alias("k")))
 
-def combine(items: Column) -> Column:
-    """The cells of items: in the order of cells, those of one cell added up; cells that cancel are left out."""
+    sizes = [(F.size("own") + F.size(c)).alias(f"all_{i}") for i, c in ((1, "edited"), (2, "next"))]
+    each = texts.select(*DOC, *sizes, F.explode(F.concat(side("own", 0), side("edited", 1), side("next", 2))).alias("x"))
+    return each.select(*DOC, "all_1", "all_2", "x.side", "x.k").distinct()
 
-    def closed(a: Column) -> Column:
-        cancels = (a["n"] == 0) & (a["k"] == 0) & (a["h"] == 0)
-        return F.when(cancels, a["done"]).otherwise(F.array_append(a["done"], _cell(a["c"], a["n"], a["k"], a["h"])))
 
-    def state(done: Column, c: Column, n: Column, k: Column, h: Column) -> Column:
-        return F.struct(done.alias("done"), c.alias("c"), n.alias("n"), k.alias("k"), h.alias("h"))
+def _drawn(items: DataFrame) -> DataFrame:
+    """Cells of fingerprint sketches, with the sums of each side."""
+    level, size = F.lit(0), F.lit(CELLS)
+    each = items.withColumns({"cell": F.explode(F.array(*(_place(F.col("k"), level, size, t) for t in range(TABLES)))), "check": _check(F.col("k"), level)})
+    sums = []
+    for i in range(3):
+        mine = F.col("side") == i
+        sums += [F.sum(mine.cast("bigint")).alias(f"n{i}"), F.bit_xor(F.when(mine, F.col("k")).otherwise(0)).alias(f"k{i}"), F.bit_xor(F.when(mine, F.col("check")).otherwise(0)).alias(f"c{i}")]
+    return each.groupBy(*DOC, "cell").agg(*sums)
 
-    def step(a: Column, x: Column) -> Column:
-        more = state(a["done"], a["c"], a["n"] + x["n"], a["k"].bitwiseXOR(x["k"]), a["h"].bitwiseXOR(x["h"]))
-        return F.when(a["c"] == x["c"], more).otherwise(state(closed(a), x["c"], x["n"], x["k"], x["h"]))
 
-    zero = F.lit(0).cast("bigint")
-    none = F.array().cast("array<struct<c:bigint,n:bigint,k:bigint,h:bigint>>")
-    return F.aggregate(F.sort_array(items), state(none, F.lit(-1).cast("bigint"), zero, zero, zero), step, closed)
+def _row(pair, level, size, cell, known, n, k, c) -> Column:
+    values = {"pair": (pair, "int"), "level": (level, "int"), "size": (size, "int"), "cell": (cell, "int"), "known": (known, "bigint"), "n": (n, "bigint"), "k": (k, "bigint"), "c": (c, "bigint")}
+    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).cast(kind).alias(name) for name, (v, kind) in values.items()))
 
 
-def sketch(keys: Column, size: Column | int = CELLS, seed: int = 0) -> Column:
-    return combine(_items(keys, 1, size if isinstance(size, Column) else F.lit(size), seed))
+def _summed(rows: DataFrame) -> DataFrame:
+    """Rows of one cell added up; cells that cancel are left out."""
+    cells = rows.groupBy(*CELL).agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    return cells.where("n != 0 OR k != 0 OR c != 0")
 
 
-def subtract(ours: Column, theirs: Column) -> Column:
-    return combine(F.concat(ours, F.transform(theirs, lambda x: _cell(x["c"], -x["n"], x["k"], x["h"]))))
+def _subtracted(items: DataFrame) -> DataFrame:
+    """Cells of the fingerprint sketches' differences (level 0) and of the retries' (level 1), for pairs 1 and 2."""
+    n, level = F.when(F.col("side") == 0, 1).otherwise(-1), F.col("level")
+    pairs = F.filter(F.array(F.lit(1), F.lit(2)), lambda p: (F.col("side") == 0) | (F.col("side") == p))
+    each = items.withColumn("pair", F.explode(pairs)).withColumn("level", F.explode(F.array(F.lit(0), F.lit(1))))
+    wide = (F.ceil(F.lit(PER_DIGEST) * F.when(F.col("pair") == 1, F.col("all_1")).otherwise(F.col("all_2"))) + CELLS).cast("int")
+    each = each.withColumn("size", F.when(level == 0, CELLS).otherwise(wide)).withColumn("check", _check(F.col("k"), level))
+    places = F.array(*(_row(F.col("pair"), level, F.col("size"), _place(F.col("k"), level, F.col("size"), t), 0, n, F.col("k"), F.col("check")) for t in range(TABLES)))
+    return _summed(each.select(*DOC, F.explode(places).alias("x")).select(*DOC, "x.*"))
 
 
-def _sign(n: int):
-    return lambda x: x["n"] == n
+def _peeled_table(cells: DataFrame, table: int) -> DataFrame:
+    """Cells of the table that hold one digest give it up: it is known, and taken from the other tables.
 
+    A digest is in one cell of a table, so it cannot be taken twice.
+    """
+    k, level, size, n = (F.col(x) for x in ("k", "level", "size", "n"))
+    pure = (F.abs(n) == 1) & (F.floor(F.col("cell") / size) == table) & (F.col("c") == _check(k, level))
+    same = (F.col("pair"), level, size)
+    others = [_row(*same, _place(k, level, size, t), 0, -n, k, F.col("c")) for t in range(TABLES) if t != table]
+    given = F.array(_row(*same, -1, k, n, 0, 0), *others)
+    stays = F.array(_row(*same, F.col("cell"), F.col("known"), n, k, F.col("c")))
+    return _summed(cells.select(*DOC, F.explode(F.when(pure, given).otherwise(stays)).alias("x")).select(*DOC, "x.*"))
 
-def peel(cells: Column, size: Column | int = CELLS, seed: int = 0) -> Column:
-    """struct(cells, ours, theirs): the differing digests, all of them if no cell is left."""
-    size = size if isinstance(size, Column) else F.lit(size)
 
-    def step(a: Column, _: Column) -> Column:
-        def without(single: Column) -> Column:
-            taken = F.flatten(F.transform(single, lambda x: _in_cells(x["k"], -x["n"], x["h"], size, seed)))
-            known = [F.concat(a[side], F.transform(F.filter(single, _sign(n)), lambda x: x["k"])).alias(side) for side, n in (("ours", 1), ("theirs", -1))]
-            return F.when(F.size(single) > 0, F.struct(combine(F.concat(a["cells"], taken)).alias("cells"), *known)).otherwise(a)
+def differences(texts: DataFrame) -> DataFrame:
+    """d, h, pair, level, n and known: the differing digests (n 1: of the text, -1: of the other); rows of cell 0 or more are left unpeeled."""
+    cells = _subtracted(_items(texts))
+    for _ in range(CYCLES):
+        for table in range(TABLES):
+            cells = _peeled_table(cells, table)
+    return cells
 
-        single = F.filter(a["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"], seed)))
-        alone = F.array_distinct(F.transform(single, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["h"].alias("h"))))
-        return F.when(F.size(a["cells"]) > 0, _let(alone, without)).otherwise(a)
 
-    none = F.array().cast("array<bigint>")
-    start = F.struct(cells.alias("cells"), none.alias("ours"), none.alias("theirs"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+def _counts(texts: DataFrame) -> DataFrame:
+    """d, h and the number of differing digests of pairs 1 and 2 at levels 0 and 1, null if some are not known."""
 
+    def of(pair: int, level: int) -> Column:
+        mine = (F.col("pair") == pair) & (F.col("level") == level)
+        left = F.sum(F.when(mine & (F.col("cell") >= 0), 1).otherwise(0))
+        return F.when(left == 0, F.sum(F.when(mine, 1).otherwise(0))).alias(f"d{pair}{level}")
 
-def _known(peeled: Column) -> Column:
-    """The number of differing digests, null if some are not known."""
-    return _let(peeled, lambda p: F.when(F.size(p["cells"]) == 0, F.size(p["ours"]) + F.size(p["theirs"])))
+    return differences(texts).groupBy(*DOC).agg(*(of(p, v) for p in (1, 2) for v in (0, 1)))
 
 
-def _retry(ours: Column, theirs: Column, per_digest: float, seed: int) -> Column:
-    """The number of differing digests by larger sketches of both texts."""
-    size = F.ceil(F.lit(per_digest) * (F.size(ours) + F.size(theirs))) + CELLS
+def _shown(texts: DataFrame) -> DataFrame:
+    """d, h and both fingerprints: the hex digits of each cell's place, number, digests and check, empty cells left out."""
 
-    def one(n: Column) -> Column:
-        return _known(peel(subtract(sketch(ours, n, seed), sketch(theirs, n, seed)), n, seed))
+    def show(i: int) -> Column:
+        full = F.filter("cells", lambda x: x[f"n{i}"] > 0)
+        one = lambda x: F.concat(*(F.lpad(F.hex(x[c]), n, "0") for c, n in (("cell", 2), (f"n{i}", 4), (f"k{i}", 16), (f"c{i}", 8))))
+        return F.lower(F.array_join(F.transform(full, one), ""))
 
-    return _let(size, one)
+    cells = _drawn(_items(texts)).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("cell", *(f"{c}{i}" for i in (0, 1) for c in "nkc")))).alias("cells"))
+    return cells.select(*DOC, show(0).alias("fingerprint"), show(1).alias("edited_fingerprint"))
 
 
-def likeness(docs: DataFrame, ours: str, theirs: str, ours_sketch: str, theirs_sketch: str, name: str) -> DataFrame:
-    """docs with `name`: the share of digests in both, from the sketches' difference, or larger ones' where that fails."""
+def _likeness(ours: str, theirs: str, pair: int) -> Column:
+    """Of two arrays of distinct digests by their sketches' difference; where no sketch could be peeled, digest by digest."""
     both = F.size(ours) + F.size(theirs)
-    found = docs.withColumn("__d", _known(peel(subtract(F.col(ours_sketch), F.col(theirs_sketch)))))
-    for per_digest, seed in RETRIES:
-        again = F.when(both <= LARGEST, _retry(F.col(ours), F.col(theirs), per_digest, seed))
-        found = found.withColumn("__d", F.when(F.col("__d").isNotNull(), F.col("__d")).otherwise(again))
     exact = F.size(F.array_except(ours, theirs)) + F.size(F.array_except(theirs, ours))
-    found = found.withColumn("__d", F.when(F.col("__d").isNotNull(), F.col("__d")).otherwise(exact))
-    share = F.when(both == 0, F.lit(1.0)).otherwise((both - F.col("__d")) / (both + F.col("__d")))
-    return found.withColumn(name, share.cast("double")).drop("__d")
-
-
-def show(cells: Column) -> Column:
-    """A sketch as text: the hex digits of each cell's place, number, digests and check."""
-    one = lambda x: F.concat(*(F.lpad(F.hex(x[c]), n, "0") for c, n in zip("cnkh", (2, 4, 16, 8), strict=True)))
-    return F.lower(F.array_join(F.transform(cells, one), ""))
+    d = F.when(F.col(f"d{pair}0").isNotNull(), F.col(f"d{pair}0")).when(F.col(f"d{pair}1").isNotNull(), F.col(f"d{pair}1")).otherwise(exact)
+    return F.when(both == 0, F.lit(1.0)).otherwise(((both - d) / (both + d)).cast("double"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -165,15 +174,24 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all, of the next document.
     """
     text = F.coalesce(text_col, F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST)).alias("d"), text.alias("text"), F.xxhash64(text).alias("h"))
-    near = scratch.table(neighbours(rows.select("d", "h", F.length("text").alias("chars"))), "neighbours")
-    placed = rows.join(near, ["d", "h"])
-    heads = placed.select(F.col("prev_d").alias("d"), F.col("prev_h").alias("h"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), digests(F.col("text")).alias("next_keys"))
-    heads = heads.dropDuplicates(["d", "h"])
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    near = scratch.table(neighbours(rows.select(*DOC, F.length("text").alias("chars"))), "neighbours")
+    placed = rows.join(near, DOC)
+    head = F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int"))
+    heads = placed.select(F.col("prev_d").alias("d"), F.col("prev_h").alias("h"), head.alias("head"), F.array_distinct(digests(F.col("text"))).alias("next"))
     n = F.length("text")
-    met = placed.join(heads, ["d", "h"]).select("doc_id", n.cast("bigint").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head")).alias("edited"), "next_keys")
-    keyed = met.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
-    drawn = keyed.select("*", *(sketch(F.col(k)).alias(s) for k, s in (("keys", "own"), ("edited_keys", "changed"), ("next_keys", "next"))))
-    drawn = likeness(drawn, "keys", "edited_keys", "own", "changed", "near_edited")
-    drawn = likeness(drawn, "keys", "next_keys", "own", "next", "near_next")
-    return drawn.select("doc_id", "n_chars", "edited_sha256", show(F.col("own")).alias("fingerprint"), show(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next")
+    changed = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head"))
+    met = placed.select(*DOC, "text").join(heads.dropDuplicates(DOC), DOC).select(*DOC, "text", changed.alias("changed"), "next")
+    texts = met.select(*DOC, F.array_distinct(digests(F.col("text"))).alias("own"), F.array_distinct(digests(F.col("changed"))).alias("edited"), "next")
+    shown = met.select(*DOC, n.cast("bigint").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"), F.array_distinct(digests(F.col("text"))).alias("own"), F.array_distinct(digests(F.col("changed"))).alias("edited"), "next")
+    # Texts without paragraphs have no cells; texts alike have no differing ones.
+    found = shown.join(_shown(texts), DOC, "left").join(_counts(texts), DOC, "left")
+    none = F.lit("")
+    return found.select(
+        F.when(F.col("d") != FIRST, F.col("d")).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.coalesce("fingerprint", none).alias("fingerprint"),
+        F.coalesce("edited_fingerprint", none).alias("edited_fingerprint"),
+        _likeness("own", "edited", 1).alias("near_edited"), _likeness("own", "next", 2).alias("near_next"),
+    )

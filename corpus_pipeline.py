@@ -1,13 +1,76 @@
-"""A training corpus from the documents table: stages in order, each a written table."""
+"""A training corpus from the documents table, by five operators of groundloom.llm, each stage a written table.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
+Null text or source, null and repeated ids and empty tables go through as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundloom.llm import bpe, language_id, line_dedup, mixing, scratch, simhash
 
-STAGES: list = []
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: SQL for run()'s rows: none, as the first stage trains a network.
 ORACLE_SQL = None
 
 
+def _lengths(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which the network sees a language; text without a letter and null text goes."""
+    names = docs.columns
+    found = language_id.predict(docs, language_id.fit(docs), keep=[c for c in names if c != "doc_id"], id_col="doc_id")
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*names)
+
+
+def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sources share; those of which nothing is left go."""
+    found = line_dedup.dedup(docs)
+    empty = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")
+    return _lengths(found.where(~F.coalesce(empty, F.lit(False))).select(*docs.columns))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest id.
+
+    Rows of one id are one document. Rows without an id all stay, but for repeats of one text.
+    """
+    groups = simhash.near_duplicates(docs)
+    kept = scratch.table(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for."""
+    return _lengths(mixing.mix(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, token_ids and n_tokens of each mixed document; the ids decode to its text."""
+    found = bpe.encode(docs, BYTE_BPE, keep=["lang", "source"])
+    return found.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("line dedup", unshared_lines),
+    ("SimHash near-dedup", one_of_each_group),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding", tokens),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages to documents; each reads the Parquet that the one before it wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.table(docs, f"stage-{k}")
     return docs

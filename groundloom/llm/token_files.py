@@ -18,11 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundloom.llm import scratch
 from groundloom.llm.pretokens import TextEncoder
 
 BLOCKS = "shard int, block int, first_token bigint, n_tokens int, bits int, packed binary, doc_ids array<bigint>, doc_tokens array<int>"
@@ -72,61 +70,72 @@ def library_encoder(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
+def _shard_bounds(docs: DataFrame, id_col: str) -> np.ndarray:
+    """Document ids that part the table into a few shards for each shuffle partition; as many numbers as shards."""
+    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [k / shards for k in range(1, shards)]
+    found = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), at, 20 * shards)).first()[0]
+    return np.unique(np.array(found or [], np.int64))
+
+
 def _encoded(docs: DataFrame, path: str, end_id: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """shard, doc_id, n_tokens and packed ids of each document."""
+    bounds = _shard_bounds(docs, id_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
         for batch in batches:
             ids, counts = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum(counts)
             packed = [pack(np.append(ids[e - n : e], end_id), bits) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "packed"])
+            first = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+            shard = np.searchsorted(bounds, first, "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), pa.array(counts + 1), pa.array(packed, pa.binary())], names=["shard", "doc_id", "n_tokens", "packed"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, packed binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "shard int, doc_id bigint, n_tokens bigint, packed binary")
 
 
 def _blocks(ordered: DataFrame, bits: int, block_tokens: int) -> DataFrame:
-    """Each partition of ordered documents is a shard; its documents' ids are laid end to end and cut into blocks."""
+    """The ids of a shard's documents are laid end to end and cut into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, first, held, ids = TaskContext.get().partitionId(), 0, 0, [], []
+        shard, block, first, held, ids, size = None, 0, 0, [], [], 0
 
         def row() -> pa.RecordBatch:
-            nonlocal block, first, held, ids
-            n = sum(k for _, k in held)
-            row = {"shard": shard, "block": block, "first_token": first, "n_tokens": n, "bits": bits, "packed": pack(np.concatenate(ids), bits), "doc_ids": [d for d, _ in held], "doc_tokens": [k for _, k in held]}
-            block, first, held, ids = block + 1, first + n, [], []
+            nonlocal block, first, held, ids, size
+            row = {"shard": shard, "block": block, "first_token": first, "n_tokens": size, "bits": bits, "packed": pack(np.concatenate(ids), bits), "doc_ids": [d for d, _ in held], "doc_tokens": [k for _, k in held]}
+            block, first, held, ids, size = block + 1, first + size, [], [], 0
             return pa.RecordBatch.from_pylist([row], schema)
 
-        size = 0
         for batch in batches:
-            for doc, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for of, doc, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (of != shard or size >= block_tokens):
+                    yield row()
+                if of != shard:
+                    shard, block, first = of, 0, 0
                 held.append((doc, n))
                 ids.append(unpack(packed, bits, 0, n))
                 size += n
-                if size >= block_tokens:
-                    yield row()
-                    size = 0
         if held:
             yield row()
 
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int32()), ("bits", pa.int32()), ("packed", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32()))])
-    return ordered.mapInArrow(run, BLOCKS)
+    return ordered.select("shard", "doc_id", "n_tokens", "packed").mapInArrow(run, BLOCKS)
 
 
 def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, vocabulary_size: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 65_536) -> None:
     """Encodes documents and writes a file set to the new folder `out`.
 
-    Encoding runs once, on the partitions as read; only packed ids are dealt out by range of document id.
+    Shards are ranges of document ids. Encoding runs once, on the partitions as read, and only packed ids
+    are dealt out.
     """
     bits = bits_for(max(vocabulary_size, end_id + 1))
     spark = docs.sparkSession
-    encoded = scratch.table(_encoded(docs, tokenizer_path, end_id, bits, id_col, text_col), "encoded")
-    keys = ["doc_id", "n_tokens", "packed"]
-    ordered = encoded.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    encoded = _encoded(docs, tokenizer_path, end_id, bits, id_col, text_col)
+    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "packed")
     _blocks(ordered, bits, block_tokens).write.parquet(f"{out}/blocks")
-    scratch.drop(encoded)
     totals = spark.read.parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    # One row per shard: as many as partitions that wrote, whatever the rows.
+    # One row per shard: a few for each shuffle partition, whatever the rows.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"), F.col("n").alias("shard_tokens")).write.parquet(f"{out}/shards")
 

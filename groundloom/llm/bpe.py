@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundloom.llm.batches import pieces
 from groundloom.llm.pretokens import TextEncoder, gather
 
 NONE = np.iinfo(np.int64).max
@@ -125,7 +126,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, texts = encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, counts = texts.encode([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*kept, "token_ids"])
@@ -140,7 +141,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, _ = encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [vocabulary.decode(np.array(ids or [], np.int64)).decode("utf-8", "replace") for ids in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, "text"])
 
@@ -153,7 +154,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, texts = encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, counts = texts.encode([t or "" for t in batch.column(1).to_pylist()])
             of_ids, of_text, at = [], [], 0
             for n in counts.tolist():

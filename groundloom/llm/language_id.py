@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundloom.llm.batches import pieces
+
 UNKNOWN = "und"
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 24
 #: Windows that one numpy step holds.
-STEP = 256
+STEP = 128
 
 
 def held_out(doc_id: Column) -> Column:
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, per_language: int = 200, windows_each: int = 4, id_col:
     sample = given.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = {"id": [], "lang": [], "window": []}
             for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not has_letter(text):
@@ -184,17 +186,20 @@ def _scores(net: Network, texts: list[str]) -> np.ndarray:
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id_col, the columns in keep, lang_pred and score of every row, from its whole text alone."""
     kept = list(dict.fromkeys([id_col, *(keep or [])]))
+    # A kept text moves once.
+    given = kept if text_col in kept else [*kept, text_col]
+    place = given.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+        for batch in pieces(batches):
+            texts = batch.column(place).to_pylist()
             at = [k for k, t in enumerate(texts) if net is not None and has_letter(t)]
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if at:
                 found = _scores(net, [texts[k] for k in at])
                 for k, best, row in zip(at, found.argmax(axis=1).tolist(), found, strict=True):
                     names[k], scores[k] = net.languages[best], min(1.0, float(row[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*given).mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundloom.llm import bpe, chat_format, embedding_dedup, fingerprints, language_id, line_dedup, mixing, scratch, secret_scan, simhash, token_files
+from groundloom.llm.batches import keep_batches_small
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,6 +17,7 @@ BYTE_BPE_SIZE = 50_257
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    keep_batches_small(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -143,7 +143,7 @@ class TextEncoder:
     are a word of their own wherever they occur.
     """
 
-    def __init__(self, words_to_ids: Callable, special: Sequence[str] = (), keep: int = 400_000, chunk_chars: int = 1_000_000) -> None:
+    def __init__(self, words_to_ids: Callable, special: Sequence[str] = (), keep: int = 150_000, chunk_chars: int = 300_000) -> None:
         self._words_to_ids, self._special, self._keep, self._chunk = words_to_ids, tuple(special), keep, chunk_chars
         self._classes = CharClasses()
         self._clear()

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from groundloom.llm.batches import pieces
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -79,7 +81,7 @@ def scan(df: DataFrame, tokenizer_path: str, pattern: str, ratio: float = 1.6, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(tokenizer_path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             counts, digests, shown = [[], [], [], []], [], []
             for text in batch.column(1).to_pylist():
                 base = pattern_spans(text or "")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundloom.llm import scratch
+from groundloom.llm.batches import pieces
 from groundloom.llm.components import components, join_labels
 
 BITS, BLOCK = 64, 16
@@ -60,7 +61,7 @@ def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
     """doc_id, fp (a signed 64-bit integer) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps = pa.array([text_fingerprint(t, width) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
 

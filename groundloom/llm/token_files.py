@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundloom.llm.batches import pieces
 from groundloom.llm.pretokens import TextEncoder
 
 BLOCKS = "shard int, block int, first_token bigint, n_tokens int, bits int, packed binary, doc_ids array<bigint>, doc_tokens array<int>"
@@ -84,7 +85,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, bits: int, id_col: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, counts = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum(counts)
             packed = [pack(np.append(ids[e - n : e], end_id), bits) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]

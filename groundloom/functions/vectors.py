@@ -21,6 +21,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def measured(v: Column) -> Column:
+    """A vector with its squared length."""
+    return F.struct(v.alias("v"), dot(v, v).alias("n"))
+
+
+def measured_cosine(a: Column, b: Column) -> Column:
+    return F.try_divide(dot(a["v"], b["v"]), F.sqrt(a["n"] * b["n"]))
+
+
 def letter_counts(x: Column) -> Column:
     """A deterministic embedder: how often each of a-z occurs."""
     return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(x) - F.length(F.replace(x, F.char(i)))).cast("double"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundloom.config import MatchConfig
 from groundloom.functions.text import contains_words, normalize, word_runs
-from groundloom.functions.vectors import Embedder, cosine
+from groundloom.functions.vectors import Embedder, measured, measured_cosine
 
 
 def union_entities(*graphs: DataFrame) -> DataFrame:
@@ -44,15 +44,23 @@ def part_of(v: Column, w: Column, config: MatchConfig) -> Column:
     return _guarded(shorter, config) & contains_words(longer, shorter)
 
 
-def pair_matches(v: Column, w: Column, config: MatchConfig, embed: Embedder | None = None) -> Column:
-    out = v == w
+def pair_matches(v: str, w: str, config: MatchConfig, vectors: bool = False) -> Column:
+    """Of two columns of names; with vectors their vectors are columns too, named vec_ and the name's column."""
+    out = F.col(v) == F.col(w)
     if config.allow_substring_match:
-        out |= part_of(v, w, config)
-    if embed:
-        out |= F.coalesce(cosine(embed(v), embed(w)) >= config.entity_sim_threshold, F.lit(False))
+        out |= part_of(F.col(v), F.col(w), config)
+    if vectors:
+        out |= F.coalesce(measured_cosine(F.col(f"vec_{v}"), F.col(f"vec_{w}")) >= config.entity_sim_threshold, F.lit(False))
     return out
 
 
+def with_vectors(df: DataFrame, names: list[str], embed: Embedder | None) -> DataFrame:
+    """df with vec_<name>, the vector of each name and its squared length: made once a row, before rows are paired."""
+    if not embed:
+        return df
+    return df.withColumns({f"vec_{c}": measured(embed(F.col(c))) for c in names})
+
+
 def substring_pairs(names: DataFrame, refs: DataFrame, config: MatchConfig) -> DataFrame:
     """(source_id, v, w) of names in one another.
 
@@ -86,15 +94,15 @@ def match_entities(names: DataFrame, refs: DataFrame, config: MatchConfig, embed
         found = found.unionByName(part.withColumn("method", F.lit("substring")))
         rest = rest.join(part, ["source_id", "v"], "left_anti")
     if embed:
-        near = nearest(rest.withColumn("a", embed(F.col("v"))), refs.withColumn("b", embed(F.col("w"))), ["source_id"], "v", "w")
+        near = nearest(with_vectors(rest, ["v"], embed), with_vectors(refs, ["w"], embed), ["source_id"], "v", "w")
         near = near.where(F.col("cos") >= config.entity_sim_threshold)
         found = found.unionByName(near.select("source_id", "v", F.col("w").alias("ref"), F.lit("embedding").alias("method")))
     return found
 
 
 def nearest(queries: DataFrame, refs: DataFrame, group: list[str], query: str, ref: str) -> DataFrame:
-    """The reference of the largest cosine (then the smallest) in a query's group, from vectors a and b."""
-    pairs = queries.join(refs, group).select(*group, query, ref, cosine(F.col("a"), F.col("b")).alias("cos"))
+    """The reference of the largest cosine (then the smallest) in a query's group; both sides have vectors."""
+    pairs = queries.join(refs, group).select(*group, query, ref, measured_cosine(F.col(f"vec_{query}"), F.col(f"vec_{ref}")).alias("cos"))
     best = Window.partitionBy(*group, query).orderBy(F.col("cos").desc_nulls_last(), ref)
     return pairs.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
@@ -111,13 +119,14 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFra
     for c in ("s_again", "o_again"):
         open_triples = open_triples.join(ends.withColumnRenamed("v", c), ["source_id", c], "left_semi")
     if embed:
-        agree = (F.col("r") == F.col("r2")) | F.coalesce(cosine(embed(F.col("r")), embed(F.col("r2"))) >= config.relation_sim_threshold, F.lit(False))
-        pairs = open_triples.join(ref_triples, "source_id").where(agree)
+        near = F.coalesce(measured_cosine(F.col("vec_r"), F.col("vec_r2")) >= config.relation_sim_threshold, F.lit(False))
+        left, right = with_vectors(open_triples, list("sro"), embed), with_vectors(ref_triples, ["s2", "r2", "o2"], embed)
+        pairs = left.join(right, "source_id").where((F.col("r") == F.col("r2")) | near)
     else:
         pairs = open_triples.join(ref_triples.withColumn("r", F.col("r2")), ["source_id", "r"])
 
     def both(a: str, b: str) -> Column:
-        return pair_matches(F.col("s"), F.col(a), config, embed) & pair_matches(F.col("o"), F.col(b), config, embed)
+        return pair_matches("s", a, config, embed is not None) & pair_matches("o", b, config, embed is not None)
 
     method = F.when(both("s2", "o2"), "forward")
     if config.inverse_edge_match or not config.direction_sensitive_edges:

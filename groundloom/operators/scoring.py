@@ -10,6 +10,7 @@ from groundloom.functions.metrics import cfi, complement, risk
 from groundloom.functions.text import normalize
 from groundloom.functions.vectors import Embedder
 from groundloom.operators import matching
+from groundloom.sources.staging import staged
 
 ID = ["response_id", "source_id"]
 
@@ -29,7 +30,7 @@ def score(answers: DataFrame, contexts: DataFrame, questions: DataFrame, config:
     raw = answers.select(*ID, F.explode("entities").alias("raw")).withColumn("v", normalize(F.col("raw")))
     edges = answers.select(*ID, F.explode("relations").alias("e")).select(*ID, "e", *(normalize(F.col(f"e.{c}")).alias(c) for c in "sro"))
     ends = edges.select("source_id", F.explode(F.array(normalize(F.col("s")), normalize(F.col("o")))).alias("v"))
-    matched = matching.match_entities(raw.select("source_id", "v").union(ends), refs, config, embed)
+    matched = staged(matching.match_entities(raw.select("source_id", "v").union(ends), refs, config, embed), "matched")
     aligned = matching.align_relations(edges.select("source_id", *"sro"), matching.union_relations(contexts, questions), matched, config, embed)
 
     hits = raw.join(matched, ["source_id", "v"], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundloom.config import EvalConfig, MatchConfig
 from groundloom.functions.metrics import finite, risk
-from groundloom.functions.vectors import Embedder, cosine
+from groundloom.functions.vectors import Embedder, measured_cosine
 from groundloom.operators import matching, ranking
 from groundloom.operators.prefix import spread_number
 
@@ -54,21 +54,25 @@ def threshold_sweep(answers: DataFrame, contexts: DataFrame, questions: DataFram
     """
     from groundloom.functions.text import normalize
 
+    def near(v: str, w: str) -> Column:
+        return F.coalesce(measured_cosine(F.col(f"vec_{v}"), F.col(f"vec_{w}")), F.lit(-1.0))
+
     def strength(v: str, w: str) -> Column:
         plain = F.col(v) == F.col(w)
         if match.allow_substring_match:
             plain |= matching.part_of(F.col(v), F.col(w), match)
-        return F.when(plain, 2.0).otherwise(F.coalesce(cosine(embed(F.col(v)), embed(F.col(w))), F.lit(-1.0)))
+        return F.when(plain, 2.0).otherwise(near(v, w))
 
-    refs, triples = matching.union_entities(contexts, questions), matching.union_relations(contexts, questions)
+    vectors = matching.with_vectors
+    refs, triples = vectors(matching.union_entities(contexts, questions), ["w"], embed), vectors(matching.union_relations(contexts, questions), ["s2", "r2", "o2"], embed)
     names = answers.select("response_id", "source_id", F.explode("entities").alias("raw")).withColumn("v", normalize(F.col("raw")))
-    best = names.join(refs, "source_id", "left").groupBy("response_id", "raw", "v").agg(F.max(F.when(F.col("v") != "", strength("v", "w"))).alias("best"))
+    best = vectors(names, ["v"], embed).join(refs, "source_id", "left").groupBy("response_id", "raw", "v").agg(F.max(F.when((F.col("v") != "") & F.col("w").isNotNull(), strength("v", "w"))).alias("best"))
     grid = F.explode(F.array(*(F.struct(F.lit(e).alias("tau_e"), F.lit(r).alias("tau_r")) for e in config.sweep_entity for r in config.sweep_relation)))
     eg = best.withColumn("g", grid).groupBy("response_id", "g").agg(F.avg(F.coalesce(F.col("best") >= F.col("g.tau_e"), F.lit(False)).cast("double")).alias("EG"))
     edges = answers.select("response_id", "source_id", F.explode("relations").alias("e")).select("response_id", "source_id", "e", *(normalize(F.col(f"e.{c}")).alias(c) for c in "sro"))
     gate = {c: best.select("response_id", F.col("v").alias(c), F.col("best").alias(f"best_{c}")).groupBy("response_id", c).agg(F.max(f"best_{c}").alias(f"best_{c}")) for c in "so"}
-    found = edges.join(triples, "source_id", "left")
-    found = found.withColumns({"ends": F.least(strength("s", "s2"), strength("o", "o2")), "rel": F.when(F.col("r") == F.col("r2"), 2.0).otherwise(F.coalesce(cosine(embed(F.col("r")), embed(F.col("r2"))), F.lit(-1.0)))})
+    found = vectors(edges, list("sro"), embed).join(triples, "source_id", "left")
+    found = found.select("response_id", "e", *"so", "s2", F.least(strength("s", "s2"), strength("o", "o2")).alias("ends"), F.when(F.col("r") == F.col("r2"), 2.0).otherwise(near("r", "r2")).alias("rel"))
     found = found.join(gate["s"], ["response_id", "s"], "left").join(gate["o"], ["response_id", "o"], "left").withColumn("g", grid)
     holds = (F.least("ends", "best_s", "best_o") >= F.col("g.tau_e")) & (F.col("rel") >= F.col("g.tau_r")) & F.col("best_s").isNotNull() & F.col("best_o").isNotNull() & F.col("s2").isNotNull()
     per_edge = found.groupBy("response_id", "g", "e").agg(F.max(F.coalesce(holds, F.lit(False)).cast("double")).alias("held"))

@@ -28,7 +28,8 @@ def _firsts(w: str) -> str:
 
 
 def _has(longer: str, shorter: str) -> str:
-    return rf"({shorter} <> '' AND regexp_matches({longer}, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape({shorter}) || '([^\p{{L}}\p{{N}}_]|$)'))"
+    exact = rf"regexp_matches({longer}, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape({shorter}) || '([^\p{{L}}\p{{N}}_]|$)')"
+    return f"CASE WHEN {shorter} <> '' AND contains({longer}, {shorter}) THEN {exact} ELSE false END"
 
 
 _STOP = "(" + ", ".join(map(_quoted, STOPWORDS)) + ")"
@@ -48,12 +49,12 @@ def _cos(a: str, b: str) -> str:
     return f"({dot(a, b)} / nullif(sqrt({dot(a, a)} * {dot(b, b)}), 0))"
 
 
-def _pair(v: str, w: str) -> str:
-    return f"({v} = {w} OR {_part(v, w)} OR coalesce({_cos(_letters(v), _letters(w))} >= 0.9::DOUBLE, false))"
+def _pair(v: str, w: str, vl: str, wl: str) -> str:
+    return f"CASE WHEN {v} = {w} THEN true WHEN {_part(v, w)} THEN true ELSE coalesce({_cos(vl, wl)} >= 0.9::DOUBLE, false) END"
 
 
-def _strength(v: str, w: str) -> str:
-    return f"CASE WHEN {v} = {w} OR {_part(v, w)} THEN 2.0::DOUBLE ELSE coalesce({_cos(_letters(v), _letters(w))}, -1.0::DOUBLE) END"
+def _strength(v: str, w: str, vl: str, wl: str) -> str:
+    return f"CASE WHEN {v} = {w} THEN 2.0::DOUBLE WHEN {_part(v, w)} THEN 2.0::DOUBLE ELSE coalesce({_cos(vl, wl)}, -1.0::DOUBLE) END"
 
 
 _CFI = "CASE WHEN rp IS NULL THEN eg ELSE {a} * eg + (1.0::DOUBLE - {a}) * rp END"
@@ -84,16 +85,18 @@ _CTES: dict[str, str] = {
     "wanted": f"""
       SELECT DISTINCT source_id, v FROM (SELECT source_id, v FROM names UNION ALL SELECT source_id, {_norm("s")} FROM edges UNION ALL SELECT source_id, {_norm("o")} FROM edges) WHERE v <> ''""",
     "pairs": f"""
-      SELECT n.source_id, v, w, CASE WHEN v = w THEN 1 WHEN {_part("v", "w")} THEN 2 ELSE 3 END AS kind, {_cos(_letters("v"), _letters("w"))} AS cos
-      FROM wanted n JOIN refs USING (source_id)""",
+      SELECT n.source_id, v, w, CASE WHEN v = w THEN 1 WHEN {_part("v", "w")} THEN 2 ELSE 3 END AS kind, {_cos("vl", "wl")} AS cos
+      FROM (SELECT *, {_letters("v")} AS vl FROM wanted) n JOIN (SELECT *, {_letters("w")} AS wl FROM refs) r USING (source_id)""",
     "matched": """
       SELECT source_id, v, w AS ref, CASE kind WHEN 1 THEN 'exact' WHEN 2 THEN 'substring' ELSE 'embedding' END AS method FROM (
         SELECT *, row_number() OVER (PARTITION BY source_id, v ORDER BY kind, CASE WHEN kind = 3 THEN -cos ELSE 0 END, w) AS k FROM pairs WHERE kind < 3 OR cos >= 0.9::DOUBLE)
       WHERE k = 1""",
+    "ends": f"SELECT DISTINCT source_id, s, r, o, {_letters('s')} AS sl, {_letters('o')} AS ol, {_norm('s')} AS sn, {_norm('o')} AS onn FROM edges",
+    "reftl": f"SELECT *, {_letters('s2')} AS s2l, {_letters('o2')} AS o2l FROM reft",
     "tried": f"""
-      SELECT e.*, t.s2, t.r2, t.o2, CASE WHEN {_pair("s", "s2")} AND {_pair("o", "o2")} THEN 'forward' WHEN {_pair("s", "o2")} AND {_pair("o", "s2")} THEN 'inverse' END AS way
-      FROM (SELECT DISTINCT source_id, s, r, o FROM edges) e JOIN reft t ON t.source_id = e.source_id AND t.r2 = e.r
-      WHERE EXISTS (SELECT 1 FROM matched m WHERE m.source_id = e.source_id AND m.v = {_norm("e.s")}) AND EXISTS (SELECT 1 FROM matched m WHERE m.source_id = e.source_id AND m.v = {_norm("e.o")})""",
+      SELECT e.source_id, s, r, o, s2, r2, o2, CASE WHEN {_pair("s", "s2", "sl", "s2l")} AND {_pair("o", "o2", "ol", "o2l")} THEN 'forward' WHEN {_pair("s", "o2", "sl", "o2l")} AND {_pair("o", "s2", "ol", "s2l")} THEN 'inverse' END AS way
+      FROM ends e JOIN reftl t ON t.source_id = e.source_id AND t.r2 = e.r
+      WHERE EXISTS (SELECT 1 FROM matched m WHERE m.source_id = e.source_id AND m.v = e.sn) AND EXISTS (SELECT 1 FROM matched m WHERE m.source_id = e.source_id AND m.v = e.onn)""",
     "aligned": """
       SELECT source_id, s, r, o, s2, r2, o2, way AS method FROM (
         SELECT *, row_number() OVER (PARTITION BY source_id, s, r, o ORDER BY s2, r2, o2) AS k FROM tried WHERE way = 'forward') WHERE k = 1""",
@@ -110,7 +113,8 @@ _CTES: dict[str, str] = {
       FROM scored s JOIN inst USING (response_id)""",
 }
 _TO_MATCHED = ("inst", "picked", "toks", "names", "edges", "refs", "reft", "wanted", "pairs", "matched")
-_TO_ROWS = (*_TO_MATCHED, "tried", "aligned", "scored", "rows_")
+_TO_TRIED = (*_TO_MATCHED, "ends", "reftl", "tried")
+_TO_ROWS = (*_TO_TRIED, "aligned", "scored", "rows_")
 
 
 def _with(ctes: tuple[str, ...], body: str, **other: str) -> str:
@@ -174,12 +178,12 @@ def _tau_sweep() -> str:
         ("inst", "picked", "toks", "names", "edges", "refs", "reft"),
         "SELECT tau_e, tau_r, n, auc::DOUBLE AS auc FROM (" + _auc("final", "tau_e, tau_r") + ")",
         picked=f"SELECT * FROM inst WHERE split = 'train' ORDER BY md5('sample:' || response_id), response_id LIMIT {c.sweep_answers}",
-        best=f"SELECT response_id, raw, v, max({_strength('v', 'w')}) FILTER (WHERE w IS NOT NULL AND v <> '') AS best FROM names LEFT JOIN refs USING (source_id) GROUP BY response_id, raw, v",
+        best=f"SELECT response_id, raw, v, max({_strength('v', 'w', 'vl', 'wl')}) FILTER (WHERE w IS NOT NULL AND v <> '') AS best FROM (SELECT *, {_letters('v')} AS vl FROM names) LEFT JOIN (SELECT *, {_letters('w')} AS wl FROM refs) USING (source_id) GROUP BY response_id, raw, v",
         grid=f"SELECT * FROM {_grid(c.sweep_entity, 'tau_e')}, {_grid(c.sweep_relation, 'tau_r')}",
         egs="SELECT response_id, tau_e, tau_r, avg(CASE WHEN best >= tau_e THEN 1.0::DOUBLE ELSE 0 END) AS eg FROM best, grid GROUP BY ALL",
-        cand=f"""SELECT e.response_id, e.s, e.r, e.o, least({_strength('e.s', 's2')}, {_strength('e.o', 'o2')}) AS ends, CASE WHEN r = r2 THEN 2.0::DOUBLE ELSE {_cos(_letters('r'), _letters('r2'))} END AS rel,
+        cand=f"""SELECT e.response_id, e.s, e.r, e.o, least({_strength('e.s', 's2', 'sl', 's2l')}, {_strength('e.o', 'o2', 'ol', 'o2l')}) AS ends, CASE WHEN r = r2 THEN 2.0::DOUBLE ELSE {_cos(_letters('r'), _letters('r2'))} END AS rel,
           (SELECT max(best) FROM best b WHERE b.response_id = e.response_id AND b.v = e.s) AS bs, (SELECT max(best) FROM best b WHERE b.response_id = e.response_id AND b.v = e.o) AS bo
-          FROM edges e JOIN reft t USING (source_id)""",
+          FROM (SELECT *, {_letters('s')} AS sl, {_letters('o')} AS ol FROM edges) e JOIN (SELECT *, {_letters('s2')} AS s2l, {_letters('o2')} AS o2l FROM reft) t USING (source_id)""",
         per_edge="""SELECT e.response_id, e.s, e.r, e.o, tau_e, tau_r,
           max(CASE WHEN c.ends >= tau_e AND c.rel >= tau_r AND c.bs >= tau_e AND c.bo >= tau_e THEN 1.0::DOUBLE ELSE 0 END) AS held
           FROM edges e CROSS JOIN grid LEFT JOIN cand c USING (response_id, s, r, o) GROUP BY ALL""",
@@ -195,8 +199,8 @@ def _bootstrap() -> str:
         """SELECT metric, count(*) AS n, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM (
           SELECT 'auc' AS metric, auc AS v FROM per UNION ALL SELECT 'f1', f1 FROM per) GROUP BY metric""",
         drawn=f"SELECT rep, y, h, {_draws(f'md5({_quoted(str(c.seed))} || chr(58) || rep || chr(58) || response_id)')} AS w FROM rows_, range({c.bootstrap_replicates}) t(rep) WHERE split = 'test' AND h IS NOT NULL",
-        at="SELECT rep, h, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS q FROM drawn GROUP BY rep, h HAVING sum(w) > 0",
-        runs="SELECT *, coalesce(sum(q) OVER (PARTITION BY rep ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM at",
+        steps="SELECT rep, h, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS q FROM drawn GROUP BY rep, h HAVING sum(w) > 0",
+        runs="SELECT *, coalesce(sum(q) OVER (PARTITION BY rep ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM steps",
         per="""SELECT rep, (sum(p * (2 * below + q)) / (2.0 * sum(p) * sum(q)))::DOUBLE AS auc,
           coalesce((2.0 * sum(CASE WHEN h >= 0.5 THEN p END) / nullif(2 * sum(CASE WHEN h >= 0.5 THEN p END) + sum(CASE WHEN h >= 0.5 THEN q END) + sum(CASE WHEN h < 0.5 THEN p ELSE 0 END), 0))::DOUBLE, 0) AS f1
           FROM runs GROUP BY rep HAVING sum(p) > 0 AND sum(q) > 0""",
@@ -227,11 +231,11 @@ def oracle_sql() -> dict[str, str]:
         "eg_exact": _with(("inst", "picked", "toks", "names", "refs"), "SELECT response_id, count(*) AS n, count(w) AS matched, count(w)::DOUBLE / count(*) AS eg FROM names n LEFT JOIN refs r ON r.source_id = n.source_id AND r.w = n.v GROUP BY response_id"),
         "match_cascade": _with(_TO_MATCHED, "SELECT source_id, v, ref, method FROM matched", wanted="SELECT DISTINCT source_id, v FROM names WHERE v <> ''"),
         "substring_matches": _with(("inst", "picked", "toks", "names", "refs"), f"SELECT DISTINCT source_id, v, w FROM names JOIN refs USING (source_id) WHERE v <> w AND {_part('v', 'w')}"),
-        "rp_align": _with((*_TO_MATCHED, "tried", "aligned"), "SELECT * FROM aligned"),
-        "rp_inverse": _with((*_TO_MATCHED, "tried"), """SELECT source_id, s, r, o, s2, r2, o2, way AS method FROM (
+        "rp_align": _with((*_TO_TRIED, "aligned"), "SELECT * FROM aligned"),
+        "rp_inverse": _with(_TO_TRIED, """SELECT source_id, s, r, o, s2, r2, o2, way AS method FROM (
           SELECT *, row_number() OVER (PARTITION BY source_id, s, r, o ORDER BY s2, r2, o2) AS k FROM tried WHERE way IS NOT NULL) WHERE k = 1"""),
         "score_rows": rows("SELECT response_id, source_id, task, gen_model, split, y, context_len, Vc, Ec, Vq, Eq, Va, Ea, eg AS EG, rp AS RP, unscorable, ref_empty, cfi AS CFI, h AS H, h_eg AS H_eg, h_rp AS H_rp FROM rows_"),
-        "audit_lists": _with((*_TO_MATCHED, "tried", "aligned"), _RAW_AUDIT),
+        "audit_lists": _with((*_TO_TRIED, "aligned"), _RAW_AUDIT),
         "auc_by_task": rows(_auc_out("b", "grp"), b="SELECT * FROM " + _overall("task")),
         "auc_by_model": rows(_auc_out("b", "grp"), b="SELECT * FROM " + _overall("gen_model")),
         "prf_by_task": rows(prf.format(src=_overall("task"))),
@@ -247,8 +251,8 @@ def oracle_sql() -> dict[str, str]:
         "degenerate": rows("SELECT count(*) AS n, count_if(unscorable)::BIGINT AS unscorable, count_if(ref_empty)::BIGINT AS ref_empty, count_if(Ea = 0)::BIGINT AS no_edges FROM rows_"),
         "theta_f1": rows(
             """SELECT theta, f1 FROM (SELECT h, coalesce((h + lag(h) OVER (ORDER BY h)) / 2.0::DOUBLE, h - 1e-9::DOUBLE) AS theta,
-              2.0::DOUBLE * sum(p) OVER w / (sum(p) OVER w + sum(q) OVER w + (SELECT sum(p) FROM at)) AS f1 FROM at WINDOW w AS (ORDER BY h DESC)) ORDER BY f1 DESC, theta LIMIT 1""",
-            at="SELECT h, count_if(y = 1) AS p, count_if(y = 0) AS q FROM rows_ WHERE split = 'train' AND h IS NOT NULL GROUP BY h",
+              2.0::DOUBLE * sum(p) OVER w / (sum(p) OVER w + sum(q) OVER w + (SELECT sum(p) FROM steps)) AS f1 FROM steps WINDOW w AS (ORDER BY h DESC)) ORDER BY f1 DESC, theta LIMIT 1""",
+            steps="SELECT h, count_if(y = 1) AS p, count_if(y = 0) AS q FROM rows_ WHERE split = 'train' AND h IS NOT NULL GROUP BY h",
         ),
         "alpha_cv": _alpha_cv(),
         "tau_sweep": _tau_sweep(),

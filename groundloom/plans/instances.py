@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from groundloom.config import Config
 from groundloom.functions.vectors import letter_counts
 from groundloom.operators import extract, scoring
+from groundloom.sources.staging import staged
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,7 @@ def graphs(given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     answers = extract.offline_graph(given.select("response_id", "source_id", "response"), "response", phrases=True).drop("response")
     contexts = extract.offline_graph(sources.select("source_id", "context"), "context").drop("context")
     questions = extract.offline_graph(sources.select("source_id", "query"), "query").drop("query")
-    return answers, contexts, questions
+    return tuple(staged(g, name) for g, name in ((answers, "answer-graphs"), (contexts, "context-graphs"), (questions, "question-graphs")))
 
 
 def scored(given: DataFrame, config: Config, vectors: bool = True) -> DataFrame:
@@ -52,4 +53,4 @@ def scored(given: DataFrame, config: Config, vectors: bool = True) -> DataFrame:
 def rows(spark: SparkSession, sf_dir: str, config: Config | None = None, alpha: float = 0.7) -> DataFrame:
     """Evaluation rows of all instances."""
     given = instances(spark, sf_dir)
-    return scoring.eval_rows(scored(given, config or Config()), given, alpha)
+    return staged(scoring.eval_rows(scored(given, config or Config()), given, alpha), "eval-rows")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from groundloom.functions.text import is_true, shown_value, strip
 
@@ -58,7 +59,7 @@ def business_text(record: str, with_reviews: bool = True) -> str:
     return "\n".join(facts) + tail
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def business_texts(records: pd.Series) -> pd.Series:
     # The order and the lexemes of nested JSON are kept by Python's reader only.
     return records.map(lambda r: None if r is None else business_text(r))

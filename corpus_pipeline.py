@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from groundloom.llm import bpe, language_id, line_dedup, mixing, scratch, simhash
 from groundloom.llm.batches import keep_batches_small
+from groundloom.llm.components import components
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: SQL for run()'s rows: none, as the first stage trains a network.
@@ -38,13 +39,18 @@ def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id.
+    """One document of each group of near copies (5-word Jaccard similarity of 0.8 or more): the one of the smallest id.
 
     Rows of one id are one document. Rows without an id all stay, but for repeats of one text.
     """
     keep_batches_small(spark)
-    groups = simhash.near_duplicates(docs)
-    kept = scratch.table(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
+    near = simhash.similar_texts(docs)
+    node = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    # A document of several texts joins their groups.
+    texts = node.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
+    links = near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(texts.where(F.size("all") > 1).select("a", F.explode("all").alias("b")))
+    groups = node.join(components(links, "a", "b"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("doc_id").alias("doc_id"))
+    kept = scratch.table(groups.select("doc_id"), "kept")
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 

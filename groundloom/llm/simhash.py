@@ -35,21 +35,27 @@ SEED = 42
 CHUNK = 65_536
 #: Node pairs that one numpy step holds.
 FRONTIER = 500_000
+#: Keys of a text for similar_texts, least values that each is made of, and shingles that one numpy step holds.
+BANDS, ROWS, SLICE = 32, 5, 4096
 
 
-def text_fingerprint(text: str | None, width: int) -> int:
-    """Majority bits of the XXH64 of all shingles of `width` words; no words: 0."""
+def shingle_hashes(text: str | None, width: int) -> list[int]:
+    """XXH64 of all shingles of `width` words (of all words, if there are fewer); no words: none."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return []
     flat = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(width, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(flat[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
+    return [digest(flat[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that more than half of the hashes have; no hashes: 0."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = np.array(hashes[at : at + CHUNK], ">u8").view(np.uint8).reshape(-1, 8)
@@ -57,6 +63,11 @@ def text_fingerprint(text: str | None, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
+def text_fingerprint(text: str | None, width: int) -> int:
+    """Majority bits of the XXH64 of all shingles of `width` words; no words: 0."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (a signed 64-bit integer) of every row."""
 
@@ -236,5 +247,92 @@ def near_duplicates(df: DataFrame, width: int = 3, budget: int = 3, id_col: str
     return docs.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near copies by the Jaccard similarity of their shingles.
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """BANDS hashes, each of the least values of ROWS hash functions over distinct shingles."""
+    rng = np.random.default_rng(SEED)
+    a, b = rng.integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), SLICE):
+        mixed = (shingles[at : at + SLICE] ^ b) * (a | np.uint64(1))
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64).tolist()
+
+
+def _signatures(texts: DataFrame, width: int) -> DataFrame:
+    """id, fp and bands of every text that has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ids, fps, bands = [], [], []
+            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hashes := shingle_hashes(text, width):
+                    ids.append(i)
+                    fps.append(majority(hashes))
+                    bands.append(band_keys(np.unique(np.array(hashes, np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, fp bigint, bands array<bigint>")
+
+
+def _alike(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    given = texts.select("id", "text").join(asked, "id", "left_semi").dropDuplicates(["id"])
+    sets = scratch.table(given.mapInArrow(run, "id bigint, shingles array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.where((F.size("x") >= similarity * F.size("y")) & (F.size("y") >= similarity * F.size("x")))
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """node, component (the smallest node that links reach): xxhash64 of each text that is linked to another text.
+
+    Two texts are linked if their sets of shingles of `width` words have a Jaccard similarity of `similarity`
+    or more, which is taken exactly. Pairs to compare are the trie's links of the fingerprints and texts that
+    share one of BANDS keys: at similarity 0.8 two texts share none with probability 3e-6, above it more rarely.
+    First each text of a key is compared with the key's smallest; then those that are still in different
+    components with one another, so a large group of near copies is not compared pair by pair.
+    """
+    texts = df.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("id"), F.col(text_col).alias("text"))
+    made = scratch.table(_signatures(texts, width), "signatures")
+    classes = made.groupBy("fp").agg(F.min("id").alias("least"))
+    equal = made.join(classes, "fp").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    near = trie_links(classes.select("fp"))
+    for end in "ab":
+        near = near.join(classes.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_least")), end)
+    near = near.select(F.least("a_least", "b_least").alias("a"), F.greatest("a_least", "b_least").alias("b"))
+
+    each = made.select("id", F.explode("bands").alias("band")).distinct()
+    least = each.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
+    shared = scratch.table(each.join(least, "band"), "bands")
+    first = shared.select("a", F.col("id").alias("b")).union(near).union(equal).where("a != b").distinct()
+    links = scratch.table(_alike(texts, scratch.table(first, "pairs"), width, similarity), "alike")
+
+    reached = scratch.table(components(links, "a", "b"), "reached")
+    named = shared.join(reached, shared["id"] == reached["node"], "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    parts = named.groupBy("band", "component").agg(F.collect_set("id").alias("ids"))
+    apart = parts.groupBy("band").count().where("count > 1")
+    parts = scratch.table(parts.join(apart, "band", "left_semi"), "apart")
+    left, right = parts.select("band", F.col("component").alias("c"), F.col("ids").alias("xs")), parts.select("band", F.col("component").alias("d"), F.col("ids").alias("ys"))
+    rest = left.join(right, "band").where("c < d").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = scratch.table(_alike(texts, scratch.table(rest, "pairs"), width, similarity), "alike")
+    return components(links.union(more), "a", "b")
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

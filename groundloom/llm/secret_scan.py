@@ -1,7 +1,8 @@
 """Secrets in text: fixed patterns, and random strings by their token efficiency.
 
-A run of key characters that takes many tokens of a tiktoken vocabulary for its length (few characters a
-token) is a random string, unless it is a digest of a known length, a UUID, or lies in a pattern's span.
+A run of key characters, or a stretch of it between joints (= / + _ -), that takes many tokens of a tiktoken
+vocabulary for its length (few characters a token) is a random string, unless it is a digest of a known
+length, a UUID, or lies in a pattern's span.
 
 Spans are half-open ranges of code points. Null text counts as empty; repeated rows and ids are scanned row
 by row; other columns are ignored unless kept. An empty table gives no rows.
@@ -26,10 +27,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: One of these stands in every text that ASSIGN matches.
 HEADS = ("password", "passwd", "secret", "token", "api")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+PART = re.compile(r"[A-Za-z0-9]+")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+UUID_PART = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
 
 _ENCODINGS: dict = {}
 
@@ -61,14 +65,43 @@ def is_identifier(run: str) -> bool:
     return bool(len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run))
 
 
+def _uncovered(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted spans leave of the range from a to b."""
+    out = []
+    for s, e in spans:
+        if s < b and a < e:
+            out.append((a, s))
+            a = max(a, e)
+    return [(x, y) for x, y in [*out, (a, b)] if y - x >= LEAST]
+
+
+def _stretches(text: str, a: int, b: int, encoding, ratio: float) -> list[tuple[int, int]]:
+    """The stretches of whole parts, joints between them, whose tokens outweigh their characters the most."""
+    out, total, most, start, end = [], 0.0, 0.0, a, a
+    for m in [*PART.finditer(text, a, b), None]:
+        gain = None if m is None or is_identifier(m[0]) else ratio * len(encoding.encode_ordinary(m[0])) - len(m[0])
+        if gain is None or total + gain <= 0:
+            if most > 0 and end - start >= LEAST:
+                out.append((start, end))
+            total = most = 0.0
+            continue
+        if not total:
+            start = m.start()
+        total += gain
+        if total > most:
+            most, end = total, m.end()
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if is_identifier(m[0]) or any(s < b and a < e for s, _, e in taken):
+        if is_identifier(m[0]):
             continue
-        if b - a < ratio * len(encoding.encode_ordinary(m[0])):
-            found.append((a, 3, b))
+        skip = sorted([(s, e) for s, _, e in taken if s < b and a < e] + [u.span() for u in UUID_PART.finditer(text, a, b)])
+        for x, y in _uncovered(a, b, skip):
+            found += [(s, 3, e) for s, e in _stretches(text, x, y, encoding, ratio)]
     return found
 
 

@@ -26,8 +26,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: One of these stands in every text that ASSIGN matches.
 HEADS = ("password", "passwd", "secret", "token", "api")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-LEAST = 20
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
 PART = re.compile(r"[A-Za-z0-9]+")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
@@ -75,11 +75,24 @@ def _uncovered(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(x, y) for x, y in [*out, (a, b)] if y - x >= LEAST]
 
 
+def _allowed(part: str, ratio: float) -> float:
+    """Characters a token below which a part looks random; fewer distinct characters make longer tokens.
+
+    Runs of digits and short parts keep the ratio. Long words of letters alone take few tokens, shorter ones
+    more, so these get a smaller margin.
+    """
+    if len(part) < 8 or part.isdigit():
+        return ratio
+    if not part.isalpha():
+        return ratio + 0.6
+    return ratio + (0.5 if len(part) >= 20 else 0.2)
+
+
 def _stretches(text: str, a: int, b: int, encoding, ratio: float) -> list[tuple[int, int]]:
     """The stretches of whole parts, joints between them, whose tokens outweigh their characters the most."""
     out, total, most, start, end = [], 0.0, 0.0, a, a
     for m in [*PART.finditer(text, a, b), None]:
-        gain = None if m is None or is_identifier(m[0]) else ratio * len(encoding.encode_ordinary(m[0])) - len(m[0])
+        gain = None if m is None or is_identifier(m[0]) else _allowed(m[0], ratio) * len(encoding.encode_ordinary(m[0])) - len(m[0])
         if gain is None or total + gain <= 0:
             if most > 0 and end - start >= LEAST:
                 out.append((start, end))

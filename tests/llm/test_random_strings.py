@@ -33,3 +33,13 @@ def test_rests_and_identifiers_in_runs():
     assert spans(f"AKIA{'Q7Z' * 6}/{key}") == [key]
     assert spans(f"/objects/{uuid}") == spans("/user/account/settings/overview") == []
     assert spans(f"/objects/{'0123456789ABCDEF' * 2}") == []
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", string.ascii_lowercase, string.ascii_lowercase + string.digits, BASE62])
+@pytest.mark.parametrize("n", [20, 24])
+def test_alphabets(alphabet, n):
+    assert share(alphabet, n) > 0.9
+
+
+def test_strings_of_sixteen():
+    assert share(BASE62, 16) > 0.9 and share(string.ascii_lowercase + string.digits, 16) > 0.9

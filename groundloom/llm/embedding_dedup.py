@@ -80,44 +80,52 @@ def buckets(vectors: np.ndarray, tables: int = TABLES, rotations: int = ROTATION
     return out
 
 
-def _stands(classes: DataFrame) -> DataFrame:
-    """A row for each bucket that a class stands in (probe 0) or looks into."""
+def _hashed(classes: DataFrame) -> DataFrame:
+    """cls, times, label, dim, vec and `every`: the bucket numbers of all tables, a table's own bucket before its probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, times, label, dims = (batch.column(k).to_numpy() for k in range(4))
+            dims = batch.column(3).to_numpy()
             flat = batch.column(4).flatten().to_numpy()
             ends = np.cumsum(dims)
+            out = np.zeros((len(dims), TABLES * (1 + PROBES)), np.int32)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                vectors = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
-                found = buckets(vectors.astype(np.float64))
-                _, tables, each = found.shape
-                every = found.reshape(len(at), -1)
-                table, probe = np.repeat(np.arange(tables), each), np.tile(np.arange(each), tables)
-                # Padding repeats a row's own bucket, which is entered once.
-                row, place = np.nonzero((probe == 0) | (every != every[:, table * each]))
-                vec, lists = ([x.tobytes() for x in source] for source in (vectors, every))
-                for s in range(0, len(row), 10_000):
-                    r, k = row[s : s + 10_000], place[s : s + 10_000]
-                    numbers = [label[at[r]], dims[at[r]], table[k], every[r, k], probe[k], cls[at[r]], times[at[r]]]
-                    binary = [pa.array([x[i] for i in r.tolist()], pa.binary()) for x in (vec, lists)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *binary], names=names)
-
-    names = ["label", "dim", "tab", "bucket", "probe", "cls", "times", "vec", "every"]
-    schema = ", ".join(f"{c} bigint" for c in names[:7]) + ", vec binary, every binary"
-    return classes.select("cls", "times", "label", "dim", "vec").mapInArrow(run, schema)
-
-
-def _blocks(stands: DataFrame, most: int) -> DataFrame:
-    """Rows with the pair of blocks (i <= j) in which they are compared, and the block that they are of."""
+                vectors = flat[(ends[at] - dim)[:, None] + np.arange(dim)].astype(np.float64)
+                # Numbers that meet by the remainder only add pairs to compare.
+                out[at] = (buckets(vectors) % (2**31 - 1)).reshape(len(at), -1)
+            every = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, every], names=[*names, "every"])
+
+    names = ["cls", "times", "label", "dim", "vec"]
+    given = classes.select(*names)
+    schema = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in names)
+    return given.mapInArrow(run, f"{schema}, every array<int>")
+
+
+def _stands(hashed: DataFrame) -> DataFrame:
+    """A row for each bucket that a class stands in (probe 0) or looks into; vectors stay behind."""
+    each = 1 + PROBES
+    rows = hashed.select("label", "dim", "cls", "every", F.posexplode("every").alias("place", "bucket"))
+    own = F.element_at("every", (F.col("place") - F.col("place") % each + 1).cast("int"))
+    # Padding repeats a row's own bucket, which is entered once.
+    rows = rows.where((F.col("place") % each == 0) | (F.col("bucket") != own))
+    return rows.select("label", "dim", F.floor(F.col("place") / each).cast("int").alias("tab"), "bucket", (F.col("place") % each).alias("probe"), "cls")
+
+
+def _blocks(hashed: DataFrame, most: int) -> DataFrame:
+    """Rows with the pair of blocks (i <= j) in which they are compared, and the block that they are of.
+
+    Buckets of one class, or in which none stands, are left out before vectors are fetched.
+    """
     key = ["label", "dim", "tab", "bucket"]
-    counts = stands.groupBy(*key).count()
-    large = counts.where(F.col("count") > most).select(*key, F.ceil(F.col("count") / most).cast("bigint").alias("blocks"))
-    sized = stands.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    stands = _stands(hashed)
+    counts = stands.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("least"))
+    counts = scratch.table(counts.where("n > 1 AND least = 0").select(*key, F.ceil(F.col("n") / most).cast("bigint").alias("blocks")), "buckets")
+    sized = stands.join(counts, key).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     each = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    return each.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "probe", "cls", "times", "vec", "every")
+    each = each.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "probe", "cls")
+    return each.join(hashed.select("cls", "times", "vec", "every"), "cls")
 
 
 def _meet_here(a: np.ndarray, b: np.ndarray, table: int, bucket: int) -> np.ndarray:
@@ -158,7 +166,7 @@ def _compare(key: tuple, own: np.ndarray, probe: np.ndarray, times: np.ndarray,
     return links, label
 
 
-def _near(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
+def _near(rows: DataFrame, threshold: float) -> DataFrame:
     """cls, links (vectors of other classes linked to it), other (a class it is joined to, or null)."""
     keys = ["label", "dim", "tab", "bucket", "i", "j"]
 
@@ -170,15 +178,15 @@ def _near(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
             new[1:] |= numbers[c][1:] != numbers[c][:-1]
         first = np.flatnonzero(new)
         end = np.append(first[1:], table.num_rows)
-        vec, every = table["vec"].to_pylist(), table["every"].to_pylist()
+        flat, ends = table["vec"].combine_chunks().flatten().to_numpy(), np.cumsum(numbers["dim"])
+        every = table["every"].combine_chunks().flatten().to_numpy().astype(np.int64).reshape(table.num_rows, TABLES, -1)
         out = []
         for a, b in zip(first.tolist(), end.tolist(), strict=True):
             if b - a < 2:
                 continue
             own, probe, cls, times = (numbers[c][a:b] for c in ("own", "probe", "cls", "times"))
-            vectors = np.frombuffer(b"".join(vec[a:b]), kind).reshape(b - a, -1).astype(np.float64)
-            lists = np.frombuffer(b"".join(every[a:b]), np.int64).reshape(b - a, TABLES, -1)
-            links, label = _compare(tuple(int(numbers[c][a]) for c in keys[2:]), own, probe, times, vectors, lists, threshold)
+            vectors = flat[ends[a] - numbers["dim"][a] : ends[b - 1]].reshape(b - a, -1).astype(np.float64)
+            links, label = _compare(tuple(int(numbers[c][a]) for c in keys[2:]), own, probe, times, vectors, every[a:b], threshold)
             some, joined = np.flatnonzero(links), np.flatnonzero(label != np.arange(b - a))
             if len(some):
                 out.append((np.concatenate([cls[some], cls[joined]]), np.concatenate([links[some].astype(np.int64), np.zeros(len(joined), np.int64)]), np.concatenate([np.full(len(some), -1), cls[label[joined]]])))
@@ -189,16 +197,19 @@ def _near(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
             last = np.zeros(held.num_rows, bool)
             for c in keys:
                 values = held[c].to_numpy()
                 last |= values != values[-1]
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last group may go on in the next batch
-            yield from solve(held.slice(0, cut))
-            held = held.slice(cut)
-        if held is not None:
+            if last.any():  # the last group may go on in the next batch
+                cut = int(np.flatnonzero(last)[-1]) + 1
+                yield from solve(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
             yield from solve(held)
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "cls")
@@ -218,9 +229,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, most: int = 2048, id
     same = good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"))
     same = scratch.table(same.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     shape = good.join(same, key).where("vec_id = rep").select(*key, "cls", "times", "vec", F.size("vec").cast("bigint").alias("dim"))
-    stands = scratch.table(_stands(shape.dropDuplicates(["cls"])), "stands")
-    near = scratch.table(_near(_blocks(stands, most), threshold, "<f4" if number == "float" else "<f8"), "near")
-    scratch.drop(stands)
+    hashed = scratch.table(_hashed(shape.dropDuplicates(["cls"])), "hashed")
+    near = scratch.table(_near(_blocks(hashed, most), threshold), "near")
     counts = near.groupBy("cls").agg(F.sum("links").alias("links"))
     reached = components(near.where("other is not null"), "cls", "other")
     linked = same.join(reached, F.col("cls") == F.col("node")).select("cls", "rep", "component")

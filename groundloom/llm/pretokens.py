@@ -8,6 +8,7 @@ shifted arrays. Each distinct word is encoded once and kept; a text's ids are th
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
 
@@ -139,19 +140,16 @@ class TextEncoder:
     """Ids of whole texts by a function that encodes a list of words.
 
     words_to_ids(words) returns the ids of all words laid end to end and the number of ids of each.
-    Words met before are kept, up to `keep` of them; then the store starts anew. special: strings that
-    are a word of their own wherever they occur.
+    Words met before are kept, up to about `keep` of them; then those that were met once only go. special:
+    strings that are a word of their own wherever they occur.
     """
 
-    def __init__(self, words_to_ids: Callable, special: Sequence[str] = (), keep: int = 150_000, chunk_chars: int = 300_000) -> None:
+    def __init__(self, words_to_ids: Callable, special: Sequence[str] = (), keep: int = 300_000, chunk_chars: int = 400_000) -> None:
         self._words_to_ids, self._special, self._keep, self._chunk = words_to_ids, tuple(special), keep, chunk_chars
         self._classes = CharClasses()
-        self._clear()
-
-    def _clear(self) -> None:
         self._index: dict[bytes, int] = {}
-        self._flat, self._lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self._offsets = np.zeros(0, np.int64)
+        self._flat = np.zeros(0, np.int32)
+        self._offsets, self._lengths, self._met = (np.zeros(0, np.int64) for _ in range(3))
 
     def _segments(self, text: str) -> list[str]:
         """The text cut at special strings, and into chunks at a blank after a word, where a word ends anyway."""
@@ -215,16 +213,33 @@ class TextEncoder:
 
     def _slots(self, words: list[bytes]) -> np.ndarray:
         if len(self._index) > self._keep:
-            self._clear()
+            self._forget()
         known = self._index
-        fresh = [w for w in words if w not in known]
-        if fresh:
+        slots = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            slots[new] = np.arange(len(known), len(known) + len(fresh))
             ids, lengths = self._words_to_ids(fresh)
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            known.update(zip(fresh, slots[new].tolist(), strict=True))
+            self._offsets = np.concatenate([self._offsets, len(self._flat) + np.cumsum(lengths) - lengths])
             self._flat = np.concatenate([self._flat, ids.astype(np.int32)])
             self._lengths = np.concatenate([self._lengths, lengths.astype(np.int64)])
-            self._offsets = np.cumsum(self._lengths) - self._lengths
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self._met = np.concatenate([self._met, np.zeros(len(fresh), np.int64)])
+        self._met[slots] += 1
+        return slots
+
+    def _forget(self) -> None:
+        """Keeps the words met in several calls, if they are few enough to leave room for others."""
+        stays = self._met > 1
+        if stays.sum() > self._keep * 2 // 3:
+            stays[:] = False
+        words = [w for w, s in zip(self._index, stays.tolist(), strict=True) if s]  # in the order of their slots
+        self._index = dict(zip(words, range(len(words)), strict=True))
+        self._flat = gather(self._flat, self._offsets[stays], self._lengths[stays])
+        self._lengths = self._lengths[stays]
+        self._offsets = np.cumsum(self._lengths) - self._lengths
+        self._met = np.ones(len(words), np.int64)
 
 
 def _cut(text: str, special: str) -> list[str]:

@@ -3,7 +3,7 @@
 A file set is a folder with two Parquet tables. `blocks` has one row per block: its shard and number in the
 shard, the place of its first id in the shard, the number of ids, the bits of an id, the packed ids (most
 significant bit first, the minimum bits of the vocabulary each), and the ids and lengths of its documents.
-Documents follow one another in ascending id order (null first; ties by length, then by content), blocks
+Documents follow one another in ascending id order (null first; ties by a hash of the text), blocks
 hold whole documents and close at `block_tokens` ids. `shards` has the place of each shard's first id among
 all ids, so the block of any position is found from the offsets and unpacked alone, in numpy.
 
@@ -26,18 +26,28 @@ from groundloom.llm.pretokens import TextEncoder
 
 BLOCKS = "shard int, block int, first_token bigint, n_tokens int, bits int, packed binary, doc_ids array<bigint>, doc_tokens array<int>"
 
+#: Widths that numpy reads and writes itself.
+WHOLE = {8: ">u1", 16: ">u2", 32: ">u4"}
+#: Documents of a shard, about.
+SHARD_DOCUMENTS = 50_000
+FIRST = np.iinfo(np.int64).min
+
 
 def bits_for(vocabulary_size: int) -> int:
     return max(1, (vocabulary_size - 1).bit_length())
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()
     wide = np.ascontiguousarray(ids, ">u4").view(np.uint8).reshape(-1, 4)
     return np.packbits(np.unpackbits(wide, axis=1)[:, 32 - bits :]).tobytes()
 
 
 def unpack(packed: bytes, bits: int, first: int, count: int) -> np.ndarray:
     """Ids first to first + count, touching the bytes that hold them only."""
+    if bits in WHOLE:
+        return np.frombuffer(packed, WHOLE[bits], count, first * bits // 8).astype(np.uint32)
     start = first * bits
     raw = np.frombuffer(packed, np.uint8)[start // 8 : (start + count * bits + 7) // 8]
     flat = np.unpackbits(raw)[start % 8 : start % 8 + count * bits].reshape(count, bits)
@@ -63,8 +73,8 @@ def library_encoder(path: str) -> TextEncoder:
         tokenizer.no_padding()
 
         def words_to_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            out = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-            return np.array([i for ids in out for i in ids], np.int64), np.array([len(ids) for ids in out], np.int64)
+            done = tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+            return np.array(done.ids, np.int32), np.bincount(np.array(done.word_ids, np.int64), minlength=len(words))
 
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         _ENCODERS[path] = TextEncoder(words_to_ids, special)
@@ -72,28 +82,37 @@ def library_encoder(path: str) -> TextEncoder:
 
 
 def _shard_bounds(docs: DataFrame, id_col: str) -> np.ndarray:
-    """Document ids that part the table into a few shards for each shuffle partition; as many numbers as shards."""
-    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = [k / shards for k in range(1, shards)]
-    found = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), at, 20 * shards)).first()[0]
-    return np.unique(np.array(found or [], np.int64))
+    """Document ids, sorted, that part the table into shards of about equal numbers of rows; an id of many rows comes several times."""
+    ids = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(FIRST))).alias("d"))
+    shards = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ids.count() // SHARD_DOCUMENTS)
+    found = ids.agg(F.percentile_approx("d", [k / shards for k in range(1, shards)], 20 * shards)).first()[0]
+    return np.array(found or [], np.int64)
+
+
+def _shards(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The shard of each document. An id between equal bounds has the shards between them to itself, a range of hashes each."""
+    first, last = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    own = np.maximum(last - first - 1, 0)
+    part = ((hashes.astype(np.float64) / 2.0**64 + 0.5) * own).astype(np.int64)
+    return np.where(own > 0, first + 1 + np.minimum(part, own - 1), first).astype(np.int32)
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """shard, doc_id, n_tokens and packed ids of each document."""
+    """shard, doc_id, h (a hash of the text), n_tokens and packed ids of each document."""
     bounds = _shard_bounds(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
         for batch in pieces(batches):
-            ids, counts = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids, counts = encoder.encode([t or "" for t in batch.column(2).to_pylist()])
             ends = np.cumsum(counts)
             packed = [pack(np.append(ids[e - n : e], end_id), bits) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            first = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            shard = np.searchsorted(bounds, first, "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), pa.array(counts + 1), pa.array(packed, pa.binary())], names=["shard", "doc_id", "n_tokens", "packed"])
+            shard = _shards(bounds, batch.column(0).fill_null(FIRST).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns[:2], pa.array(counts + 1), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "shard int, doc_id bigint, n_tokens bigint, packed binary")
+    names = ["shard", "doc_id", "h", "n_tokens", "packed"]
+    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return given.mapInArrow(run, "shard int, doc_id bigint, h bigint, n_tokens bigint, packed binary")
 
 
 def _blocks(ordered: DataFrame, bits: int, block_tokens: int) -> DataFrame:
@@ -127,16 +146,16 @@ def _blocks(ordered: DataFrame, bits: int, block_tokens: int) -> DataFrame:
 def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, vocabulary_size: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 65_536) -> None:
     """Encodes documents and writes a file set to the new folder `out`.
 
-    Shards are ranges of document ids. Encoding runs once, on the partitions as read, and only packed ids
+    Shards are ranges of document ids, and of text hashes of an id that has many rows. Encoding runs once, on the partitions as read, and only packed ids
     are dealt out.
     """
     bits = bits_for(max(vocabulary_size, end_id + 1))
     spark = docs.sparkSession
     encoded = _encoded(docs, tokenizer_path, end_id, bits, id_col, text_col)
-    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "packed")
+    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "h")
     _blocks(ordered, bits, block_tokens).write.parquet(f"{out}/blocks")
     totals = spark.read.parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    # One row per shard: a few for each shuffle partition, whatever the rows.
+    # One row per shard.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"), F.col("n").alias("shard_tokens")).write.parquet(f"{out}/shards")
 

@@ -1,4 +1,4 @@
-"""Stages written once and read by all that follows: graphs after extraction, rows after scoring."""
+"""Tables written once and read by all that follows, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -7,22 +7,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for local sessions without a setting, by application.
+_OWN: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which all executors share; on a plain local master a temporary folder if it is unset."""
+    """The session's spark.checkpoint.dir, which all executors share; on a plain local master without one, a temporary folder."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="groundloom-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if place:
+        return place
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="groundloom-")
+    return _OWN[context.applicationId]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: its plan is run once, and a lost executor costs no recomputation."""
+    """df as a written table: its plan is run once, lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that no later plan reads."""
+    for df in tables:
+        conf = df.sparkSession._jsc.hadoopConfiguration()
+        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(conf).delete(path, True)

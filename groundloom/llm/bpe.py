@@ -121,8 +121,8 @@ def encoder(path: str) -> tuple[Vocabulary, TextEncoder]:
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id_col, the columns in keep, and token_ids array<int> of each whole text."""
-    kept = [id_col, *(keep or [])]
+    """id_col, the columns in keep (but one named token_ids), and token_ids array<int> of each whole text."""
+    kept = [c for c in dict.fromkeys([id_col, *(keep or [])]) if c != "token_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, texts = encoder(path)
@@ -132,12 +132,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*kept, "token_ids"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, token_ids array<int>")
+    given = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), F.col(text_col).alias("text"))
+    return given.mapInArrow(run, f"{schema}, token_ids array<int>")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep, and the text of each row's ids."""
-    kept = keep or ["doc_id"]
+    """The columns in keep (but one named text), and the text of each row's ids."""
+    kept = [c for c in keep or ["doc_id"] if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, _ = encoder(path)
@@ -146,7 +147,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", keep: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, "text"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(*kept, F.col(ids_col).alias("__ids")).mapInArrow(run, f"{schema}, text string")
+    given = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), F.col(ids_col).alias("ids"))
+    return given.mapInArrow(run, f"{schema}, text string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ Each turn gets the hash of all turns up to it: the exclusive or of 128-bit hashe
 A conversation whose last hash is the hash of a longer one's prefix is dropped by an anti-join; of equal
 conversations the smallest id stays. What is left is rendered turn by turn.
 
-Turns are ordered by `turn`, null first; turns of equal number by hashes of role and text. A null role is
+Turns are ordered by `turn`, null first; turns of equal number by an MD5 of role and text. A null role is
 "unknown", a null text is empty. Rows without conv_id are one conversation, whose id is null. An empty table
 gives no rows; other columns are ignored. A conversation is one row of the result, however long.
 """
@@ -24,14 +24,15 @@ MARKER, ESCAPED = "<|im_", "<| im_"
 
 def _turns(logged: DataFrame) -> DataFrame:
     turns = logged.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.withColumns({"a": F.xxhash64("role", "text"), "b": F.xxhash64(F.lit(1), "role", "text")})
+    order = F.md5(F.concat("role", F.lit("\x1f"), "text"))
+    return turns.withColumns({"order": order, "a": F.xxhash64("role", "text"), "b": F.xxhash64(F.lit(1), "role", "text")})
 
 
 def prefixes(logged: DataFrame) -> DataFrame:
     """conv_id, place, n_turns and the hash (p, q) of the turns up to each place. Only hashes are dealt out."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "a", "b")
+    order = Window.partitionBy("conv_id").orderBy("turn", "order")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = _turns(logged).select("conv_id", "turn", "a", "b").withColumn("place", F.row_number().over(order))
+    placed = _turns(logged).select("conv_id", "turn", "order", "a", "b").withColumn("place", F.row_number().over(order))
     placed = placed.withColumn("n_turns", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
     mixed = placed.withColumns({"x": F.xxhash64("place", "a", "b"), "y": F.xxhash64(F.lit(1), "place", "a", "b")})
     return mixed.select("conv_id", F.col("place").cast("bigint").alias("place"), "n_turns", F.bit_xor("x").over(so_far).alias("p"), F.bit_xor("y").over(so_far).alias("q"))
@@ -49,7 +50,7 @@ def render(logged: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_logged and the rendered text of each maximal conversation."""
     kept = maximal(logged).withColumnRenamed("conv_id", "kept_id")
     turns = _turns(logged).join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-    said = turns.groupBy("conv_id", "n_turns", "n_logged").agg(F.sort_array(F.collect_list(F.struct("turn", "a", "b", "role", "text"))).alias("said"))
+    said = turns.groupBy("conv_id", "n_turns", "n_logged").agg(F.sort_array(F.collect_list(F.struct("turn", "order", "role", "text"))).alias("said"))
 
     def show(t):
         return F.concat(F.lit(OPEN), t["role"], F.lit("\n"), F.replace(t["text"], F.lit(MARKER), F.lit(ESCAPED)), F.lit(f"{CLOSE}\n"))

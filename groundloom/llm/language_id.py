@@ -127,10 +127,13 @@ def fit(docs: DataFrame, per_language: int = 200, windows_each: int = 4, id_col:
     """A network that learnt from the text and language of documents that aren't held out; None without any."""
     given = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     given = given.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = given.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("id", "lang").distinct()
-    # At most per_language rows a language.
-    sample = given.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "lang", "text")
+    # Texts that have a letter, each once.
+    given = given.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
+    key = ["id", "lang", "h"]
+    chosen = given.select(*key).distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select(*key)
+    # At most per_language texts a language.
+    sample = given.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key).select("id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -184,8 +187,8 @@ def _scores(net: Network, texts: list[str]) -> np.ndarray:
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id_col, the columns in keep, lang_pred and score of every row, from its whole text alone."""
-    kept = list(dict.fromkeys([id_col, *(keep or [])]))
+    """id_col, the columns in keep (but those of the results' names), lang_pred and score of every row, from its whole text alone."""
+    kept = [c for c in dict.fromkeys([id_col, *(keep or [])]) if c not in ("lang_pred", "score")]
     # A kept text moves once.
     given = kept if text_col in kept else [*kept, text_col]
     place = given.index(text_col)

@@ -6,8 +6,10 @@ per line hash, merged by aggregation. Where the estimate is within `band` of `mi
 counted exactly. A line of spread min_sites or more stays once, where it first stands in the document of
 the smallest id that holds it, and goes everywhere else.
 
-Null text stays null; null and empty source are one site; rows without an id count as one document after
-all others, and rows of equal id as one document. An empty table gives no rows. Other columns pass through.
+Null text stays null; null and empty source are one site. A document is an id and a text: rows of one id
+with different texts are documents of their own, in the order of a hash of the text, and so are rows without
+an id, after all others; rows of equal id and text are alike. An empty table gives no rows. Other columns
+pass through, but n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -44,36 +46,33 @@ def shared_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact)
 
 
+def gone_lines(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc and the places of the lines that it loses."""
+    hits = lines.join(shared, "key").select("doc", "key", "place", (F.col("doc") == F.col("first")).alias("own")).distinct()
+    again = hits.where("own").groupBy("doc", "key").agg(F.min("place").alias("kept"), F.collect_list("place").alias("places"))
+    again = again.select("doc", "kept", F.explode("places").alias("place")).where("place != kept")
+    return hits.where("not own").select("doc", "place").union(again.select("doc", "place")).groupBy("doc").agg(F.collect_list("place").alias("gone"))
+
+
 def dedup(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with the text less its shared lines, and n_lines, n_removed."""
-    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
-    each = docs.select(doc.alias("doc"), F.coalesce(source_col, F.lit("")).alias("site"), F.explode(F.split(text_col, "\n")).alias("line")).where(_core(F.col("line")) != "")
-    lines = scratch.table(each.select("doc", "site", _key(F.col("line")).alias("key")), "lines")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    text = F.col(f"row.{text_col}")
+    doc = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("h"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), doc.alias("doc"))
+    each = docs.select(doc.alias("doc"), F.coalesce(source_col, F.lit("")).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
+    lines = scratch.table(each.where(_core(F.col("line")) != "").select("doc", "site", "place", _key(F.col("line")).alias("key")), "lines")
     shared = scratch.table(shared_lines(lines, min_sites), "shared")
-    hits = lines.join(shared, "key").select("doc", "key", (F.col("doc") == F.col("first")).alias("own")).distinct()
-    per_doc = hits.groupBy("doc").agg(F.collect_list(F.when(~F.col("own"), F.col("key"))).alias("__gone"), F.collect_list(F.when(F.col("own"), F.col("key"))).alias("__once"))
-    return _without(docs, doc, per_doc, text_col)
-
-
-def _without(docs: DataFrame, doc: Column, per_doc: DataFrame, text_col: str) -> DataFrame:
-    docs = docs.drop("n_lines", "n_removed", "__doc", "__gone", "__once")
-    names = docs.columns
-    joined = docs.withColumn("__doc", doc).join(per_doc.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    lines = F.split(text_col, "\n")
-    keys = F.transform(lines, _key)
-
-    def stays(line: Column, i: Column) -> Column:
-        key = _key(line)
-        again = F.array_contains("__once", key) & (F.array_position(keys, key) != i + 1)
-        return (_core(line) == "") | ~(F.array_contains("__gone", key) | again)
-
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    found = joined.withColumn("__kept", kept)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(n)
-    n_kept = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__kept"))
+    # A table of its own: Spark can then split a join's large partitions.
+    gone = scratch.table(gone_lines(lines, shared), "gone")
+    scratch.drop(lines, shared)
+    joined = rows.join(gone.select(F.col("doc").alias("of"), "gone"), F.col("doc") == F.col("of"), "left")
+    found = joined.select("row", "gone", F.split(text, "\n").alias("lines"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    less = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
     return found.select(
-        *(F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in names),
+        *(F.when(F.col("gone").isNull(), text).otherwise(less).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names),
         n_lines.cast("bigint").alias("n_lines"),
-        (n_lines - n_kept).cast("bigint").alias("n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
     )

@@ -86,7 +86,7 @@ def oracle_sql() -> dict[str, str]:
 CHAT_FORMAT = """
 WITH turns AS (
   SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, 'unknown') || chr(31) || coalesce(text, ''))) AS place,
     count(*) OVER (PARTITION BY conv_id) AS n_turns
   FROM conversations),
 chained AS (

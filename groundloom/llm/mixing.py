@@ -72,10 +72,10 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     return placed.withColumn("taken", (full * F.col("size") + part).cast("bigint")).select(*docs.columns, "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
     """The mixed documents themselves: one row per repeat, the one at the budget's end cut after its last taken word."""
     names = docs.columns
-    given = docs.select(F.struct(*names).alias("__row"), *(F.col(c) for c in ("doc_id", "source")), words(F.col(text_col)).alias("size"))
+    given = docs.select(F.struct(*names).alias("__row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
     text = F.col(f"__row.{text_col}")
     full = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = (F.col("taken") - full * F.col("size")).cast("int")

@@ -1,41 +1,6 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables of the operators here: the library's staged tables."""
 
-from __future__ import annotations
+from groundloom.sources.staging import drop, folder, new_path
+from groundloom.sources.staging import staged as table
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; on a local master without one, a new temporary folder."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="groundloom-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back: lineage ends here and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table() that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder_of in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder_of)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["drop", "folder", "new_path", "table"]

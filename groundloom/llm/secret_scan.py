@@ -106,14 +106,31 @@ def _stretches(text: str, a: int, b: int, encoding, ratio: float) -> list[tuple[
     return out
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of sorted spans, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float) -> list[tuple[int, int, int]]:
-    found = []
+    """Spans of random strings outside the sorted spans `taken`; runs and taken spans are swept together."""
+    found, covered, at = [], _merged([(s, e) for s, _, e in taken]), 0
     for m in RUN.finditer(text):
         a, b = m.span()
         if is_identifier(m[0]):
             continue
-        skip = sorted([(s, e) for s, _, e in taken if s < b and a < e] + [u.span() for u in UUID_PART.finditer(text, a, b)])
-        for x, y in _uncovered(a, b, skip):
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        skip, k = [u.span() for u in UUID_PART.finditer(text, a, b)], at
+        while k < len(covered) and covered[k][0] < b:
+            skip.append(covered[k])
+            k += 1
+        for x, y in _uncovered(a, b, sorted(skip)):
             found += [(s, 3, e) for s, e in _stretches(text, x, y, encoding, ratio)]
     return found
 

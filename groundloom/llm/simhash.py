@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ CHUNK = 65_536
 FRONTIER = 500_000
 #: Keys of a text for similar_texts, least values that each is made of, and shingles that one numpy step holds.
 BANDS, ROWS, SLICE = 32, 5, 4096
+#: Cells of a matrix of texts and shingles.
+CELLS = 2_000_000
+LAST = 2**63 - 1
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -244,7 +248,8 @@ def near_duplicates(df: DataFrame, width: int = 3, budget: int = 3, id_col: str
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "component").select("fp", "component_id")
     every = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(every, "fp").select("doc_id", "fp", "component_id")
+    # A table of its own: Spark can then split the join's large partitions, of fingerprints that many rows have.
+    return docs.join(scratch.table(every, "groups"), "fp").select("doc_id", "fp", "component_id")
 
 
 # Near copies by the Jaccard similarity of their shingles.
@@ -265,73 +270,158 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-def _signatures(texts: DataFrame, width: int) -> DataFrame:
-    """id, fp and bands of every text that has a word."""
+def _signatures(rows: DataFrame, width: int) -> DataFrame:
+    """id, doc, fp and bands of every row whose text has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            ids, fps, bands = [], [], []
-            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at, fps, bands = [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 if hashes := shingle_hashes(text, width):
-                    ids.append(i)
+                    at.append(k)
                     fps.append(majority(hashes))
                     bands.append(band_keys(np.unique(np.array(hashes, np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
+            some = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "doc", "fp", "bands"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, fp bigint, bands array<bigint>")
+    return rows.select("id", "doc", "text").mapInArrow(run, "id bigint, doc bigint, fp bigint, bands array<bigint>")
 
 
-def _alike(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+def _shingles(rows: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """id and the distinct shingle hashes of each asked text (id, doc), from one row of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    given = texts.select("id", "text").join(asked, "id", "left_semi").dropDuplicates(["id"])
-    sets = scratch.table(given.mapInArrow(run, "id bigint, shingles array<bigint>"), "shingles")
+    # Copies of a text have ids of their own, so joined by both no text is a hot key.
+    one = rows.join(asked, ["id", "doc"], "left_semi").dropDuplicates(["id", "doc"])
+    return one.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts whose sets of shingles have a Jaccard similarity of `similarity` or more."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.where((F.size("x") >= similarity * F.size("y")) & (F.size("y") >= similarity * F.size("x")))
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+def _open_texts(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """id, shingles of the texts of `apart` that may be similar to another one of them.
+
+    Shingles that no other text of them has cannot be shared: with more than 1 - similarity of those a text
+    has no partner left.
+    """
+    own = scratch.table(sets.join(apart.select("id").distinct(), "id", "left_semi"), "apart-shingles")
+    once = own.select("id", F.explode("shingles").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    lone = once.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    rest = F.size("shingles") - F.coalesce("lone", F.lit(0))
+    return own.join(lone, "id", "left").where(rest >= similarity * F.size("shingles")).select("id", "shingles")
+
+
+def _joined(apart: DataFrame, texts: DataFrame, similarity: float, most: int, volume: int) -> DataFrame:
+    """Links (a, b) between components that similar texts of one key join. apart: band, id, component.
+
+    Keys of more than `most` texts or `volume` shingles are cut into blocks, and each pair of blocks is
+    compared by a task in numpy. Only links that join components leave it.
+    """
+    held = apart.join(texts.select("id", F.size("shingles").alias("n")), "id")
+    keys = held.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).where("c != d")
+    keys = scratch.table(keys.select("band", F.ceil(F.greatest(F.col("rows") / most, F.col("n") / volume)).cast("bigint").alias("blocks")), "apart-keys")
+    sized = held.select("band", "id", "component").join(keys, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    each = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = each.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "id").join(texts, "id")
+
+    def solve(own: np.ndarray, component: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, label = np.unique(component, return_inverse=True)
+        number = label
+        _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(own)), sizes)
+        row, column = row[times[column] > 1], column[times[column] > 1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        shared = np.zeros((len(left), len(right)), np.float32)
+        at = 0
+        while at < len(row):  # columns of some width, of all rows
+            end = int(np.searchsorted(column, column[at] + max(1, CELLS // len(own))))
+            part = np.zeros((len(own), column[end - 1] - column[at] + 1), np.float32)
+            part[row[at:end], column[at:end] - column[at]] = 1
+            shared += part[left] @ part[right].T
+            at = end
+        total = sizes[left][:, None] + sizes[right][None, :] - shared.astype(np.float64)
+        near = (shared >= similarity * total) & (number[left][:, None] != number[right][None, :])
+        a, b = np.nonzero(near)
+        joined = join_labels(np.arange(len(names)), number[left[a]], number[right[b]])
+        at = np.flatnonzero(joined != np.arange(len(names)))
+        return names[at], names[joined[at]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def flush() -> pa.RecordBatch:
+            own, component = (np.array(x, np.int64) for x in zip(*((r[1], r[2]) for r in held), strict=True))
+            sizes = np.array([len(r[3]) for r in held])
+            a, b = solve(own, component, sizes, np.concatenate([r[3] for r in held]))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            band, i, j, own, component = (c.to_pylist() for c in batch.columns[:5])
+            ends = np.cumsum(pa.compute.list_value_length(batch.column(5)).to_numpy())
+            flat = batch.column(5).flatten().to_numpy()
+            for k, key in enumerate(zip(band, i, j, strict=True)):
+                if held and held[0][0] != key:
+                    yield flush()
+                    held = []
+                held.append((key, own[k], component[k], flat[ends[k - 1] if k else 0 : ends[k]]))
+        if held:
+            yield flush()
+
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
+    return dealt.select("band", "i", "j", "own", "component", "shingles").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = 1024, volume: int = 250_000) -> DataFrame:
     """node, component (the smallest node that links reach): xxhash64 of each text that is linked to another text.
 
     Two texts are linked if their sets of shingles of `width` words have a Jaccard similarity of `similarity`
     or more, which is taken exactly. Pairs to compare are the trie's links of the fingerprints and texts that
     share one of BANDS keys: at similarity 0.8 two texts share none with probability 3e-6, above it more rarely.
-    First each text of a key is compared with the key's smallest; then those that are still in different
-    components with one another, so a large group of near copies is not compared pair by pair.
+    First each text of a key is compared with the key's smallest. Of those that are still in different
+    components, texts that can have no partner go, and blocks of the others are compared with one another,
+    so no pair of a large group of near copies becomes a row. Texts of one xxhash64 are one text.
     """
-    texts = df.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("id"), F.col(text_col).alias("text"))
-    made = scratch.table(_signatures(texts, width), "signatures")
-    classes = made.groupBy("fp").agg(F.min("id").alias("least"))
-    equal = made.join(classes, "fp").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
+    rows = df.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("id"), doc.alias("doc"), F.col(text_col).alias("text"))
+    made = scratch.table(_signatures(rows, width), "signatures")
+    texts = scratch.table(made.groupBy("id").agg(F.min("doc").alias("doc"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    classes = scratch.table(texts.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    equal = texts.join(classes, "fp").select(F.col("least").alias("a"), F.col("id").alias("b"))
     near = trie_links(classes.select("fp"))
     for end in "ab":
         near = near.join(classes.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_least")), end)
     near = near.select(F.least("a_least", "b_least").alias("a"), F.greatest("a_least", "b_least").alias("b"))
 
-    each = made.select("id", F.explode("bands").alias("band")).distinct()
-    least = each.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
+    each = texts.select("id", F.explode("bands").alias("band"))
+    least = scratch.table(each.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"), "keys")
     shared = scratch.table(each.join(least, "band"), "bands")
-    first = shared.select("a", F.col("id").alias("b")).union(near).union(equal).where("a != b").distinct()
-    links = scratch.table(_alike(texts, scratch.table(first, "pairs"), width, similarity), "alike")
+    first = scratch.table(shared.select("a", F.col("id").alias("b")).union(near).union(equal).where("a != b").distinct(), "pairs")
+    asked = first.select(F.col("a").alias("id")).union(first.select("b")).distinct().join(texts.select("id", "doc"), "id")
+    sets = scratch.table(_shingles(rows, asked, width), "shingles")
+    links = scratch.table(_alike(first, sets, similarity), "alike")
 
     reached = scratch.table(components(links, "a", "b"), "reached")
     named = shared.join(reached, shared["id"] == reached["node"], "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    parts = named.groupBy("band", "component").agg(F.collect_set("id").alias("ids"))
-    apart = parts.groupBy("band").count().where("count > 1")
-    parts = scratch.table(parts.join(apart, "band", "left_semi"), "apart")
-    left, right = parts.select("band", F.col("component").alias("c"), F.col("ids").alias("xs")), parts.select("band", F.col("component").alias("d"), F.col("ids").alias("ys"))
-    rest = left.join(right, "band").where("c < d").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = scratch.table(_alike(texts, scratch.table(rest, "pairs"), width, similarity), "alike")
-    return components(links.union(more), "a", "b")
+    named = scratch.table(named, "named")
+    split = scratch.table(named.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("band"), "split")
+    apart = scratch.table(named.join(split, "band", "left_semi"), "apart")
+    open_texts = scratch.table(_open_texts(apart, sets, similarity), "open-texts")
+    more = scratch.table(_joined(apart, open_texts, similarity, most, volume), "alike")
+    found = scratch.table(components(links.union(more), "a", "b"), "similar")
+    scratch.drop(made, texts, classes, least, shared, first, sets, links, reached, named, split, apart, open_texts, more)
+    return found
 
 
 def hex_of(fp: Column) -> Column:

@@ -47,3 +47,10 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     # The fingerprints alone, at three bits, leave near copies.
     assert simhash.near_duplicates(docs).agg(F.count_distinct("component_id")).first()[0] > len(set(label))
     assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), "").count() == 0
+
+
+def test_blocks_of_a_large_group_lose_no_link(spark):
+    texts = made()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    whole = {r.node: r.component for r in simhash.similar_texts(docs).collect()}
+    assert {r.node: r.component for r in simhash.similar_texts(docs, most=4, volume=300).collect()} == whole

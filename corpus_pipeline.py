@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 
 #: Below this score (the mean probability of the likeliest language) a document is in none of the languages.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -45,7 +45,7 @@ class EvalConfig:
     bootstrap_replicates: int = 1000
     seed: int = 42
     sweep_entity: tuple[float, ...] = (0.85, 0.90, 0.95)
-    sweep_relation: tuple[float, ...] = (0.70, 0.75, 0.80)
+    sweep_relation: tuple[float, ...] = (0.65, 0.75, 0.85)
     sweep_answers: int = 300
     context_length_edges: tuple[int, ...] = (0, 1000, 2000, 4000, 8000, 16000, 1_000_000)
 

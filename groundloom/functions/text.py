@@ -30,8 +30,9 @@ def normalize(x: Column) -> Column:
 
 def contains_words(longer: Column, shorter: Column) -> Column:
     """Whether shorter stands in longer with no word character next to it. Both normalized; empty is in nothing."""
+    # Few pairs of names get past the plain test, so few patterns are made.
     quoted = F.replace(shorter, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return (shorter != "") & F.rlike(longer, F.concat(F.lit(r"(?U)(?<!\w)\Q"), quoted, F.lit(r"\E(?!\w)")))
+    return (shorter != "") & F.contains(longer, shorter) & F.rlike(longer, F.concat(F.lit(r"(?U)(?<!\w)\Q"), quoted, F.lit(r"\E(?!\w)")))
 
 
 def word_runs(x: Column) -> Column:
@@ -40,8 +41,8 @@ def word_runs(x: Column) -> Column:
 
 def is_true(x: Column) -> Column:
     """A flag given as a boolean, a number or a string."""
-    low = F.lower(F.btrim(x.cast("string")))
-    return F.coalesce(low.isin("true", "yes", "1"), F.lit(False))
+    low = F.lower(strip(x.cast("string")))
+    return F.coalesce(low.isin("true", "yes") | (F.coalesce(low.try_cast("double"), F.lit(0.0)) != 0), F.lit(False))
 
 
 def shown_value(x: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from groundloom.config import ExtractConfig
 from groundloom.functions.text import cache_key, strip
+from groundloom.sources.staging import staged
 
 MAX_ENTITIES, MIN_LETTERS, LINK = 12, 4, "co_occurs_with"
 GRAPH = "entities array<string>, relations array<struct<s:string,r:string,o:string>>"
@@ -59,7 +60,7 @@ def backend_graph(df: DataFrame, key: str, text_col: str, load: Callable[[], Cal
                     except Exception as e:
                         row["error"] = repr(e)
                         if attempt + 1 < config.max_retries:
-                            time.sleep(config.backoff_multiplier**attempt / 1000)
+                            time.sleep(config.backoff_multiplier**attempt)
                         continue
                     triples = sorted({tuple(map(str, t)) for t in relations if len(t) == 3})
                     row |= {"entities": sorted({str(e) for e in entities}), "relations": [dict(zip("sro", t, strict=True)) for t in triples], "error": None}
@@ -80,6 +81,26 @@ def with_key(df: DataFrame, text_col: str, config: ExtractConfig) -> DataFrame:
     return df.withColumn("cache_key", cache_key(strip(F.col(text_col)), extraction_params(config)))
 
 
+def cached_graphs(texts: DataFrame, key: str, text_col: str, kind: str, cache: str, extract: Callable[[DataFrame], DataFrame], config: ExtractConfig) -> DataFrame:
+    """key, entities, relations and error of each text: from the cache, or extracted and added to it.
+
+    The cache is a Parquet folder of cache_key, entities and relations, apart for each kind of text. `extract`
+    gets cache_key and text of what it lacks, each once, and returns cache_key, entities, relations and maybe
+    error; graphs with an error aren't kept, so a later run tries them again.
+    """
+    spark, place = texts.sparkSession, f"{cache.rstrip('/')}/{kind}"
+    keyed = staged(with_key(texts.select(key, F.col(text_col).alias("text")), "text", config), f"{kind}-texts")
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    held = spark.read.schema(f"cache_key string, {GRAPH}").parquet(place) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else spark.createDataFrame([], f"cache_key string, {GRAPH}")
+    made = extract(misses(keyed.select("cache_key", "text"), held).select("cache_key", "text"))
+    made = made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string"))
+    made = staged(made.select("cache_key", "entities", "relations", "error"), f"{kind}-made")
+    found = held.withColumn("error", F.lit(None).cast("string")).unionByName(made)
+    found = staged(keyed.select(key, "cache_key").join(found, "cache_key").drop("cache_key"), f"{kind}-graphs")
+    made.where("error IS NULL").drop("error").write.mode("append").parquet(place)
+    return found
+
+
 def misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct keys and texts that the cache has no graph of."""
     return wanted.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")

@@ -6,7 +6,7 @@ stage sees what the one before left over, and each distinct name of a source is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundloom.config import MatchConfig
@@ -61,6 +61,11 @@ def with_vectors(df: DataFrame, names: list[str], embed: Embedder | None) -> Dat
     return df.withColumns({f"vec_{c}": measured(embed(F.col(c))) for c in names})
 
 
+def with_shared_vectors(df: DataFrame, name: str, embed: Embedder) -> DataFrame:
+    """df with vec_<name>, made once for each distinct name: for names that many rows share, such as predicates."""
+    return df.join(with_vectors(df.select(name).distinct(), [name], embed), name)
+
+
 def substring_pairs(names: DataFrame, refs: DataFrame, config: MatchConfig) -> DataFrame:
     """(source_id, v, w) of names in one another.
 
@@ -103,8 +108,8 @@ def match_entities(names: DataFrame, refs: DataFrame, config: MatchConfig, embed
 def nearest(queries: DataFrame, refs: DataFrame, group: list[str], query: str, ref: str) -> DataFrame:
     """The reference of the largest cosine (then the smallest) in a query's group; both sides have vectors."""
     pairs = queries.join(refs, group).select(*group, query, ref, measured_cosine(F.col(f"vec_{query}"), F.col(f"vec_{ref}")).alias("cos"))
-    best = Window.partitionBy(*group, query).orderBy(F.col("cos").desc_nulls_last(), ref)
-    return pairs.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
+    first = F.min(F.struct(F.col("cos").isNull().alias("none"), (-F.col("cos")).alias("far"), ref, "cos")).alias("x")
+    return pairs.groupBy(*group, query).agg(first).select(*group, query, f"x.{ref}", "x.cos")
 
 
 def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFrame, config: MatchConfig, embed: Embedder | None = None) -> DataFrame:
@@ -120,7 +125,8 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFra
         open_triples = open_triples.join(ends.withColumnRenamed("v", c), ["source_id", c], "left_semi")
     if embed:
         near = F.coalesce(measured_cosine(F.col("vec_r"), F.col("vec_r2")) >= config.relation_sim_threshold, F.lit(False))
-        left, right = with_vectors(open_triples, list("sro"), embed), with_vectors(ref_triples, ["s2", "r2", "o2"], embed)
+        left = with_shared_vectors(with_vectors(open_triples, list("so"), embed), "r", embed)
+        right = with_shared_vectors(with_vectors(ref_triples, ["s2", "o2"], embed), "r2", embed)
         pairs = left.join(right, "source_id").where((F.col("r") == F.col("r2")) | near)
     else:
         pairs = open_triples.join(ref_triples.withColumn("r", F.col("r2")), ["source_id", "r"])

@@ -10,6 +10,7 @@ from groundloom.functions.metrics import finite, risk
 from groundloom.functions.vectors import Embedder, measured_cosine
 from groundloom.operators import matching, ranking
 from groundloom.operators.prefix import spread_number
+from groundloom.sources.staging import staged
 
 
 def hashed(seed: str, *columns: str) -> Column:
@@ -36,10 +37,10 @@ def alpha_scores(rows: DataFrame, config: EvalConfig) -> DataFrame:
     return ranking.auc(each, ["alpha", "fold"]).groupBy("alpha").agg(F.avg("auc").alias("cv_auc"))
 
 
-def best_alpha(scores: DataFrame) -> DataFrame:
-    """The smallest alpha of the largest score; nearest to 0.7 if no score is defined."""
+def best_alpha(scores: DataFrame, grid: tuple[float, ...] = EvalConfig().alpha_grid) -> DataFrame:
+    """The smallest alpha of the largest score; nearest to 0.7 if no score is defined; the middle of the grid if nothing was scored."""
     key = F.struct(F.coalesce("cv_auc", F.lit(-1.0)).alias("a"), F.when(F.col("cv_auc").isNull(), -F.abs(F.col("alpha") - 0.7)).otherwise(0.0).alias("b"), (-F.col("alpha")).alias("c"))
-    return scores.agg(F.max(key).alias("x")).select((-F.col("x.c")).alias("alpha"))
+    return scores.agg(F.max(key).alias("x")).select(F.coalesce(-F.col("x.c"), F.lit(float(grid[len(grid) // 2]))).alias("alpha"))
 
 
 def sample(rows: DataFrame, n: int, seed: str = "sample", id_col: str = "response_id") -> DataFrame:
@@ -82,35 +83,59 @@ def threshold_sweep(answers: DataFrame, contexts: DataFrame, questions: DataFram
     return ranking.auc(rows, ["tau_e", "tau_r"]).select("tau_e", "tau_r", "n", "auc")
 
 
-def _poisson() -> list[float]:
-    """Cumulative probabilities of 0, 1, ... draws of a row, Poisson with mean 1."""
-    from math import exp, factorial
-
-    out, total = [], 0.0
-    for k in range(10):
-        total += exp(-1) / factorial(k)
-        out.append(total)
+def poisson_steps(most: int = 32) -> list[list[int]]:
+    """For each mean from 0 to `most`, the 32-bit numbers at which a Poisson draw steps up by one."""
+    from math import exp
+
+    out: list[list[int]] = [[]]
+    for n in range(1, most + 1):
+        term, total, steps = exp(-n), 0.0, []
+        for k in range(5 * n + 20):
+            total += term
+            term *= n / (k + 1)
+            if int(total * 2**32) >= 2**32 - 1:
+                break
+            steps.append(int(total * 2**32))
+        out.append(steps)
     return out
 
 
-def draws(key: Column) -> Column:
-    """How often a row is drawn: Poisson with mean 1, from the first 32 bits of a hex hash.
+def normal_steps(count: int = 1024) -> list[float]:
+    """Quantiles of the normal distribution in the middle of `count` equal shares, to six digits."""
+    from statistics import NormalDist
 
-    Every row is drawn on its own, so a replicate needs no index of rows and no join; its size is n on average.
-    """
+    return [round(NormalDist().inv_cdf((k + 0.5) / count), 6) for k in range(count)]
+
+
+def draws(key: Column, n: Column) -> Column:
+    """How often n rows are drawn together, from the first 32 bits of a hex hash: Poisson with mean n; above 32 by the normal distribution."""
+    steps, normal = poisson_steps(), normal_steps()
     u = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
-    return sum((F.when(u >= int(p * 2**32), 1).otherwise(0) for p in _poisson()), F.lit(0))
+    few = F.size(F.filter(F.element_at(F.lit(steps), (F.least(n, F.lit(len(steps) - 1)) + 1).cast("int")), lambda p: u >= p))
+    z = F.element_at(F.lit(normal), (F.shiftright(u, 22) + 1).cast("int"))
+    many = F.greatest(F.floor(n + F.sqrt(n.cast("double")) * z + F.lit(0.5)), F.lit(0))
+    return F.when(n < len(steps), few).otherwise(many).cast("bigint")
+
 
+def bootstrap(rows: DataFrame, theta: float, config: EvalConfig, h: str = "h", metrics: dict | None = None) -> DataFrame:
+    """metric, lo, hi: percentile intervals over replicates with both classes, of AUC and F1 or of other metrics.
 
-def bootstrap(rows: DataFrame, theta: float, config: EvalConfig, h: str = "h") -> DataFrame:
-    """metric, lo, hi: percentile intervals of AUC and F1 over replicates with both classes."""
+    Rows of one score and class are counted first and drawn together, as often as Poisson draws of each would
+    come to: a replicate costs a step for each distinct score, however many the rows. metrics: by name, a
+    function of replicates (rep, h, y, w, the draws) that returns rep and v.
+    """
     good = rows.where(finite(F.col(h))).select("response_id", "y", F.col(h).alias("h"))
-    drawn = good.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(config.bootstrap_replicates - 1))))
-    drawn = drawn.withColumn("w", draws(hashed(str(config.seed), "rep", "response_id"))).where("w > 0")
-    per = drawn.groupBy("rep", "h").agg(*(F.sum(F.when(F.col("y") == v, F.col("w")).otherwise(0)).alias(n) for n, v in (("p", 1), ("q", 0))))
-    counted = per.select("rep", "h", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("p").alias("w")), F.struct(F.lit(0).alias("y"), F.col("q").alias("w")))).alias("x")).select("rep", "h", "x.*")
-    auc = ranking.auc(counted, ["rep"], weight=F.col("w")).where("auc IS NOT NULL").select("rep", "auc")
-    f1 = ranking.prf(counted, ["rep"], theta, weight=F.col("w")).select("rep", "f1").join(auc, "rep", "left_semi")
-    each = auc.select(F.lit("auc").alias("metric"), F.col("auc").alias("v")).unionByName(f1.select(F.lit("f1").alias("metric"), F.col("f1").alias("v")))
+    counted = good.groupBy("h", "y").agg(F.count(F.lit(1)).alias("n"), F.min("response_id").alias("first"))
+    drawn = counted.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(config.bootstrap_replicates - 1))))
+    drawn = drawn.withColumn("w", draws(hashed(str(config.seed), "rep", "first"), F.col("n"))).where("w > 0").select("rep", "h", "y", "w")
+    drawn = staged(drawn, "draws")
+    auc = staged(ranking.auc(drawn, ["rep"], weight=F.col("w")).where("auc IS NOT NULL").select("rep", F.col("auc").alias("v")), "draws-auc")
+    if metrics is None:
+        metrics = {"f1": lambda d: ranking.prf(d, ["rep"], theta, weight=F.col("w")).select("rep", F.col("f1").alias("v"))}
+        each = auc.select(F.lit("auc").alias("metric"), "v")
+    else:
+        each = auc.limit(0).select(F.lit("").alias("metric"), "v")
+    for name, of in metrics.items():
+        each = each.unionByName(of(drawn).join(auc.select("rep"), "rep", "left_semi").select(F.lit(name).alias("metric"), "v"))
     band = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
     return each.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), band.alias("band")).select("metric", "n", F.col("band")[0].alias("lo"), F.col("band")[1].alias("hi"))

@@ -6,8 +6,8 @@ import json
 
 from groundloom.config import STOPWORDS
 from groundloom.functions.text import EDGES
+from groundloom.operators import tuning
 from groundloom.operators.extract import extraction_params
-from groundloom.operators.tuning import _poisson
 from groundloom.queries import CONFIG
 
 
@@ -139,11 +139,6 @@ def _overall(key: str) -> str:
     return f"(SELECT *, {key} AS grp FROM rows_ WHERE {key} IS NOT NULL UNION ALL SELECT *, 'OVERALL' FROM rows_)"
 
 
-def _draws(key: str) -> str:
-    u = f"('0x' || substring({key}, 1, 8))::BIGINT"
-    return "(" + " + ".join(f"CASE WHEN {u} >= {int(p * 2**32)} THEN 1 ELSE 0 END" for p in _poisson()) + ")"
-
-
 _DOC_GRAPHS = f"SELECT doc_id, {_firsts('w')} AS e FROM (SELECT doc_id, {_words('text')} AS w FROM documents)"
 _PARAMS = _quoted(json.dumps(extraction_params(CONFIG.extract), sort_keys=True))
 _KEY = rf"sha256({_PARAMS} || chr(0) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'))"
@@ -177,7 +172,7 @@ def _tau_sweep() -> str:
     return _with(
         ("inst", "picked", "toks", "names", "edges", "refs", "reft"),
         "SELECT tau_e, tau_r, n, auc::DOUBLE AS auc FROM (" + _auc("final", "tau_e, tau_r") + ")",
-        picked=f"SELECT * FROM inst WHERE split = 'train' ORDER BY md5('sample:' || response_id), response_id LIMIT {c.sweep_answers}",
+        picked=f"SELECT * FROM inst WHERE split = 'train'",
         best=f"SELECT response_id, raw, v, max({_strength('v', 'w', 'vl', 'wl')}) FILTER (WHERE w IS NOT NULL AND v <> '') AS best FROM (SELECT *, {_letters('v')} AS vl FROM names) LEFT JOIN (SELECT *, {_letters('w')} AS wl FROM refs) USING (source_id) GROUP BY response_id, raw, v",
         grid=f"SELECT * FROM {_grid(c.sweep_entity, 'tau_e')}, {_grid(c.sweep_relation, 'tau_r')}",
         egs="SELECT response_id, tau_e, tau_r, avg(CASE WHEN best >= tau_e THEN 1.0::DOUBLE ELSE 0 END) AS eg FROM best, grid GROUP BY ALL",
@@ -194,11 +189,15 @@ def _tau_sweep() -> str:
 
 def _bootstrap() -> str:
     c = CONFIG.evaluate
+    steps, normal = tuning.poisson_steps(), tuning.normal_steps()
     return _with(
         _TO_ROWS,
         """SELECT metric, count(*) AS n, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM (
           SELECT 'auc' AS metric, auc AS v FROM per UNION ALL SELECT 'f1', f1 FROM per) GROUP BY metric""",
-        drawn=f"SELECT rep, y, h, {_draws(f'md5({_quoted(str(c.seed))} || chr(58) || rep || chr(58) || response_id)')} AS w FROM rows_, range({c.bootstrap_replicates}) t(rep) WHERE split = 'test' AND h IS NOT NULL",
+        counted="SELECT h, y, count(*) AS n, min(response_id) AS first FROM rows_ WHERE split = 'test' AND h IS NOT NULL GROUP BY h, y",
+        keyed=f"SELECT *, ('0x' || md5({_quoted(str(c.seed))} || chr(58) || rep || chr(58) || first)[1:8])::BIGINT AS u FROM counted, range({c.bootstrap_replicates}) t(rep)",
+        drawn=f"""SELECT rep, h, y, (CASE WHEN n < {len(steps)} THEN len(list_filter(({steps})[least(n, {len(steps) - 1}) + 1], lambda p: u >= p))
+          ELSE greatest(floor(n + sqrt(n::DOUBLE) * ({normal}::DOUBLE[])[(u >> 22) + 1] + 0.5::DOUBLE), 0) END)::BIGINT AS w FROM keyed""",
         steps="SELECT rep, h, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS q FROM drawn GROUP BY rep, h HAVING sum(w) > 0",
         runs="SELECT *, coalesce(sum(q) OVER (PARTITION BY rep ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM steps",
         per="""SELECT rep, (sum(p * (2 * below + q)) / (2.0 * sum(p) * sum(q)))::DOUBLE AS auc,

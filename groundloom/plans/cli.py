@@ -1,53 +1,120 @@
-"""Runs a corpus of JSON lines to scores, tuning, evaluation and audits.
+"""Runs a corpus of JSON lines to graphs, scores, tuning, evaluation and audits.
 
-python -m groundloom.plans.cli --data-dir D --output-dir O [--config C] [--stage all|score|tune|evaluate] [--no-audit]
+python -m groundloom.plans.cli --data-dir D --output-dir O [--config C] [--stage all|extract|score|tune|evaluate]
+    [--limit N] [--fake-extractor] [--extractor MODULE:NAME] [--embedder MODULE:NAME] [--cache FOLDER] [--no-audit]
+
+--extractor names a function without arguments that gives a backend's generate(text, cluster, chunk_size), and
+--embedder one that gives a function from a list of texts to their vectors; without them, or with
+--fake-extractor, the offline extractor and letter counts are used. Each stage reads what those before it wrote.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundloom.config import Config, load_config
-from groundloom.functions.vectors import letter_counts
-from groundloom.operators import scoring
+from groundloom.functions.metrics import risk
+from groundloom.functions.vectors import Embedder, letter_counts, model_embedder
+from groundloom.operators import extract, scoring, tuning
 from groundloom.plans import evaluate
-from groundloom.plans.instances import graphs
 from groundloom.sources import jsonl
 from groundloom.sources.staging import staged
 
+STAGES = ("all", "extract", "score", "tune", "evaluate")
+GRAPHS = ("answers", "contexts", "questions")
+
+
+def _named(name: str):
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def extract_graphs(instances: DataFrame, config: Config, cache: str, load=None) -> dict[str, DataFrame]:
+    """Graphs of answers, contexts and questions with their errors; contexts and questions once for each source."""
+    sources = instances.select("source_id", "context", "query").dropDuplicates(["source_id"])
+
+    def of(texts: DataFrame, key: str, column: str, kind: str) -> DataFrame:
+        if load:
+            made = lambda df: extract.backend_graph(df, "cache_key", "text", load, config.extract)
+        else:
+            made = lambda df: extract.offline_graph(df, "text", phrases=kind == "answers").drop("text")
+        return extract.cached_graphs(texts, key, column, kind, cache, made, config.extract)
+
+    answers = of(instances, "response_id", "response", "answers").join(instances.select("response_id", "source_id"), "response_id")
+    return {"answers": answers, "contexts": of(sources, "source_id", "context", "contexts"), "questions": of(sources, "source_id", "query", "questions")}
+
+
+def _good(graphs: dict[str, DataFrame]) -> list[DataFrame]:
+    """Answers, contexts and questions of the sources whose graphs are whole."""
+    bad = graphs["contexts"].where("error IS NOT NULL").select("source_id").union(graphs["questions"].where("error IS NOT NULL").select("source_id"))
+    return [graphs[k].where("error IS NULL").drop("error").join(bad, "source_id", "left_anti") for k in GRAPHS]
+
+
+def _text(spark: SparkSession, value: str, path: str) -> None:
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser()
-    for name in ("config", "data-dir", "output-dir"):
+    for name in ("config", "data-dir", "output-dir", "extractor", "embedder", "cache"):
         parser.add_argument(f"--{name}")
-    parser.add_argument("--stage", choices=("all", "score", "tune", "evaluate"), default="all")
+    parser.add_argument("--stage", choices=STAGES, default="all")
+    parser.add_argument("--limit", type=int)
+    parser.add_argument("--fake-extractor", action="store_true")
     parser.add_argument("--no-audit", action="store_true")
     given = parser.parse_args(args)
     config = load_config(given.config) if given.config else Config()
-    spark, out = SparkSession.builder.getOrCreate(), given.output_dir
-    instances = staged(jsonl.load_instances(spark, given.data_dir), "instances")
-    if given.stage in ("all", "score"):
-        scoring.score(*graphs(instances), config.match, letter_counts).write.mode("overwrite").parquet(f"{out}/scored")
+    load = _named(given.extractor) if given.extractor and not given.fake_extractor else None
+    embed: Embedder = model_embedder(_named(given.embedder)) if given.embedder and not given.fake_extractor else letter_counts
+    spark, out, began = SparkSession.builder.getOrCreate(), given.output_dir, time.time()
+    found = jsonl.load_instances(spark, given.data_dir)
+    # The first answers by id, with their sources.
+    instances = staged(found.orderBy("response_id").limit(given.limit) if given.limit else found, "instances")
+    wants = lambda stage: given.stage in ("all", stage)
+
+    if given.stage != "evaluate":
+        graphs = extract_graphs(instances, config, given.cache or f"{out}/graph-cache", load)
+        for k in GRAPHS:
+            graphs[k].write.mode("overwrite").parquet(f"{out}/graphs/{k}")
+        graphs = {k: spark.read.parquet(f"{out}/graphs/{k}") for k in GRAPHS}
+        jsonl.write_failures(evaluate.failures(instances, graphs["answers"], graphs["contexts"], graphs["questions"]), f"{out}/failed")
+    if given.stage == "extract":
+        return
+    if given.stage != "evaluate":
+        scoring.score(*_good(graphs), config.match, embed).write.mode("overwrite").parquet(f"{out}/scored")
     if given.stage == "score":
         return
-    scored = spark.read.parquet(f"{out}/scored")
-    rows = staged(scoring.eval_rows(scored, instances, config.evaluate.alpha or 0.7), "eval-rows")
-    chosen = f"{out}/tuning"
-    if given.stage in ("all", "tune"):
-        tuned = evaluate.tune(rows.where("split = 'train'"), config.evaluate)
-        spark.createDataFrame([(json.dumps(tuned),)], "value string").coalesce(1).write.mode("overwrite").text(chosen)
+    scored, alpha = spark.read.parquet(f"{out}/scored"), config.evaluate.alpha
+    if wants("tune"):
+        rows = staged(scoring.eval_rows(scored, instances, 0.7 if alpha is None else alpha), "train-rows").where("split = 'train'")
+        tuned = evaluate.tune(rows, config.evaluate)
+        answers, contexts, questions = _good(graphs)
+        train = tuning.sample(answers.join(rows.select("response_id"), "response_id", "left_semi"), config.evaluate.sweep_answers)
+        sweep = tuning.threshold_sweep(train, contexts, questions, rows, embed, config.match, config.evaluate, tuned["alpha"])
+        tuned["tau_sweep"] = [r.asDict() for r in sweep.orderBy("tau_e", "tau_r").collect()]
+        _text(spark, json.dumps(tuned), f"{out}/tuning")
     if given.stage == "tune":
         return
-    tuned = json.loads(spark.read.text(chosen).first()[0])
-    found = evaluate.tables(rows.where("split = 'test'"), tuned["alpha"], tuned["theta"], config.evaluate)
+    tuned = json.loads(spark.read.text(f"{out}/tuning").first()[0])
+    alpha, theta = tuned["alpha"], tuned["theta"]
+    rows = staged(scoring.eval_rows(scored, instances, alpha), "eval-rows")
+    test = rows.where("split = 'test'")
+    results = evaluate.tables(test, alpha, theta, config.evaluate)
     jsonl.write_csv(rows, f"{out}/metrics")
-    spark.createDataFrame([(evaluate.report(found),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
+    failed = spark.read.schema(jsonl.FAILURES).json(f"{out}/failed").count()
+    summary = staged(evaluate.summary(results, test.withColumn("h", risk(F.col("EG"), F.col("RP"), alpha)), tuned, config.match, theta, failed), "summary")
+    jsonl.write_csv(summary.coalesce(1), f"{out}/summary")
+    _text(spark, evaluate.report(results, tuned), f"{out}/report")
+    print(json.dumps(summary.select(*evaluate.SHORT).first().asDict()))
     if not given.no_audit:
-        kept = evaluate.audits(scored, instances, tuned["alpha"], tuned["theta"], config.evaluate.empty_response_impute_h)
-        kept.select("split", "record").withColumnRenamed("record", "value").write.mode("overwrite").partitionBy("split").text(f"{out}/audits")
+        kept = evaluate.audits(scored, instances, alpha, theta, config.evaluate.empty_response_impute_h, {"run": round(time.time() - began, 3)})
+        kept.select("split", F.col("record").alias("value")).write.mode("overwrite").partitionBy("split").text(f"{out}/audits")
 
 
 if __name__ == "__main__":

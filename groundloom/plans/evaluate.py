@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundloom.config import EvalConfig
-from groundloom.functions.metrics import risk
+from groundloom.config import EvalConfig, MatchConfig
+from groundloom.functions.metrics import cfi, risk
 from groundloom.operators import ranking, tuning
 
 
-def tune(train: DataFrame, config: EvalConfig) -> dict:
-    """alpha (given, or by cross-validation), theta of the largest F1, and the trace."""
+def tune(train: DataFrame, config: EvalConfig, sweep: DataFrame | None = None) -> dict:
+    """alpha (given, or by cross-validation), theta of the largest F1, and the trace, with that of a threshold sweep if given.
+
+    Without a train row that can be scored alpha is the middle of the grid, and theta 0.5.
+    """
     trace = [] if config.alpha is not None else [r.asDict() for r in tuning.alpha_scores(train, config).orderBy("alpha").collect()]
-    alpha = config.alpha if config.alpha is not None else tuning.best_alpha(train.sparkSession.createDataFrame([(r["alpha"], r["cv_auc"]) for r in trace], "alpha double, cv_auc double")).first().alpha
-    scores = train.withColumn("h", risk(F.col("EG"), F.col("RP"), alpha))
-    best = ranking.best_threshold(scores.where(~F.col("unscorable"))).first()
-    return {"alpha": alpha, "theta": best.theta, "train_f1": best.f1, "alpha_cv": trace}
+    scores = train.sparkSession.createDataFrame([(r["alpha"], r["cv_auc"]) for r in trace], "alpha double, cv_auc double")
+    alpha = config.alpha if config.alpha is not None else tuning.best_alpha(scores, config.alpha_grid).first().alpha
+    best = ranking.best_threshold(train.withColumn("h", risk(F.col("EG"), F.col("RP"), alpha)).where(~F.col("unscorable"))).first()
+    found = {"alpha": alpha, "theta": best.theta, "train_f1": best.f1, "alpha_cv": trace}
+    return found if sweep is None else found | {"tau_sweep": [r.asDict() for r in sweep.orderBy("tau_e", "tau_r").collect()]}
 
 
 def tables(rows: DataFrame, alpha: float, theta: float, config: EvalConfig) -> dict[str, DataFrame]:
@@ -40,24 +44,74 @@ def tables(rows: DataFrame, alpha: float, theta: float, config: EvalConfig) -> d
     }
 
 
-def audits(scored: DataFrame, instances: DataFrame, alpha: float, theta: float, impute: float) -> DataFrame:
+def summary(found: dict[str, DataFrame], rows: DataFrame, tuned: dict, match: MatchConfig, theta: float, n_failed: int = 0) -> DataFrame:
+    """One row: the settings, the overall figures of both policies, intervals, and counts of odd answers. rows: of the test, with h."""
+    overall = ranking.auc(rows.where(~F.col("unscorable")), []).select(F.col("auc").alias("overall_AUC_exclude_unscorable"))
+    at_theta = ranking.prf(rows.where(~F.col("unscorable")), [], theta).select(F.col("precision").alias("overall_P"), F.col("recall").alias("overall_R"), F.col("f1").alias("overall_F1"))
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    bands = found["intervals"].agg(*(of(m, c).alias(f"overall_{m.upper()}_{c}") for m in ("auc", "f1") for c in ("lo", "hi")))
+    settings = {"alpha": tuned["alpha"], "theta": theta, "tau_e": match.entity_sim_threshold, "tau_r": match.relation_sim_threshold}
+    out = overall.select(*(F.lit(float(v)).alias(k) for k, v in settings.items()), "*")
+    odd = found["degenerate"].select(*(F.col(c).alias(f"degenerate_{c}") for c in found["degenerate"].columns), F.lit(n_failed).alias("degenerate_failed_extractions"))
+    imputed = found["auc_imputed"].select(F.col("auc").alias("overall_AUC_impute")).crossJoin(F.broadcast(found["prf_imputed"].select(F.col("f1").alias("overall_F1_impute"))))
+    for one in (at_theta, bands, imputed, odd):  # a row each
+        out = out.crossJoin(F.broadcast(one))
+    return out
+
+
+#: Columns of a summary that a short print shows.
+SHORT = ("alpha", "theta", "tau_e", "tau_r", "overall_AUC_exclude_unscorable", "overall_F1", "overall_AUC_impute")
+
+
+def audits(scored: DataFrame, instances: DataFrame, alpha: float, theta: float, impute: float, timings: dict[str, float] | None = None) -> DataFrame:
     """split and the audit record of each scored answer as JSON, nulls kept; rounding is half-up to 4 places."""
-    given = instances.select("response_id", "task", "gen_model", "split", "y", "context", "query", "response")
-    h = risk(F.col("EG"), F.col("RP"), alpha, impute)
-    joined = scored.join(given, "response_id").withColumn("H", h)
+    names = [c for c in ("response_id", "task", "gen_model", "split", "y", "gt_span_types", "context", "query", "response") if c in instances.columns]
+    joined = scored.join(instances.select(*names), "response_id")
+    joined = joined.withColumns({"H": risk(F.col("EG"), F.col("RP"), alpha, impute), "CFI": cfi(F.col("EG"), F.col("RP"), alpha)})
     sizes = F.struct(*(F.col(c) for c in ("Vc", "Ec", "Vq", "Eq", "Va", "Ea")))
-    rounded = [F.round(c, 4).alias(c) for c in ("EG", "RP", "H")]
+    rounded = {c: F.round(c, 4).alias(c) for c in ("EG", "RP", "CFI", "H")}
     lists = ("matched_entities", "ungrounded_entities", "supported_relations", "unsupported_relations")
-    record = F.struct("response_id", "source_id", "task", "gen_model", "split", "y", *rounded, (F.col("H") >= theta).alias("flagged"), F.lit(alpha).alias("alpha"), F.lit(theta).alias("theta"), sizes.alias("graph_sizes"), *lists, "unscorable", "ref_empty", "query", "response")
+    types = F.col("gt_span_types") if "gt_span_types" in names else F.array().cast("array<string>")
+    spent = F.create_map(*(F.lit(x) for kv in (timings or {}).items() for x in kv)) if timings else F.create_map().cast("map<string,double>")
+    record = F.struct(
+        "response_id", "source_id", "task", "gen_model", "split", F.lit(alpha).alias("alpha"), F.lit(theta).alias("theta"),
+        rounded["EG"], rounded["RP"], "RP_defined", rounded["CFI"], rounded["H"], (F.col("H") >= theta).alias("flagged"),
+        "unscorable", "ref_empty", sizes.alias("graph_sizes"), *lists, F.col("y").alias("gt_label"), types.alias("gt_span_types"),
+        spent.alias("timings_s"), "query", "response",
+    )
     return joined.select("split", "response_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
 
 
-def report(found: dict[str, DataFrame]) -> str:
-    """Markdown of small tables; undefined is blank."""
+def failures(instances: DataFrame, answers: DataFrame, contexts: DataFrame, questions: DataFrame) -> DataFrame:
+    """stage, response_id, source_id and error of the graphs that are missing: of sources, and of answers, with those that their source leaves without one.
+
+    The three graph tables have a column `error`, null where extraction went well.
+    """
+    bad = F.col("error").isNotNull()
+    refs = contexts.where(bad).select("source_id", "error").unionByName(questions.where(bad).select("source_id", "error")).groupBy("source_id").agg(F.min("error").alias("error"))
+    lost = instances.select("response_id", "source_id").join(refs.select("source_id"), "source_id", "left_semi")
+    none = F.lit(None).cast("string").alias("response_id")
+    skipped = lost.select(F.lit("response(skipped: ref failed)").alias("stage"), "response_id", "source_id", F.lit("reference extraction failed").alias("error"))
+    own = answers.where(bad).join(lost.select("response_id"), "response_id", "left_anti").select(F.lit("response").alias("stage"), "response_id", "source_id", "error")
+    return refs.select(F.lit("reference").alias("stage"), none, "source_id", "error").unionByName(skipped).unionByName(own)
+
+
+def _table(columns: list[str], rows: list) -> str:
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    return "\n".join([f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}", *(f"| {' | '.join(map(show, r))} |" for r in rows)])
+
+
+def report(found: dict[str, DataFrame], tuned: dict | None = None, usage: dict | None = None) -> str:
+    """Markdown of small tables, with the rank-sum test's p-value and the tuning trace; undefined is blank."""
     parts = []
     for name, df in found.items():
-        rows = df.collect()
-        head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
-        parts.append("\n".join([f"## {name}", "", head, *(f"| {' | '.join(map(show, r))} |" for r in rows)]))
+        columns, rows = df.columns, [tuple(r) for r in df.collect()]
+        if name == "mann_whitney":
+            columns, rows = [*columns, "p_value"], [(*r, ranking.p_value(r[columns.index("z")])) for r in rows]
+        parts.append(f"## {name}\n\n{_table(columns, rows)}")
+    for name in ("alpha_cv", "tau_sweep"):
+        if rows := (tuned or {}).get(name):
+            parts.append(f"## tuning: {name}\n\n{_table(list(rows[0]), [tuple(r.values()) for r in rows])}")
+    if usage:
+        parts.append(f"## usage\n\n{_table(list(usage), [tuple(usage.values())])}")
     return "\n\n".join(parts) + "\n"

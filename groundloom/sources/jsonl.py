@@ -55,10 +55,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_failures(df: DataFrame, path: str) -> None:
-    """The rows whose extraction failed, with the error."""
-    write_jsonl(df.where(F.col("error").isNotNull()), path)
+FAILURES = "stage string, response_id string, source_id string, error string"
 
 
-def read_scored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return read_jsonl(spark, path, schema)
+def write_failures(df: DataFrame, path: str) -> None:
+    """A record for each graph that is missing: stage, response_id, source_id, error."""
+    write_jsonl(df, path)

@@ -62,6 +62,6 @@ def test_backend_errors_stay_in_their_row(spark):
     from groundloom.config import ExtractConfig
 
     given = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", " ")], "id string, text string")
-    rows = {r.id: r for r in extract.backend_graph(given, "id", "text", load, ExtractConfig(max_retries=2)).collect()}
+    rows = {r.id: r for r in extract.backend_graph(given, "id", "text", load, ExtractConfig(max_retries=2, backoff_multiplier=0.0)).collect()}
     assert rows["1"].entities == ["a", "b"] and len(rows["1"].relations) == 1 and rows["1"].error is None
     assert "no" in rows["2"].error and rows["3"].entities == [] and rows["3"].error is None

@@ -1,15 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame operations.
 
-A text is cut into paragraphs: lines, or stretches of a line that end with the sentence after 80 characters. Its
+A text is cut into paragraphs: lines, or stretches of a line that end with the sentence after 80 characters,
+or 120 characters later if no sentence ends. Its
 fingerprint is a sketch of their distinct digests: 4 tables of cells, each the number, exclusive or and check
 of the digests that hash there. Two sketches are subtracted cell by cell; what both texts share cancels, and
 cells that hold one digest are peeled off, table by table, until the differing digests are all known. If that
-fails, as it must if more differ than there are cells, a sketch sized by the two texts is peeled with other
-hashes; the few pairs where that fails too are compared digest by digest. The likeness of two texts is the
+fails, as it must if more differ than there are cells, and only then, a larger sketch sized by the two texts is
+drawn with other hashes and peeled; the few pairs where that fails too are compared digest by digest. The likeness of two texts is the
 share of their digests that both have (empty texts are alike).
 
 Cells are rows, dealt out by document. The text of each document moves once, to meet the head of the next
-one; all sketches and all rounds of peeling are sums by document and cell within that partitioning. Null text
+one, and the digests once more, before retries; all sketches and all rounds of peeling are sums by document and
+cell within that partitioning. Null text
 counts as empty; a null id comes first; rows of equal id are ordered by a hash of their text, and rows of
 equal id and text are one document that comes as often as it is given. An empty table gives no rows; other
 columns are ignored.
@@ -86,14 +88,14 @@ def _summed(rows: DataFrame) -> DataFrame:
     return cells.where("n != 0 OR k != 0 OR c != 0")
 
 
-def _subtracted(items: DataFrame) -> DataFrame:
-    """Cells of the fingerprint sketches' differences (level 0) and of the retries' (level 1), for pairs 1 and 2."""
-    n, level = F.when(F.col("side") == 0, 1).otherwise(-1), F.col("level")
-    pairs = F.filter(F.array(F.lit(1), F.lit(2)), lambda p: (F.col("side") == 0) | (F.col("side") == p))
-    each = items.withColumn("pair", F.explode(pairs)).withColumn("level", F.explode(F.array(F.lit(0), F.lit(1))))
+def _subtracted(items: DataFrame, pairs: Column, level: int) -> DataFrame:
+    """Cells of the sketches' differences at a level (0: fingerprints, 1: retries) for the given pairs of a document (1, 2)."""
+    n = F.when(F.col("side") == 0, 1).otherwise(-1)
+    pairs = F.filter(pairs, lambda p: (F.col("side") == 0) | (F.col("side") == p))
+    each = items.withColumn("pair", F.explode(pairs))
     wide = (F.ceil(F.lit(PER_DIGEST) * F.when(F.col("pair") == 1, F.col("all_1")).otherwise(F.col("all_2"))) + CELLS).cast("int")
-    each = each.withColumn("size", F.when(level == 0, CELLS).otherwise(wide)).withColumn("check", _check(F.col("k"), level))
-    places = F.array(*(_row(F.col("pair"), level, F.col("size"), _place(F.col("k"), level, F.col("size"), t), 0, n, F.col("k"), F.col("check")) for t in range(TABLES)))
+    each = each.withColumn("size", wide if level else F.lit(CELLS)).withColumn("check", _check(F.col("k"), F.lit(level)))
+    places = F.array(*(_row(F.col("pair"), level, F.col("size"), _place(F.col("k"), F.lit(level), F.col("size"), t), 0, n, F.col("k"), F.col("check")) for t in range(TABLES)))
     return _summed(each.select(*DOC, F.explode(places).alias("x")).select(*DOC, "x.*"))
 
 
@@ -111,24 +113,24 @@ def _peeled_table(cells: DataFrame, table: int) -> DataFrame:
     return _summed(cells.select(*DOC, F.explode(F.when(pure, given).otherwise(stays)).alias("x")).select(*DOC, "x.*"))
 
 
-def differences(texts: DataFrame) -> DataFrame:
-    """d, h, pair, level, n and known: the differing digests (n 1: of the text, -1: of the other); rows of cell 0 or more are left unpeeled."""
-    cells = _subtracted(_items(texts))
+def differences(items: DataFrame, pairs: Column, level: int) -> DataFrame:
+    """d, h, pair, n and known: the differing digests (n 1: of the text, -1: of the other); rows of cell 0 or more are left unpeeled."""
+    cells = _subtracted(items, pairs, level)
     for _ in range(CYCLES):
         for table in range(TABLES):
             cells = _peeled_table(cells, table)
     return cells
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """d, h and the number of differing digests of pairs 1 and 2 at levels 0 and 1, null if some are not known."""
+def _counts(items: DataFrame, pairs: Column, level: int) -> DataFrame:
+    """d, h and the number of differing digests of pairs 1 and 2, -1 if some are not known, null if none differ."""
 
-    def of(pair: int, level: int) -> Column:
-        mine = (F.col("pair") == pair) & (F.col("level") == level)
+    def of(pair: int) -> Column:
+        mine = F.col("pair") == pair
         left = F.sum(F.when(mine & (F.col("cell") >= 0), 1).otherwise(0))
-        return F.when(left == 0, F.sum(F.when(mine, 1).otherwise(0))).alias(f"d{pair}{level}")
+        return F.when(left == 0, F.sum(F.when(mine, 1).otherwise(0))).otherwise(-1).alias(f"d{pair}{level}")
 
-    return differences(texts).groupBy(*DOC).agg(*(of(p, v) for p in (1, 2) for v in (0, 1)))
+    return differences(items, pairs, level).groupBy(*DOC).agg(of(1), of(2))
 
 
 def _shown(texts: DataFrame) -> DataFrame:
@@ -147,7 +149,8 @@ def _likeness(ours: str, theirs: str, pair: int) -> Column:
     """Of two arrays of distinct digests by their sketches' difference; where no sketch could be peeled, digest by digest."""
     both = F.size(ours) + F.size(theirs)
     exact = F.size(F.array_except(ours, theirs)) + F.size(F.array_except(theirs, ours))
-    d = F.when(F.col(f"d{pair}0").isNotNull(), F.col(f"d{pair}0")).when(F.col(f"d{pair}1").isNotNull(), F.col(f"d{pair}1")).otherwise(exact)
+    first, again = F.col(f"d{pair}0"), F.col(f"d{pair}1")
+    d = F.when(first >= 0, first).when(again >= 0, again).otherwise(exact)
     return F.when(both == 0, F.lit(1.0)).otherwise(((both - d) / (both + d)).cast("double"))
 
 
@@ -182,10 +185,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.length("text")
     changed = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head"))
     met = placed.select(*DOC, "text").join(heads.dropDuplicates(DOC), DOC).select(*DOC, "text", changed.alias("changed"), "next")
-    texts = met.select(*DOC, F.array_distinct(digests(F.col("text"))).alias("own"), F.array_distinct(digests(F.col("changed"))).alias("edited"), "next")
-    shown = met.select(*DOC, n.cast("bigint").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"), F.array_distinct(digests(F.col("text"))).alias("own"), F.array_distinct(digests(F.col("changed"))).alias("edited"), "next")
-    # Texts without paragraphs have no cells; texts alike have no differing ones.
-    found = shown.join(_shown(texts), DOC, "left").join(_counts(texts), DOC, "left")
+    given = met.select(*DOC, n.cast("bigint").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"), F.array_distinct(digests(F.col("text"))).alias("own"), F.array_distinct(digests(F.col("changed"))).alias("edited"), "next")
+    both = F.array(F.lit(1), F.lit(2))
+    # Texts without differing digests have no cells.
+    tried = given.join(_counts(_items(given.select(*DOC, "own", "edited", "next")), both, 0), DOC, "left")
+    tried = scratch.table(tried.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("d10", "d20")}), "peeled")
+    texts = tried.repartition(*DOC)
+    failed = texts.where("d10 < 0 OR d20 < 0")
+    open_pairs = F.filter(both, lambda p: F.when(p == 1, F.col("d10")).otherwise(F.col("d20")) < 0)
+    again = _counts(_items(failed).join(failed.select(*DOC, "d10", "d20"), DOC), open_pairs, 1)
+    found = texts.join(_shown(texts), DOC, "left").join(again, DOC, "left")
     none = F.lit("")
     return found.select(
         F.when(F.col("d") != FIRST, F.col("d")).alias("doc_id"),

@@ -123,3 +123,9 @@ def usage_log(calls: DataFrame, order: str) -> DataFrame:
 
     paid = calls.withColumns({"__calls": F.when(F.col("cached"), 0).otherwise(1).cast("bigint"), "__cost": F.when(F.col("cached"), 0).otherwise(F.col("cost_cents")).cast("bigint")})
     return running_sums(paid, order, {"__calls": "cum_calls", "__cost": "cum_cost_cents"}).drop("__calls", "__cost")
+
+
+def usage_summary(calls: DataFrame) -> DataFrame:
+    """The number of calls (cached, cost_cents) that weren't cached and their cost, as one row."""
+    paid = calls.where(~F.col("cached"))
+    return paid.agg(F.count(F.lit(1)).alias("api_calls"), F.coalesce(F.sum(F.col("cost_cents").cast("bigint")), F.lit(0)).alias("cost_cents"))

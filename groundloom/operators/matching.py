@@ -13,6 +13,9 @@ from groundloom.config import MatchConfig
 from groundloom.functions.text import contains_words, normalize, word_runs
 from groundloom.functions.vectors import Embedder, measured, measured_cosine
 
+#: Rows of a block where all rows of a group are compared.
+BLOCK = 1024
+
 
 def union_entities(*graphs: DataFrame) -> DataFrame:
     """Distinct normalized entities (source_id, w) of graphs with source_id and entities."""
@@ -81,7 +84,8 @@ def substring_pairs(names: DataFrame, refs: DataFrame, config: MatchConfig) -> D
     all_words = [x.select("source_id", c, F.explode(F.array_distinct("words")).alias("word")) for x, c in ((v, "v"), (w, "w"))]
     by_word = firsts[0].join(all_words[1], ["source_id", "word"]).unionByName(all_words[0].join(firsts[1], ["source_id", "word"]))
     bare = F.size("words") == 0
-    wordless = v.where(bare).drop("words").join(w.drop("words"), "source_id").unionByName(v.drop("words").join(w.where(bare).drop("words"), "source_id"))
+    wordless = in_blocks(v.where(bare).drop("words"), w.drop("words"), ["source_id"], ["v"], ["w"])
+    wordless = wordless.unionByName(in_blocks(v.drop("words"), w.where(bare).drop("words"), ["source_id"], ["v"], ["w"]))
     pairs = by_word.drop("word").unionByName(wordless)
     return pairs.where((F.col("v") != F.col("w")) & part_of(F.col("v"), F.col("w"), config)).distinct()
 
@@ -105,9 +109,25 @@ def match_entities(names: DataFrame, refs: DataFrame, config: MatchConfig, embed
     return found
 
 
+def in_blocks(left: DataFrame, right: DataFrame, group: list[str], l_key: list[str], r_key: list[str], block: int = BLOCK) -> DataFrame:
+    """The pairs of rows of one group, both sides dealt by a hash of their keys into blocks of about `block` rows.
+
+    Each pair of blocks is a join key of its own, so a large group is spread over many tasks, and none of them
+    holds more than two blocks.
+    """
+    count = lambda df, n: df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).alias(n))
+    sizes = count(left, "__nl").join(count(right, "__nr"), group)
+
+    def dealt(df: DataFrame, key: list[str], own: str, other: str) -> DataFrame:
+        placed = df.join(sizes, group).withColumn(f"__{own}", F.pmod(F.xxhash64(*key), F.col(f"__n{own}")))
+        return placed.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"__n{other}") - 1))).drop("__nl", "__nr")
+
+    return dealt(left, l_key, "l", "r").join(dealt(right, r_key, "r", "l"), [*group, "__l", "__r"]).drop("__l", "__r")
+
+
 def nearest(queries: DataFrame, refs: DataFrame, group: list[str], query: str, ref: str) -> DataFrame:
     """The reference of the largest cosine (then the smallest) in a query's group; both sides have vectors."""
-    pairs = queries.join(refs, group).select(*group, query, ref, measured_cosine(F.col(f"vec_{query}"), F.col(f"vec_{ref}")).alias("cos"))
+    pairs = in_blocks(queries, refs, group, [query], [ref]).select(*group, query, ref, measured_cosine(F.col(f"vec_{query}"), F.col(f"vec_{ref}")).alias("cos"))
     first = F.min(F.struct(F.col("cos").isNull().alias("none"), (-F.col("cos")).alias("far"), ref, "cos")).alias("x")
     return pairs.groupBy(*group, query).agg(first).select(*group, query, f"x.{ref}", "x.cos")
 
@@ -127,7 +147,7 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFra
         near = F.coalesce(measured_cosine(F.col("vec_r"), F.col("vec_r2")) >= config.relation_sim_threshold, F.lit(False))
         left = with_shared_vectors(with_vectors(open_triples, list("so"), embed), "r", embed)
         right = with_shared_vectors(with_vectors(ref_triples, ["s2", "o2"], embed), "r2", embed)
-        pairs = left.join(right, "source_id").where((F.col("r") == F.col("r2")) | near)
+        pairs = in_blocks(left, right, ["source_id"], list("sro"), ["s2", "r2", "o2"]).where((F.col("r") == F.col("r2")) | near)
     else:
         pairs = open_triples.join(ref_triples.withColumn("r", F.col("r2")), ["source_id", "r"])
 

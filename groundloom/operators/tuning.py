@@ -51,7 +51,8 @@ def sample(rows: DataFrame, n: int, seed: str = "sample", id_col: str = "respons
 def threshold_sweep(answers: DataFrame, contexts: DataFrame, questions: DataFrame, labels: DataFrame, embed: Embedder, match: MatchConfig, config: EvalConfig, alpha: float) -> DataFrame:
     """tau_e, tau_r, n, auc over a grid of thresholds.
 
-    How strongly names and triples match (2: without vectors) is found once, and thresholds applied after.
+    How strongly names and triples of a source match (2: without vectors) is found once, in blocks, and
+    thresholds are applied after.
     """
     from groundloom.functions.text import normalize
 
@@ -64,19 +65,22 @@ def threshold_sweep(answers: DataFrame, contexts: DataFrame, questions: DataFram
             plain |= matching.part_of(F.col(v), F.col(w), match)
         return F.when(plain, 2.0).otherwise(near(v, w))
 
-    vectors = matching.with_vectors
+    vectors, source, grid = matching.with_vectors, ["source_id"], F.explode(F.array(*(F.struct(F.lit(e).alias("tau_e"), F.lit(r).alias("tau_r")) for e in config.sweep_entity for r in config.sweep_relation)))
     refs, triples = vectors(matching.union_entities(contexts, questions), ["w"], embed), vectors(matching.union_relations(contexts, questions), ["s2", "r2", "o2"], embed)
     names = answers.select("response_id", "source_id", F.explode("entities").alias("raw")).withColumn("v", normalize(F.col("raw")))
-    best = vectors(names, ["v"], embed).join(refs, "source_id", "left").groupBy("response_id", "raw", "v").agg(F.max(F.when((F.col("v") != "") & F.col("w").isNotNull(), strength("v", "w"))).alias("best"))
-    grid = F.explode(F.array(*(F.struct(F.lit(e).alias("tau_e"), F.lit(r).alias("tau_r")) for e in config.sweep_entity for r in config.sweep_relation)))
+    # Each distinct name and triple of a source is compared once.
+    each = vectors(names.where("v != ''").select("source_id", "v").distinct(), ["v"], embed)
+    met = matching.in_blocks(each, refs, source, ["v"], ["w"]).groupBy("source_id", "v").agg(F.max(strength("v", "w")).alias("best"))
+    best = names.join(met, ["source_id", "v"], "left")
     eg = best.withColumn("g", grid).groupBy("response_id", "g").agg(F.avg(F.coalesce(F.col("best") >= F.col("g.tau_e"), F.lit(False)).cast("double")).alias("EG"))
     edges = answers.select("response_id", "source_id", F.explode("relations").alias("e")).select("response_id", "source_id", "e", *(normalize(F.col(f"e.{c}")).alias(c) for c in "sro"))
-    gate = {c: best.select("response_id", F.col("v").alias(c), F.col("best").alias(f"best_{c}")).groupBy("response_id", c).agg(F.max(f"best_{c}").alias(f"best_{c}")) for c in "so"}
-    found = vectors(edges, list("sro"), embed).join(triples, "source_id", "left")
-    found = found.select("response_id", "e", *"so", "s2", F.least(strength("s", "s2"), strength("o", "o2")).alias("ends"), F.when(F.col("r") == F.col("r2"), 2.0).otherwise(near("r", "r2")).alias("rel"))
-    found = found.join(gate["s"], ["response_id", "s"], "left").join(gate["o"], ["response_id", "o"], "left").withColumn("g", grid)
-    holds = (F.least("ends", "best_s", "best_o") >= F.col("g.tau_e")) & (F.col("rel") >= F.col("g.tau_r")) & F.col("best_s").isNotNull() & F.col("best_o").isNotNull() & F.col("s2").isNotNull()
-    per_edge = found.groupBy("response_id", "g", "e").agg(F.max(F.coalesce(holds, F.lit(False)).cast("double")).alias("held"))
+    gate = {c: best.groupBy("response_id", F.col("v").alias(c)).agg(F.max("best").alias(f"best_{c}")) for c in "so"}
+    pairs = matching.in_blocks(vectors(edges.select("source_id", *"sro").distinct(), list("sro"), embed), triples, source, list("sro"), ["s2", "r2", "o2"])
+    pairs = pairs.select("source_id", *"sro", F.least(strength("s", "s2"), strength("o", "o2")).alias("ends"), F.when(F.col("r") == F.col("r2"), 2.0).otherwise(near("r", "r2")).alias("rel"), grid.alias("g"))
+    held = pairs.where((F.col("ends") >= F.col("g.tau_e")) & (F.col("rel") >= F.col("g.tau_r"))).select("source_id", *"sro", "g").distinct().withColumn("some", F.lit(True))
+    tried = edges.withColumn("g", grid).join(held, ["source_id", *"sro", "g"], "left").join(gate["s"], ["response_id", "s"], "left").join(gate["o"], ["response_id", "o"], "left")
+    holds = F.col("some") & F.col("best_s").isNotNull() & F.col("best_o").isNotNull() & (F.least("best_s", "best_o") >= F.col("g.tau_e"))
+    per_edge = tried.groupBy("response_id", "g", "e").agg(F.max(F.coalesce(holds, F.lit(False)).cast("double")).alias("held"))
     rp = per_edge.groupBy("response_id", "g").agg(F.avg("held").alias("RP"))
     rows = eg.join(rp, ["response_id", "g"], "left").join(labels.select("response_id", "y"), "response_id")
     rows = rows.select("g.tau_e", "g.tau_r", "y", risk(F.col("EG"), F.col("RP"), alpha).alias("h"))

@@ -206,6 +206,67 @@ def _bootstrap() -> str:
     )
 
 
+_TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+#: Sources and answers of the written corpus.
+_SOURCES = rf"""
+  SELECT doc_id::VARCHAR AS source_id, ['QA', 'Data2txt', 'Summary'][doc_id % 3 + 1] AS task, CASE WHEN doc_id % 3 = 2 THEN 'Summarize in ' || lang ELSE '' END AS prompt,
+    CASE WHEN doc_id % 3 = 1 THEN concat_ws(chr(10), 'The business is named ' || source || '.', source || ' has language = ' || lang || '.', source || ' has about.chars = ' || n_chars || '.',
+      source || ' has about.marks[0] = ' || lang || '.', source || ' has about.marks[1] = ' || source || '.') || chr(10) || chr(10) || 'Customer reviews:' || chr(10) || half ELSE half END AS context,
+    CASE WHEN doc_id % 3 = 0 THEN nullif({_TRIM.format(x="string_split(text, chr(10))[1]")}, '') END AS query
+  FROM (SELECT *, {_TRIM.format(x="substring(text, 1, length(text) // 2)")} AS half FROM documents)"""
+_ANSWERS = """
+  SELECT d.doc_id::VARCHAR AS response_id, d.doc_id::VARCHAR AS source_id, source AS gen_model, CASE WHEN substring(md5(d.doc_id::VARCHAR), 1, 1) < '8' THEN 'train' ELSE 'test' END AS split,
+    substring(text, length(text) // 2 + 1) AS response, CASE WHEN toxic = 1 THEN 'toxic' END AS t1, quality AS implied, CASE WHEN quality = 0 THEN 'low quality' END AS t2, 'good' AS quality
+  FROM documents d JOIN labels l USING (doc_id)
+  UNION ALL SELECT 't' || conv_id || '-' || turn, conv_id::VARCHAR, 'unknown', '', text, NULL, NULL, NULL, '' FROM conversations WHERE role = 'assistant'"""
+_CORPUS = f"""
+  SELECT response_id, source_id, task, gen_model, split, context, query, response, CASE WHEN t1 IS NOT NULL OR t2 IS NOT NULL THEN 1 ELSE 0 END AS y, concat_ws(',', t1, t2) AS types, quality, prompt
+  FROM ({_ANSWERS}) a JOIN ({_SOURCES}) s USING (source_id)"""
+
+
+def _three_words() -> str:
+    """Relations from a word over the next to the one after."""
+    triple = lambda g: ", ".join(f"{_norm(f'{g}[i + {k}]')} AS {c}" for k, c in enumerate("sro"))
+    ref = ", ".join(f"{_norm(f'g[i + {k}]')} AS {c}2" for k, c in enumerate("sro"))
+    return _with(
+        (*_TO_MATCHED, "ends", "reftl", "tried"),
+        """SELECT source_id, s, r, o, s2, r2, o2, way AS method FROM (
+          SELECT *, row_number() OVER (PARTITION BY source_id, s, r, o ORDER BY s2, r2, o2) AS k FROM tried WHERE way IS NOT NULL) WHERE k = 1""",
+        edges=f"SELECT response_id, source_id, {triple('a')} FROM (SELECT *, unnest(range(1, len(a) - 1)) AS i FROM toks)",
+        reft=f"SELECT DISTINCT source_id, {ref} FROM (SELECT source_id, g, unnest(range(1, len(g) - 1)) AS i FROM (SELECT source_id, c AS g FROM toks UNION ALL SELECT source_id, q FROM toks))",
+        wanted=f"SELECT DISTINCT source_id, v FROM (SELECT source_id, {_norm('s')} AS v FROM edges UNION ALL SELECT source_id, {_norm('o')} FROM edges) WHERE v <> ''",
+        tried=_CTES["tried"].replace("t.r2 = e.r", f"CASE WHEN t.r2 = e.r THEN true ELSE coalesce({_cos(_letters('r'), _letters('r2'))} >= 0.75::DOUBLE, false) END"),
+    )
+
+
+def _tuned() -> str:
+    return _with(
+        _TO_ROWS,
+        """SELECT alpha, round(theta, 9) AS theta, round(f1, 9) AS train_f1 FROM (SELECT alpha, coalesce((h + lag(h) OVER (ORDER BY h)) / 2.0::DOUBLE, h - 1e-9::DOUBLE) AS theta,
+          2.0::DOUBLE * sum(p) OVER w / (sum(p) OVER w + sum(q) OVER w + (SELECT sum(p) FROM steps)) AS f1 FROM steps WINDOW w AS (ORDER BY h DESC)) ORDER BY f1 DESC, theta LIMIT 1""",
+        chosen=f"SELECT min(best_alpha) AS alpha FROM ({_alpha_cv()})",
+        steps=f"SELECT alpha, h, count_if(y = 1) AS p, count_if(y = 0) AS q FROM (SELECT alpha, y, 1.0::DOUBLE - ({_CFI.format(a='alpha')}) AS h FROM rows_, chosen WHERE split = 'train' AND NOT unscorable) GROUP BY alpha, h",
+    )
+
+
+def _summary(prf: str) -> str:
+    band = lambda m, c: f"(SELECT {c} FROM bands WHERE metric = '{m}')"
+    return _with(
+        _TO_ROWS,
+        f"""SELECT 0.7::DOUBLE AS alpha, 0.5::DOUBLE AS theta, 0.9::DOUBLE AS tau_e, 0.75::DOUBLE AS tau_r, round((SELECT auc::DOUBLE FROM ({_auc('good', '')})), 6) AS overall_AUC_exclude_unscorable,
+          round((SELECT precision FROM at_theta WHERE grp = 1), 6) AS "overall_P", round((SELECT recall FROM at_theta WHERE grp = 1), 6) AS "overall_R", round((SELECT f1 FROM at_theta WHERE grp = 1), 6) AS "overall_F1",
+          {band('auc', 'lo')} AS "overall_AUC_lo", {band('auc', 'hi')} AS "overall_AUC_hi", {band('f1', 'lo')} AS "overall_F1_lo", {band('f1', 'hi')} AS "overall_F1_hi",
+          round((SELECT auc::DOUBLE FROM ({_auc('filled', '')})), 6) AS "overall_AUC_impute", round((SELECT f1 FROM at_theta WHERE grp = 2), 6) AS "overall_F1_impute",
+          count(*) AS degenerate_n, count_if(unscorable)::BIGINT AS degenerate_unscorable, count_if(ref_empty)::BIGINT AS degenerate_ref_empty, count_if(Ea = 0)::BIGINT AS degenerate_no_edges, 0 AS degenerate_failed_extractions
+          FROM rows_ WHERE split = 'test'""",
+        good="SELECT y, h FROM rows_ WHERE split = 'test' AND NOT unscorable",
+        filled="SELECT y, CASE WHEN unscorable THEN 0.5 ELSE h END AS h FROM rows_ WHERE split = 'test'",
+        at_theta=prf.format(src="(SELECT *, 1 AS grp FROM good UNION ALL SELECT *, 2 FROM filled)"),
+        bands=_bootstrap(),
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     rows = lambda body, **other: _with(_TO_ROWS, body, **other)
     edges = c = CONFIG.evaluate.context_length_edges
@@ -279,5 +340,29 @@ def oracle_sql() -> dict[str, str]:
             WHERE e.response_id = s.response_id ORDER BY risk DESC LIMIT 3)) AS t FROM scored s)"""),
         "text_support": _with(("inst", "picked", "toks", "edges"), f"SELECT DISTINCT e.source_id, s, r, o FROM edges e JOIN (SELECT source_id, {_norm('context')} AS body FROM inst) b USING (source_id) WHERE {_has('body', 's')} AND {_has('body', 'o')}"),
         "single_shares": rows("SELECT response_id, h_eg, h_rp FROM rows_"),
-        "skipped_responses": "SELECT DISTINCT conv_id, 'response(skipped: ref failed)' AS stage FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.conv_id)",
+        "skipped_responses": f"""WITH turns AS (SELECT conv_id || '-' || turn AS response_id, conv_id::VARCHAR AS source_id, conv_id, text FROM conversations), bad AS (SELECT DISTINCT source_id FROM turns ANTI JOIN labels ON doc_id = conv_id)
+          SELECT 'reference' AS stage, NULL AS response_id, source_id, 'no document' AS error FROM bad
+          UNION ALL SELECT 'response(skipped: ref failed)', response_id, source_id, 'reference extraction failed' FROM turns SEMI JOIN bad USING (source_id)
+          UNION ALL SELECT 'response', response_id, source_id, 'few words' FROM turns ANTI JOIN bad USING (source_id) WHERE len(list_distinct({_words('text')})) < 3""",
+        "corpus_instances": _CORPUS,
+        "corpus_train": f"""SELECT response_id, source_id, split, CASE WHEN t2 IS NOT NULL OR (t1 IS NOT NULL AND implied = 0) THEN 1 ELSE 0 END AS y, concat_ws(',', CASE WHEN implied = 0 THEN t1 END, t2) AS types
+          FROM ({_ANSWERS}) WHERE split = 'train'""",
+        "corpus_scores": _with(_TO_ROWS[:-1], "SELECT response_id, source_id, Vc, Ec, Vq, Eq, Va, Ea, eg AS EG, rp AS RP, unscorable, ref_empty FROM scored", inst=_CORPUS),
+        "match_by_language": _with(
+            ("inst", "picked", "toks", "names"),
+            """SELECT source_id, v, w AS ref, CASE kind WHEN 1 THEN 'exact' ELSE 'substring' END AS method FROM (
+              SELECT *, row_number() OVER (PARTITION BY source_id, v ORDER BY kind, w) AS k FROM pairs WHERE kind < 3) WHERE k = 1""",
+            wanted="SELECT DISTINCT task AS source_id, v FROM names JOIN inst USING (response_id) WHERE v <> ''",
+            langrefs=f"SELECT DISTINCT task AS source_id, w FROM (SELECT task, {_norm('e')} AS w FROM (SELECT response_id, unnest(c) AS e FROM toks) JOIN inst USING (response_id)) WHERE w <> ''",
+            pairs=f"SELECT source_id, v, w, CASE WHEN v = w THEN 1 WHEN {_part('v', 'w')} THEN 2 ELSE 3 END AS kind FROM wanted JOIN langrefs USING (source_id)",
+        ),
+        "predicate_align": _three_words(),
+        "backend_graphs": rf"""SELECT doc_id, CASE WHEN bad THEN '' ELSE array_to_string(list_sort(CASE WHEN length(text) > 6000 THEN list_append(e, 'chunk 6000') ELSE e END), '|') END AS entities,
+          CASE WHEN bad THEN '' ELSE array_to_string(list_transform(list_sort(list_transform(range(1, len(e)), lambda i: {{'s': e[i], 'r': 'next', 'o': e[i + 1]}})), lambda t: t.s || '>next>' || t.o), '|') END AS relations,
+          CASE WHEN bad AND regexp_matches(coalesce(text, ''), '\S') THEN 'ValueError(''too short'')' END AS error
+          FROM (SELECT *, len(e) < 3 AS bad FROM (SELECT doc_id, text, {_firsts('w')} AS e FROM (SELECT doc_id, text, {_words('text')} AS w FROM documents)))""",
+        "tuned_alpha_theta": _tuned(),
+        "evaluation_summary": _summary(prf),
+        "audit_records": _with(_TO_ROWS, f"""SELECT response_id, i.split, source_id, i.task, 0.7::DOUBLE AS alpha, round(eg, 4) AS "EG", round(rp, 4) AS "RP", Ea > 0 AS "RP_defined", coalesce(h, 0.5) >= 0.5 AS flagged, unscorable, Vc AS "Vc", Va AS "Va", Ea AS "Ea",
+          ungrounded, i.y::INT AS gt_label, i.query, i.response, i.query IS NULL AS null_kept FROM rows_ r JOIN inst i USING (response_id, source_id) JOIN ({_RAW_AUDIT}) USING (response_id)"""),
     }

@@ -37,7 +37,7 @@ def _named(name: str):
 
 def extract_graphs(instances: DataFrame, config: Config, cache: str, load=None) -> dict[str, DataFrame]:
     """Graphs of answers, contexts and questions with their errors; contexts and questions once for each source."""
-    sources = instances.select("source_id", "context", "query").dropDuplicates(["source_id"])
+    sources = jsonl.first_of(instances, "source_id", "response_id", ["context", "query"])
 
     def of(texts: DataFrame, key: str, column: str, kind: str) -> DataFrame:
         if load:
@@ -75,7 +75,7 @@ def main(args: list[str] | None = None) -> None:
     spark, out, began = SparkSession.builder.getOrCreate(), given.output_dir, time.time()
     found = jsonl.load_instances(spark, given.data_dir)
     # The first answers by id, with their sources.
-    instances = staged(found.orderBy("response_id").limit(given.limit) if given.limit else found, "instances")
+    instances = staged(jsonl.limited(found, given.limit, "response_id"), "instances")
     wants = lambda stage: given.stage in ("all", stage)
 
     if given.stage != "evaluate":

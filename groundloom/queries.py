@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundloom.config import Config, EvalConfig, MatchConfig
+from groundloom.config import Config, ExtractConfig, MatchConfig
 from groundloom.functions import text
 from groundloom.functions.metrics import complement
 from groundloom.functions.vectors import letter_counts
 from groundloom.operators import extract, matching, ranking, scoring, tuning
-from groundloom.plans.instances import graphs, instances, read, rows, scored
+from groundloom.plans import evaluate
+from groundloom.plans.instances import graphs, instances, read, rows, scored, written_corpus
+from groundloom.sources import jsonl
+from groundloom.sources.staging import new_path, staged
 
 CONFIG = Config()
 ALPHA, THETA = 0.7, 0.5
@@ -234,25 +237,116 @@ def json_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedupe_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The last record of each key."""
-    last = F.max_by(F.struct("event_id", "event_type", "value"), "event_id")
-    return read(spark, d, "events").groupBy("user_id").agg(last.alias("x")).select("user_id", "x.*")
+    """The last record of each key, from JSON lines: the events in order, a user being the key."""
+    folder, as_text = new_path(spark, "events"), lambda c: F.col(c).cast("string")
+    events = read(spark, d, "events").orderBy("event_id")
+    jsonl.write_jsonl(events.select(as_text("user_id").alias("source_id"), F.col("event_type").alias("task_type"), as_text("event_id").alias("source"), as_text("value").alias("source_info")), f"{folder}/source_info.jsonl")
+    last = jsonl.load_sources(spark, folder)
+    return last.select(F.col("source_id").cast("bigint").alias("user_id"), F.col("source").cast("bigint").alias("event_id"), F.col("task_type").alias("event_type"), F.col("source_info").cast("double").alias("value"))
 
 
 def first_instances(spark: SparkSession, d: str) -> DataFrame:
     """The first instance of each source."""
-    docs = read(spark, d, "documents")
-    return docs.groupBy("source").agg(F.min_by(F.struct("doc_id", "lang"), "doc_id").alias("x")).select("source", "x.*")
+    return jsonl.first_of(read(spark, d, "documents"), "source", "doc_id", ["doc_id", "lang"])
+
+
+def corpus_instances(spark: SparkSession, d: str) -> DataFrame:
+    """Instances read from JSON lines, several answers to a source."""
+    found = jsonl.load_instances(spark, written_corpus(spark, d))
+    return found.select("response_id", "source_id", "task", "gen_model", "split", "context", "query", "response", "y", _joined("gt_span_types", ",").alias("types"), "quality", "prompt")
+
+
+def corpus_train(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the train split, without labels that are true by implication."""
+    found = jsonl.load_instances(spark, written_corpus(spark, d), exclude_implicit_true=True, splits=("train",))
+    return found.select("response_id", "source_id", "split", "y", _joined("gt_span_types", ",").alias("types"))
+
+
+def corpus_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores where a source has several answers."""
+    found = scored(staged(jsonl.load_instances(spark, written_corpus(spark, d)), "instances"), CONFIG)
+    return found.select("response_id", "source_id", "Vc", "Ec", "Vq", "Eq", "Va", "Ea", "EG", "RP", "unscorable", "ref_empty")
+
+
+def match_by_language(spark: SparkSession, d: str) -> DataFrame:
+    """Names of all answers of a language against the references of its contexts: few, large sources."""
+    answers, contexts, _ = graphs(instances(spark, d).withColumn("source_id", F.col("response_id")))
+    task = instances(spark, d).select("response_id", F.col("task").alias("lang"))
+    by_lang = [g.join(task, g[c] == task["response_id"]).select(F.col("lang").alias("source_id"), "entities") for g, c in ((answers.drop("source_id").withColumnRenamed("response_id", "id"), "id"), (contexts, "source_id"))]
+    return matching.match_entities(matching.union_entities(by_lang[0]).withColumnRenamed("w", "v"), matching.union_entities(by_lang[1]), CONFIG.match)
+
+
+def _three_words(graph: DataFrame) -> DataFrame:
+    """Relations from each single word over the next to the one after."""
+    words = F.filter("entities", lambda w: ~F.contains(w, F.lit(" ")))
+    n = F.size("words")
+    part = lambda k: F.slice("words", F.lit(k), F.greatest(n - 2, F.lit(0)))
+    triples = F.transform(F.arrays_zip(part(1).alias("s"), part(2).alias("r"), part(3).alias("o")), lambda t: F.struct(t["s"].alias("s"), t["r"].alias("r"), t["o"].alias("o")))
+    return graph.withColumn("words", words).withColumn("relations", triples).drop("words")
+
+
+def predicate_align(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of many predicates, which agree if equal or by their vectors."""
+    answers, contexts, questions = map(_three_words, graphs(instances(spark, d)))
+    edges = answers.select("source_id", F.explode("relations").alias("e")).select("source_id", *(text.normalize(F.col(f"e.{c}")).alias(c) for c in "sro"))
+    ends = edges.select("source_id", F.explode(F.array(text.normalize(F.col("s")), text.normalize(F.col("o")))).alias("v"))
+    matched = matching.match_entities(ends, matching.union_entities(contexts, questions), CONFIG.match, letter_counts)
+    return matching.align_relations(edges, matching.union_relations(contexts, questions), matched, MatchConfig(inverse_edge_match=True), letter_counts)
+
+
+def _word_backend():
+    """A backend of the extraction interface: the first distinct words, each linked to the next, and a pair that is no triple."""
+    import re
+
+    def generate(given: str, cluster: bool, chunk_size: int | None) -> tuple[list, list]:
+        words = list(dict.fromkeys(w for w in re.findall("[a-z][a-z0-9]+", given.lower()) if len(w) >= 4))[:12]
+        if len(words) < 3:
+            raise ValueError("too short")
+        return [*words, *([f"chunk {chunk_size}"] if chunk_size else [])], [*((a, "next", b) for a, b in zip(words, words[1:], strict=False)), tuple(words[:2])]
+
+    return generate
+
+
+def backend_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs by a backend that fails on short texts: one call, then the error stays in the row."""
+    found = extract.backend_graph(read(spark, d, "documents"), "doc_id", "text", _word_backend, ExtractConfig(max_retries=1))
+    return found.select("doc_id", _joined("entities").alias("entities"), _triples("relations").alias("relations"), "error")
+
+
+def tuned_alpha_theta(spark: SparkSession, d: str) -> DataFrame:
+    """What tuning on the train rows chooses."""
+    found = evaluate.tune(rows(spark, d).where("split = 'train'"), CONFIG.evaluate)
+    return spark.createDataFrame([(found["alpha"], found["theta"], found["train_f1"])], "alpha double, theta double, train_f1 double").select("alpha", *(F.round(c, 9).alias(c) for c in ("theta", "train_f1")))
+
+
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The one-row summary of the test rows."""
+    test = _scores(spark, d).where("split = 'test'")
+    found = evaluate.summary(evaluate.tables(test, ALPHA, THETA, CONFIG.evaluate), test, {"alpha": ALPHA}, CONFIG.match, THETA)
+    return found.select(*(F.round(c, 6).alias(c) if c.startswith("overall") else F.col(c) for c in found.columns))
+
+
+def audit_records(spark: SparkSession, d: str) -> DataFrame:
+    """Audit records, read back from their JSON."""
+    given = instances(spark, d)
+    kept = evaluate.audits(scored(given, CONFIG), given, ALPHA, THETA, CONFIG.evaluate.empty_response_impute_h)
+    shape = "source_id string, task string, alpha double, EG double, RP double, RP_defined boolean, flagged boolean, unscorable boolean, graph_sizes struct<Vc:int,Va:int,Ea:int>, ungrounded_entities array<string>, gt_label int, query string, response string"
+    record = kept.select("response_id", "split", F.from_json("record", shape).alias("x"), F.contains("record", F.lit('"query":null')).alias("null_kept"))
+    sizes = [F.col(f"x.graph_sizes.{c}").alias(c) for c in ("Vc", "Va", "Ea")]
+    return record.select("response_id", "split", "x.source_id", "x.task", "x.alpha", "x.EG", "x.RP", "x.RP_defined", "x.flagged", "x.unscorable", *sizes, _joined("x.ungrounded_entities").alias("ungrounded"), "x.gt_label", "x.query", "x.response", "null_kept")
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calls of a backend, of which views were answered by the cache."""
+    return read(spark, d, "events").select("event_id", (F.col("event_type") == "view").alias("cached"), F.round(F.col("value") * 100).cast("bigint").alias("cost_cents"))
 
 
 def usage_cumsum(spark: SparkSession, d: str) -> DataFrame:
-    calls = read(spark, d, "events").select("event_id", (F.col("event_type") == "view").alias("cached"), F.round(F.col("value") * 100).cast("bigint").alias("cost_cents"))
-    return extract.usage_log(calls, "event_id").select("event_id", "cum_calls", "cum_cost_cents")
+    return extract.usage_log(_calls(spark, d), "event_id").select("event_id", "cum_calls", "cum_cost_cents")
 
 
 def usage_summary(spark: SparkSession, d: str) -> DataFrame:
-    calls = read(spark, d, "events").where("event_type != 'view'")
-    return calls.agg(F.count(F.lit(1)).alias("api_calls"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cost_cents"))
+    return extract.usage_summary(_calls(spark, d))
 
 
 def sample_n(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +356,7 @@ def sample_n(spark: SparkSession, d: str) -> DataFrame:
 
 def prefix_limit(spark: SparkSession, d: str) -> DataFrame:
     """The limit operator: the first rows in order."""
-    return read(spark, d, "documents").select("doc_id", "source").orderBy("doc_id").limit(100)
+    return jsonl.limited(read(spark, d, "documents").select("doc_id", "source"), 100, "doc_id")
 
 
 def h_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -285,10 +379,16 @@ def single_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skipped_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Responses whose source has no reference graph: conversations without a document of their number."""
-    asked = read(spark, d, "conversations").select("conv_id").distinct()
-    refs = read(spark, d, "labels").select(F.col("doc_id").alias("conv_id"))
-    return asked.join(refs, "conv_id", "left_anti").withColumn("stage", F.lit("response(skipped: ref failed)"))
+    """Failure rows of a run over the turns of conversations, whose sources are the labelled documents of their number.
+
+    A source without one has no graph, so its answers are skipped; an answer without words has none of its own.
+    """
+    conv = F.col("conv_id").cast("string")
+    turns = read(spark, d, "conversations").select(F.concat(conv, F.lit("-"), "turn").alias("response_id"), conv.alias("source_id"), "text")
+    labelled = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("source_id"), F.lit(True).alias("has"))
+    contexts = turns.select("source_id").distinct().join(labelled, "source_id", "left").select("source_id", F.when(F.col("has").isNull(), "no document").alias("error"))
+    answers = extract.offline_graph(turns, "text").select("response_id", "source_id", F.when(F.size("entities") < 3, "few words").alias("error"))
+    return evaluate.failures(turns, answers, contexts, contexts.select("source_id", F.lit(None).cast("string").alias("error")))
 
 
 QUERIES: tuple[Query, ...] = (
@@ -296,7 +396,8 @@ QUERIES: tuple[Query, ...] = (
     eg_exact, match_cascade, substring_matches, rp_align, rp_inverse, score_rows, audit_lists, auc_by_task, auc_by_model, prf_by_task,
     ablation_auc, length_buckets, graph_stats, mann_whitney, impute_policy, degenerate, theta_f1, alpha_cv, tau_sweep, bootstrap_ci,
     embedding_nn, flag_labels, json_facts, dedupe_sources, first_instances, usage_cumsum, usage_summary, sample_n, prefix_limit,
-    h_histogram, topk_claims, text_support, single_shares, skipped_responses,
+    h_histogram, topk_claims, text_support, single_shares, skipped_responses, corpus_instances, corpus_train, corpus_scores,
+    match_by_language, predicate_align, backend_graphs, tuned_alpha_theta, evaluation_summary, audit_records,
 )
 
 

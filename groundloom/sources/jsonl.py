@@ -23,8 +23,8 @@ def load_sources(spark: SparkSession, folder: str) -> DataFrame:
     """One record for each source_id: the last in the file."""
     given = read_jsonl(spark, f"{folder}/source_info.jsonl", SOURCES)
     columns = given.columns
-    placed = given.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__line"))
-    last = F.max_by(F.struct(*columns), F.struct("__file", "__line"))
+    placed = given.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    last = F.max_by(F.struct(*columns), F.struct("__file", "__block", "__line"))
     return placed.groupBy("source_id").agg(last.alias("x")).select("x.*")
 
 
@@ -45,6 +45,16 @@ def load_instances(spark: SparkSession, folder: str, exclude_implicit_true: bool
     )
 
 
+def first_of(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """key and columns of the first row in order of each key."""
+    return df.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("x")).select(key, "x.*")
+
+
+def limited(df: DataFrame, n: int | None, order: str) -> DataFrame:
+    """The first n rows in order; all if n is None or 0."""
+    return df.orderBy(order).limit(n) if n else df
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from groundloom.config import MatchConfig
 from groundloom.functions.text import contains_words, normalize, word_runs
 from groundloom.functions.vectors import Embedder, measured, measured_cosine
+from groundloom.sources.staging import staged
 
 #: Rows of a block where all rows of a group are compared.
 BLOCK = 1024
@@ -99,10 +100,11 @@ def match_entities(names: DataFrame, refs: DataFrame, config: MatchConfig, embed
     exact = names.join(refs.withColumn("v", F.col("w")), ["source_id", "v"]).select("source_id", "v", F.col("w").alias("ref"), F.lit("exact").alias("method"))
     found, rest = exact, names.join(refs.withColumnRenamed("w", "v"), ["source_id", "v"], "left_anti")
     if config.allow_substring_match:
-        part = substring_pairs(rest, refs, config).groupBy("source_id", "v").agg(F.min("w").alias("ref"))
+        part = staged(substring_pairs(rest, refs, config).groupBy("source_id", "v").agg(F.min("w").alias("ref")), "parts")
         found = found.unionByName(part.withColumn("method", F.lit("substring")))
         rest = rest.join(part, ["source_id", "v"], "left_anti")
     if embed:
+        rest = staged(rest, "unmatched")
         near = nearest(with_vectors(rest, ["v"], embed), with_vectors(refs, ["w"], embed), ["source_id"], "v", "w")
         near = near.where(F.col("cos") >= config.entity_sim_threshold)
         found = found.unionByName(near.select("source_id", "v", F.col("w").alias("ref"), F.lit("embedding").alias("method")))
@@ -145,6 +147,8 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFra
         open_triples = open_triples.join(ends.withColumnRenamed("v", c), ["source_id", c], "left_semi")
     if embed:
         near = F.coalesce(measured_cosine(F.col("vec_r"), F.col("vec_r2")) >= config.relation_sim_threshold, F.lit(False))
+        # Written, as it is read for its predicates, for the sizes of its groups and for its pairs.
+        open_triples = staged(open_triples, "open-triples")
         left = with_shared_vectors(with_vectors(open_triples, list("so"), embed), "r", embed)
         right = with_shared_vectors(with_vectors(ref_triples, ["s2", "o2"], embed), "r2", embed)
         pairs = in_blocks(left, right, ["source_id"], list("sro"), ["s2", "r2", "o2"]).where((F.col("r") == F.col("r2")) | near)

@@ -109,7 +109,7 @@ def _aligned(spark: SparkSession, d: str, config: MatchConfig) -> DataFrame:
     answers, contexts, questions = graphs(instances(spark, d))
     edges = answers.select("source_id", F.explode("relations").alias("e")).select("source_id", *(text.normalize(F.col(f"e.{c}")).alias(c) for c in "sro"))
     ends = edges.select("source_id", F.explode(F.array(text.normalize(F.col("s")), text.normalize(F.col("o")))).alias("v"))
-    matched = matching.match_entities(ends, matching.union_entities(contexts, questions), config, letter_counts)
+    matched = staged(matching.match_entities(ends, matching.union_entities(contexts, questions), config, letter_counts), "matched")
     return matching.align_relations(edges, matching.union_relations(contexts, questions), matched, config, letter_counts)
 
 
@@ -290,7 +290,7 @@ def predicate_align(spark: SparkSession, d: str) -> DataFrame:
     answers, contexts, questions = map(_three_words, graphs(instances(spark, d)))
     edges = answers.select("source_id", F.explode("relations").alias("e")).select("source_id", *(text.normalize(F.col(f"e.{c}")).alias(c) for c in "sro"))
     ends = edges.select("source_id", F.explode(F.array(text.normalize(F.col("s")), text.normalize(F.col("o")))).alias("v"))
-    matched = matching.match_entities(ends, matching.union_entities(contexts, questions), CONFIG.match, letter_counts)
+    matched = staged(matching.match_entities(ends, matching.union_entities(contexts, questions), CONFIG.match, letter_counts), "matched")
     return matching.align_relations(edges, matching.union_relations(contexts, questions), matched, MatchConfig(inverse_edge_match=True), letter_counts)
 
 

@@ -29,6 +29,8 @@ UNKNOWN = "und"
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 24
 #: Windows that one numpy step holds.
 STEP = 128
+#: Parts of a language that are ranked apart before its learning sample is drawn.
+SHARES = 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,9 +131,13 @@ def fit(docs: DataFrame, per_language: int = 200, windows_each: int = 4, id_col:
     given = given.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     # Texts that have a letter, each once.
     given = given.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
     key = ["id", "lang", "h"]
-    chosen = given.select(*key).distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select(*key)
+    # The first of each of SHARES shares of a language, then the first of those: no task ranks a whole language.
+    chosen = given.select(*key).distinct().withColumn("share", F.pmod(F.xxhash64("id", "h"), F.lit(SHARES)))
+    for group in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id", "h")
+        chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    chosen = chosen.select(*key)
     # At most per_language texts a language.
     sample = given.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key).select("id", "lang", "text")
 

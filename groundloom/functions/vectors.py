@@ -23,7 +23,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def measured(v: Column) -> Column:
     """A vector with its squared length."""
-    return F.struct(v.alias("v"), dot(v, v).alias("n"))
+    # A lambda's argument is computed once, where the column itself would be computed for each mention.
+    return F.element_at(F.transform(F.array(v), lambda x: F.struct(x.alias("v"), dot(x, x).alias("n"))), 1)
 
 
 def measured_cosine(a: Column, b: Column) -> Column:

@@ -97,6 +97,9 @@ def match_entities(names: DataFrame, refs: DataFrame, config: MatchConfig, embed
     Of several matches of one method the smallest reference stands; of vectors the nearest.
     """
     names = names.where(F.col("v") != "").distinct()
+    if config.allow_substring_match or embed:
+        # Each way of matching reads both sides, their words and the sizes of their groups.
+        names, refs = staged(names, "names"), staged(refs, "references")
     exact = names.join(refs.withColumn("v", F.col("w")), ["source_id", "v"]).select("source_id", "v", F.col("w").alias("ref"), F.lit("exact").alias("method"))
     found, rest = exact, names.join(refs.withColumnRenamed("w", "v"), ["source_id", "v"], "left_anti")
     if config.allow_substring_match:
@@ -147,8 +150,8 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFra
         open_triples = open_triples.join(ends.withColumnRenamed("v", c), ["source_id", c], "left_semi")
     if embed:
         near = F.coalesce(measured_cosine(F.col("vec_r"), F.col("vec_r2")) >= config.relation_sim_threshold, F.lit(False))
-        # Written, as it is read for its predicates, for the sizes of its groups and for its pairs.
-        open_triples = staged(open_triples, "open-triples")
+        # Written, as both are read for their predicates, for the sizes of their groups and for their pairs.
+        open_triples, ref_triples = staged(open_triples, "open-triples"), staged(ref_triples, "reference-triples")
         left = with_shared_vectors(with_vectors(open_triples, list("so"), embed), "r", embed)
         right = with_shared_vectors(with_vectors(ref_triples, ["s2", "o2"], embed), "r2", embed)
         pairs = in_blocks(left, right, ["source_id"], list("sro"), ["s2", "r2", "o2"]).where((F.col("r") == F.col("r2")) | near)

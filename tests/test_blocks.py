@@ -1,7 +1,7 @@
 """Rows of one group compared in blocks, and the records that the library reads."""
 
 from groundloom.config import MatchConfig
-from groundloom.functions.vectors import letter_counts
+from groundloom.functions.vectors import letter_counts, model_embedder
 from groundloom.operators import matching
 from groundloom.sources import jsonl
 
@@ -26,3 +26,13 @@ def test_first_and_limited(spark):
     df = spark.createDataFrame([("s", 2, "b"), ("s", 1, None), ("t", 3, "c")], "k string, n int, v string")
     assert sorted((r.k, r.v) for r in jsonl.first_of(df, "k", "n", ["v"]).collect()) == [("s", None), ("t", "c")]
     assert [r.n for r in jsonl.limited(df, 2, "n").collect()] == [1, 2] and jsonl.limited(df, None, "n").count() == 3
+
+
+def test_a_model_embeds_names(spark):
+    def load():
+        return lambda texts: [[float(t.count("q")), float(len(t)), 1.0] for t in texts]
+
+    refs = spark.createDataFrame([("s", "qqqq"), ("s", "abcd")], "source_id string, w string")
+    names = spark.createDataFrame([("s", "xqqqx"), ("t", "qqqq")], "source_id string, v string")
+    found = [tuple(r) for r in matching.match_entities(names, refs, MatchConfig(), model_embedder(load)).collect()]
+    assert found == [("s", "xqqqx", "qqqq", "embedding")]

@@ -76,7 +76,7 @@ def best_threshold(df: DataFrame, h: str = "h", y: str = "y") -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, h: str = "h", y: str = "y") -> DataFrame:
-    """n1, n0, u of the positives, both medians, and z of the one-sided test 'greater', corrected for ties and continuity."""
+    """n1, n0, u of the positives, both medians, z of the one-sided test 'greater', corrected for ties and continuity, and the tie sum."""
     at = ladder(df, [], h, y)
     t, n1, n0 = F.col("pos") + F.col("neg"), F.sum("pos"), F.sum("neg")
     sums = at.agg(n1.alias("n1"), n0.alias("n0"), (F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg"))) / F.lit(2.0)).alias("u"), F.sum(t.cast("double") * t * t - t).alias("ties"))
@@ -85,16 +85,49 @@ def mann_whitney(df: DataFrame, h: str = "h", y: str = "y") -> DataFrame:
     n = (a + b).cast("double")
     spread = F.sqrt(a * b / F.lit(12.0) * (n + 1.0 - F.try_divide(F.col("ties"), n * (n - 1.0))))
     z = F.try_divide(F.col("u") - a * b / F.lit(2.0) - F.lit(0.5), spread)
-    return sums.crossJoin(F.broadcast(medians)).select("n1", "n0", "u", "median_1", "median_0", F.when(a * b > 0, z).alias("z"))
+    return sums.crossJoin(F.broadcast(medians)).select("n1", "n0", "u", "median_1", "median_0", F.when(a * b > 0, z).alias("z"), "ties")
 
 
-def p_value(z: float | None) -> float | None:
-    """Of a one-sided test."""
+#: Least product of the group sizes from which the exact distribution is not worked out.
+EXACT = 200_000
+
+
+def u_counts(n1: int, n0: int) -> list[int]:
+    """How many of the arrangements of two groups without ties give each U from 0 to n1 * n0.
+
+    The counts are the coefficients of a product of (1 - q^(n0 + i)) / (1 - q^i) over i up to n1: a
+    multiplication subtracts what stands n0 + i places below, a division adds up every i-th place.
+    """
+    few, many = sorted((n1, n0))
+    counts = [1] + [0] * (few * many)
+    for i in range(1, few + 1):
+        for k in range(len(counts) - 1, many + i - 1, -1):
+            counts[k] -= counts[k - many - i]
+        for k in range(i, len(counts)):
+            counts[k] += counts[k - i]
+    return counts
+
+
+def p_value(z: float | None, n1: int = 0, n0: int = 0, u: float | None = None, ties: float = 1.0) -> float | None:
+    """Of the one-sided rank-sum test: exact where a group has at most 8 rows and no scores are equal (ties 0), else by the normal distribution."""
     import math
 
+    if z is not None and u is not None and not ties and 0 < min(n1, n0) <= 8 and n1 * n0 < EXACT:
+        counts = u_counts(n1, n0)
+        return sum(counts[int(u) :]) / sum(counts)
     return None if z is None else 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def average_precision(df: DataFrame, group: list[str], h: str = "h", y: str = "y", weight: Column | None = None) -> DataFrame:
+    """group, n, n_pos and ap: the mean precision over the positives, each at the threshold of its own score; null without a positive."""
+    at = ladder(df, group, h, y, weight)
+    totals = at.groupBy(*group).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    joined = at.join(totals, group) if group else at.crossJoin(F.broadcast(totals))  # one row
+    tp, fp = F.col("all_pos") - F.col("pos_below"), F.col("all_neg") - F.col("neg_below")
+    sums = joined.groupBy(*group).agg(F.max(F.col("all_pos") + F.col("all_neg")).alias("n"), F.max("all_pos").alias("n_pos"), F.sum(F.col("pos") * (tp / (tp + fp))).alias("s"))
+    return sums.select(*group, "n", "n_pos", F.try_divide(F.col("s"), F.when(F.col("n_pos") > 0, F.col("n_pos"))).alias("ap"))
+
+
 def ablation(df: DataFrame, scores: list[str], y: str = "y") -> DataFrame:
     """score, n, n_pos, auc: each over its own finite rows."""
     each = df.select(F.col(y).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("score"), F.col(c).alias("h")) for c in scores))).alias("x")).select("y", "x.*")

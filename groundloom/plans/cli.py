@@ -1,8 +1,9 @@
 """Runs a corpus of JSON lines to graphs, scores, tuning, evaluation and audits.
 
-python -m groundloom.plans.cli --data-dir D --output-dir O [--config C] [--stage all|extract|score|tune|evaluate]
+python -m groundloom.plans.cli [--data-dir D] [--output-dir O] [--config C] [--stage all|extract|score|tune|evaluate]
     [--limit N] [--fake-extractor] [--extractor MODULE:NAME] [--embedder MODULE:NAME] [--cache FOLDER] [--no-audit]
 
+Folders not given are those of the configuration. --limit takes the first answers of the file.
 --extractor names a function without arguments that gives a backend's generate(text, cluster, chunk_size), and
 --embedder one that gives a function from a list of texts to their vectors; without them, or with
 --fake-extractor, the offline extractor and letter counts are used. Each stage reads what those before it wrote.
@@ -35,19 +36,22 @@ def _named(name: str):
     return getattr(importlib.import_module(module), attribute)
 
 
-def extract_graphs(instances: DataFrame, config: Config, cache: str, load=None) -> dict[str, DataFrame]:
-    """Graphs of answers, contexts and questions with their errors; contexts and questions once for each source."""
+def extract_graphs(instances: DataFrame, config: Config, cache: str, load=None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Graphs of answers, contexts and questions with their errors, contexts and questions once for each source; and the log of calls."""
     sources = jsonl.first_of(instances, "source_id", "response_id", ["context", "query"])
+    found = extract.chunked_graphs if config.extract.own_chunks else extract.cached_graphs
 
-    def of(texts: DataFrame, key: str, column: str, kind: str) -> DataFrame:
+    def of(texts: DataFrame, key: str, column: str, kind: str) -> extract.Extracted:
         if load:
             made = lambda df: extract.backend_graph(df, "cache_key", "text", load, config.extract)
         else:
             made = lambda df: extract.offline_graph(df, "text", phrases=kind == "answers").drop("text")
-        return extract.cached_graphs(texts, key, column, kind, cache, made, config.extract)
+        return found(texts, key, column, kind, cache, made, config.extract)
 
-    answers = of(instances, "response_id", "response", "answers").join(instances.select("response_id", "source_id"), "response_id")
-    return {"answers": answers, "contexts": of(sources, "source_id", "context", "contexts"), "questions": of(sources, "source_id", "query", "questions")}
+    done = {"contexts": of(sources, "source_id", "context", "contexts"), "questions": of(sources, "source_id", "query", "questions"), "answers": of(instances, "response_id", "response", "answers")}
+    graphs = {k: x.graphs for k, x in done.items()}
+    graphs["answers"] = graphs["answers"].join(instances.select("response_id", "source_id"), "response_id")
+    return graphs, extract.call_log([x.calls for x in done.values()])
 
 
 def _good(graphs: dict[str, DataFrame]) -> list[DataFrame]:
@@ -72,14 +76,14 @@ def main(args: list[str] | None = None) -> None:
     config = load_config(given.config) if given.config else Config()
     load = _named(given.extractor) if given.extractor and not given.fake_extractor else None
     embed: Embedder = model_embedder(_named(given.embedder)) if given.embedder and not given.fake_extractor else letter_counts
-    spark, out, began = SparkSession.builder.getOrCreate(), given.output_dir, time.time()
-    found = jsonl.load_instances(spark, given.data_dir)
-    # The first answers by id, with their sources.
-    instances = staged(jsonl.limited(found, given.limit, "response_id"), "instances")
+    spark, out, began = SparkSession.builder.getOrCreate(), given.output_dir or config.output_dir, time.time()
+    data = config.data
+    instances = staged(jsonl.load_instances(spark, given.data_dir or data.dir, data.exclude_implicit_true, data.splits, given.limit), "instances")
     wants = lambda stage: given.stage in ("all", stage)
 
     if given.stage != "evaluate":
-        graphs = extract_graphs(instances, config, given.cache or f"{out}/graph-cache", load)
+        graphs, calls = extract_graphs(instances, config, given.cache or config.cache_dir or f"{out}/graph-cache", load)
+        jsonl.write_jsonl(calls, f"{out}/usage")
         for k in GRAPHS:
             graphs[k].write.mode("overwrite").parquet(f"{out}/graphs/{k}")
         graphs = {k: spark.read.parquet(f"{out}/graphs/{k}") for k in GRAPHS}
@@ -110,7 +114,11 @@ def main(args: list[str] | None = None) -> None:
     failed = spark.read.schema(jsonl.FAILURES).json(f"{out}/failed").count()
     summary = staged(evaluate.summary(results, test.withColumn("h", risk(F.col("EG"), F.col("RP"), alpha)), tuned, config.match, theta, failed), "summary")
     jsonl.write_csv(summary.coalesce(1), f"{out}/summary")
-    _text(spark, evaluate.report(results, tuned), f"{out}/report")
+    if not config.evaluate.histograms:
+        del results["histogram"]
+    settings = {"model": config.extract.model, "embedding_model": config.match.embedding_model, "empty_response_graph_policy": config.evaluate.empty_response_graph_policy}
+    usage = extract.call_summary(spark.read.schema(extract.CALLS).json(f"{out}/usage")).first().asDict()
+    _text(spark, evaluate.report(results, tuned, usage, summary.first().asDict(), settings), f"{out}/report")
     print(json.dumps(summary.select(*evaluate.SHORT).first().asDict()))
     if not given.no_audit:
         kept = evaluate.audits(scored, instances, alpha, theta, config.evaluate.empty_response_impute_h, {"run": round(time.time() - began, 3)})

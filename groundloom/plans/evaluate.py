@@ -101,17 +101,30 @@ def _table(columns: list[str], rows: list) -> str:
     return "\n".join([f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}", *(f"| {' | '.join(map(show, r))} |" for r in rows)])
 
 
-def report(found: dict[str, DataFrame], tuned: dict | None = None, usage: dict | None = None) -> str:
-    """Markdown of small tables, with the rank-sum test's p-value and the tuning trace; undefined is blank."""
+#: Headings of a report's tables.
+HEADINGS = {
+    "auc_by_task": "AUC by task", "auc_by_model": "AUC by generator", "prf_by_task": "Precision, recall and F1 by task at theta", "ablation": "AUC of each share alone and of both",
+    "length_buckets": "AUC by length of the context", "graph_stats": "Sizes of graphs", "mann_whitney": "Rank-sum test, flagged above others", "intervals": "Bootstrap intervals",
+    "auc_imputed": "AUC with imputed risks", "prf_imputed": "Precision, recall and F1 with imputed risks", "degenerate": "Answers that can't be scored", "histogram": "Histogram of the risk",
+}
+
+
+def report(found: dict[str, DataFrame], tuned: dict | None = None, usage: dict | None = None, summary: dict | None = None, settings: dict | None = None) -> str:
+    """Markdown of small tables: settings, summary, evaluation, tuning trace and usage; undefined is blank."""
     parts = []
+    for title, one in (("Settings", settings), ("Summary", summary)):
+        if one:
+            parts.append((title, _table(["name", "value"], list(one.items()))))
     for name, df in found.items():
         columns, rows = df.columns, [tuple(r) for r in df.collect()]
         if name == "mann_whitney":
-            columns, rows = [*columns, "p_value"], [(*r, ranking.p_value(r[columns.index("z")])) for r in rows]
-        parts.append(f"## {name}\n\n{_table(columns, rows)}")
+            of = dict(zip(columns, rows[0], strict=True))
+            p = ranking.p_value(of["z"], of["n1"], of["n0"], of["u"], of["ties"])
+            columns, rows = [*columns, "p_value"], [(*rows[0], p)]
+        parts.append((f"{HEADINGS.get(name, name)} ({name})", _table(columns, rows)))
     for name in ("alpha_cv", "tau_sweep"):
         if rows := (tuned or {}).get(name):
-            parts.append(f"## tuning: {name}\n\n{_table(list(rows[0]), [tuple(r.values()) for r in rows])}")
+            parts.append((f"Tuning on train rows (tuning: {name})", _table(list(rows[0]), [tuple(r.values()) for r in rows])))
     if usage:
-        parts.append(f"## usage\n\n{_table(list(usage), [tuple(usage.values())])}")
-    return "\n\n".join(parts) + "\n"
+        parts.append(("Calls, cost and cache (usage)", _table(list(usage), [tuple(usage.values())])))
+    return "\n\n".join(f"## {k}. {title}\n\n{text}" for k, (title, text) in enumerate(parts, 1)) + "\n"

@@ -161,7 +161,7 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def mann_whitney(spark: SparkSession, d: str) -> DataFrame:
     found = ranking.mann_whitney(_scores(spark, d))
-    return found.withColumn("z", F.round("z", 6))
+    return found.drop("ties").withColumn("z", F.round("z", 6))
 
 
 def impute_policy(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundloom.sources.construct import context_and_query, response_label
@@ -28,17 +28,49 @@ def load_sources(spark: SparkSession, folder: str) -> DataFrame:
     return placed.groupBy("source_id").agg(last.alias("x")).select("x.*")
 
 
-def load_instances(spark: SparkSession, folder: str, exclude_implicit_true: bool = False, splits: tuple[str, ...] | None = None) -> DataFrame:
-    """Answers with their source's context and question, and labels; answers without a source are dropped."""
+#: Where a row stands in the files it was read from: file, first byte of the part of it that a task reads, and number in the task.
+PLACE = "__place"
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """df, as read from files, with the place of each row. Rows of a part have ascending numbers."""
+    return df.withColumn(PLACE, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")))
+
+
+def first_in_files(df: DataFrame, n: int | None) -> DataFrame:
+    """The first n rows by their place, without it; all if n is None or 0.
+
+    The rows of each part are counted and the counts added up: parts before the one where n is reached are
+    taken whole, and only that one is put in order.
+    """
+    if not n:
+        return df.drop(PLACE)
+    part = [F.col(f"{PLACE}.{c}").alias(c) for c in ("file", "part")]
+    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("rows"))
+    # One row a part of a file.
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.withColumn("before", before).where((F.col("before") < n) & (F.col("before") + F.col("rows") >= n)).first()
+    if cut is None:
+        return df.drop(PLACE)
+    here, at = F.struct(F.col(f"{PLACE}.file"), F.col(f"{PLACE}.part")), F.struct(F.lit(cut.file), F.lit(cut.part).cast("bigint"))
+    rest = df.where(here == at).orderBy(f"{PLACE}.line").limit(n - cut.before)
+    return df.where(here < at).unionByName(rest).drop(PLACE)
+
+
+def load_instances(spark: SparkSession, folder: str, exclude_implicit_true: bool = False, splits: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
+    """Answers with their source's context and question, and labels; answers without a source are dropped.
+
+    limit: the first so many of them in the order of the file of answers.
+    """
     sources = load_sources(spark, folder)
     context, query = context_and_query(F.col("task_type"), F.col("source_info"))
     built = sources.select("source_id", F.col("task_type").alias("task"), context.alias("context"), query.alias("query"), F.coalesce("prompt", F.lit("")).alias("prompt"))
-    answers = read_jsonl(spark, f"{folder}/response.jsonl", RESPONSES).withColumn("split", F.coalesce("split", F.lit("")))
+    answers = with_place(read_jsonl(spark, f"{folder}/response.jsonl", RESPONSES)).withColumn("split", F.coalesce("split", F.lit("")))
     if splits is not None:
         answers = answers.where(F.col("split").isin(*splits))
     spans = F.coalesce("labels", F.array().cast(answers.schema["labels"].dataType))
     answers = answers.withColumn("label", response_label(spans, exclude_implicit_true))
-    return answers.join(built, "source_id").select(
+    return first_in_files(answers.join(built, "source_id"), limit).select(
         F.col("id").alias("response_id"), "source_id", "task", F.coalesce("model", F.lit("unknown")).alias("gen_model"), "split", "context", "query",
         F.coalesce("response", F.lit("")).alias("response"), F.col("label.y").alias("y"), F.col("label.types").alias("gt_span_types"),
         F.coalesce("quality", F.lit("")).alias("quality"), "prompt",

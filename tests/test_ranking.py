@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from groundloom.config import EvalConfig
 from groundloom.operators import extract, ranking, tuning
@@ -65,3 +66,40 @@ def test_backend_errors_stay_in_their_row(spark):
     rows = {r.id: r for r in extract.backend_graph(given, "id", "text", load, ExtractConfig(max_retries=2, backoff_multiplier=0.0)).collect()}
     assert rows["1"].entities == ["a", "b"] and len(rows["1"].relations) == 1 and rows["1"].error is None
     assert "no" in rows["2"].error and rows["3"].entities == [] and rows["3"].error is None
+
+
+def test_exact_p_is_that_of_all_arrangements(spark):
+    from itertools import combinations
+
+    for n1 in range(1, 8):
+        for n0 in range(1, 8):
+            total, counts = 0, [0] * (n1 * n0 + 1)
+            for taken in combinations(range(n1 + n0), n1):
+                counts[sum(taken) - n1 * (n1 - 1) // 2] += 1
+                total += 1
+            assert ranking.u_counts(n1, n0) == counts
+            for u in range(n1 * n0 + 1):
+                assert abs(ranking.p_value(0.0, n1, n0, float(u), 0.0) - sum(counts[u:]) / total) < 1e-12
+    df = spark.createDataFrame([(0.1 * k, int(k > 3)) for k in range(7)], "h double, y int")
+    r = ranking.mann_whitney(df).first()
+    assert ranking.p_value(r.z, r.n1, r.n0, r.u, r.ties) == 1 / 35
+    tied = ranking.mann_whitney(df.unionByName(df)).first()
+    assert tied.ties > 0 and ranking.p_value(tied.z, tied.n1, tied.n0, tied.u, tied.ties) == ranking.p_value(tied.z)
+
+
+def test_average_precision_and_a_metric_of_one_s_own(spark):
+    rows = [(k, f"r{k:03}", (k * 37 % 50) / 50 if k % 9 else None, int(k % 3 == 0)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, response_id string, h double, y int").withColumn("w", F.col("id") % 4)
+
+    def plain(weighted):
+        good = [(h, y, w) for (k, _, h, y), w in zip(rows, [k % 4 for k in range(200)], strict=True) if h is not None]
+        weight = lambda a: sum(w if weighted else 1 for *_, w in a)
+        pos = [r for r in good if r[1] == 1]
+        return sum((w if weighted else 1) * weight([r for r in pos if r[0] >= h]) / weight([r for r in good if r[0] >= h]) for h, _, w in pos if w or not weighted) / weight(pos)
+
+    assert abs(ranking.average_precision(df, []).first().ap - plain(False)) < 1e-12
+    assert abs(ranking.average_precision(df, [], weight=F.col("w")).first().ap - plain(True)) < 1e-12
+    assert ranking.average_precision(df.where("y = 0"), []).first().ap is None
+    own = {"ap": lambda d: ranking.average_precision(d, ["rep"], weight=F.col("w")).select("rep", F.col("ap").alias("v"))}
+    (band,) = tuning.bootstrap(df, 0.5, EvalConfig(bootstrap_replicates=60), metrics=own).collect()
+    assert band.metric == "ap" and band.n > 50 and band.lo < plain(False) < band.hi

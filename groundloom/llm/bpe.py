@@ -2,12 +2,13 @@
 
 Null text counts as empty; empty text has no ids. Rows of equal id, null ids and further columns pass
 through unchanged (only the id column is returned beside the results). Texts of any length are worked
-through in chunks that end where a word ends.
+through in chunks that end where a word ends, and a word of any length in time about in proportion to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from groundloom.llm.batches import pieces
 from groundloom.llm.pretokens import TextEncoder, gather
 
 NONE = np.iinfo(np.int64).max
+#: Bytes above which a word's merges are kept by rank.
+LONG = 128
 
 
 def byte_chars() -> list[str]:
@@ -60,23 +63,30 @@ class Vocabulary:
         self.decimals = np.frombuffer(b"".join(decimal), np.uint8)
 
     def words_to_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Merge rounds over all words at once: in each, every word merges its lowest-rank pair wherever it stands."""
-        special = {k: [v] for s, v in self.special.items() for k in [s.encode()]}
+        """Ids of all words end to end, and the number of ids of each; special strings have an id of their own."""
+        special = {k: v for s, v in self.special.items() for k in [s.encode()]}
         plain = [b"" if w in special else w for w in words]
         sizes = np.array([len(w) for w in plain], np.int64)
         symbols = self.of_byte[np.frombuffer(b"".join(plain), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
-        done_symbols, done_word = [], []
-        for k, w in enumerate(words):
-            if w in special:
-                done_symbols.append(np.array(special[w], np.int64))
-                done_word.append(np.array([k]))
+        long = np.repeat(sizes > LONG, sizes)
+        done = [self._merged_all(symbols[~long], word[~long]), self._merged_by_rank(symbols[long], word[long])]
+        done += [(np.array([special[w]], np.int64), np.array([k])) for k, w in enumerate(words) if w in special]
+        ids, owner = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair by binary search, NONE where it is no pair of the vocabulary."""
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], NONE)
+
+    def _merged_all(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge rounds over all words at once: in each, every word merges its lowest-rank pair wherever it stands."""
+        done_symbols, done_word = [symbols[:0]], [word[:0]]
         while len(symbols):
             rank = np.full(len(symbols), NONE)
-            keys = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            found = (self.keys[at] == keys) & (word[:-1] == word[1:])
-            rank[:-1][found] = self.ranks[at[found]]
+            rank[:-1] = np.where(word[:-1] == word[1:], self._ranks_of(symbols[:-1], symbols[1:]), NONE)
             first = np.flatnonzero(np.diff(word, prepend=-1))
             length = np.diff(first, append=len(word))
             least = np.repeat(np.minimum.reduceat(rank, first), length)
@@ -89,10 +99,65 @@ class Vocabulary:
             keep = ~over
             keep[1:] &= ~here[:-1]
             symbols, word = symbols[keep], word[keep]
-        done = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
-        order = np.argsort(done, kind="stable")
-        ids = np.concatenate(done_symbols)[order] if done_symbols else np.zeros(0, np.int64)
-        return ids, np.bincount(done, minlength=len(words))
+        return np.concatenate(done_symbols), np.concatenate(done_word)
+
+    def _merged_by_rank(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge rounds for long words: in each, all words merge the pairs of one rank, the least there is.
+
+        Places of pairs are kept by rank, and a round goes to those of its rank and to their neighbours only,
+        so the work grows with the number of merges and not with the length of the words a round.
+        """
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        whole = np.ones(n, bool)
+        last = np.append(word[:-1] != word[1:], True)[:n]
+        after[last] = -1
+        before[1:][last[:-1]] = -1
+        rank = np.full(n, NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        least: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Finds the ranks of the pairs at these places anew."""
+            right = after[at]
+            found = np.where(right >= 0, self._ranks_of(symbols[at], symbols[right]), NONE)
+            rank[at] = found
+            order = np.argsort(found, kind="stable")
+            sorted_ranks = found[order]
+            cuts = np.flatnonzero(np.diff(sorted_ranks)) + 1
+            for r, some in zip(sorted_ranks[np.append(0, cuts)].tolist(), np.split(at[order], cuts), strict=True):
+                if r == NONE:
+                    continue
+                if r in places:
+                    places[r].append(some)
+                else:
+                    places[r] = [some]
+                    heapq.heappush(least, r)
+
+        if n:
+            note(np.arange(n))
+        while least:
+            r = heapq.heappop(least)
+            some = places.pop(r)
+            at = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
+            at = at[whole[at] & (rank[at] == r)]
+            if len(at) > 1:
+                # Of pairs that overlap, x x x, every second one goes.
+                follows = np.append(False, after[at[:-1]] == at[1:])
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0]
+            if not len(at):
+                continue
+            right = after[at]
+            symbols[at] = self.merged[r]
+            whole[right] = False
+            behind = after[right]
+            after[at] = behind
+            some = behind >= 0
+            before[behind[some]] = at[some]
+            front = before[at]
+            note(np.unique(np.concatenate([front[front >= 0], at])))
+        return symbols[whole], word[whole]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.bytes, self.byte_offsets[ids], self.byte_lengths[ids]).tobytes()

@@ -28,6 +28,8 @@ from groundloom.llm.pretokens import gather
 from groundloom.operators.prefix import running_sums
 
 BLANK = ord(" ")
+#: Neighbouring scores whose counts a task adds up.
+SCORES = 128
 #: Bytes worked on in one numpy step.
 STEP = 1 << 20
 
@@ -143,7 +145,8 @@ def draw(scored: DataFrame, percent: int = 10, least_words: int = 20, id_col: st
     names = scored.columns
     can = F.coalesce(F.col("n_words") >= least_words, F.lit(False))
     per = scored.where(can).groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("down", -F.col("score"))
-    upto = running_sums(per, "down", {"n": "upto"}).select("score", (F.col("upto") - F.col("n")).alias("before"), "n")
+    per = per.withColumn("range", F.floor(F.col("down") / SCORES))
+    upto = running_sums(per, "down", {"n": "upto"}, range_col="range").select("score", (F.col("upto") - F.col("n")).alias("before"), "n")
     wanted, last = upto.agg(F.sum("n")).first()[0] or 0, None
     wanted = wanted * percent // 100
     if wanted:

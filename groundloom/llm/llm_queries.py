@@ -61,7 +61,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"), mixing.order_key().alias("key"))
     sized = scratch.table(docs, "sizes")
     return mixing.assign(sized).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -156,7 +156,7 @@ FROM embeddings m JOIN least l ON l.a = m.vec_id LEFT JOIN counts c ON c.a = m.v
 MIXING = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+    md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || sha256(coalesce(text, '')))) AS k
   FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM docs GROUP BY source),

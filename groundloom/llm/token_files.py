@@ -153,8 +153,8 @@ def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, vocabular
     spark = docs.sparkSession
     encoded = _encoded(docs, tokenizer_path, end_id, bits, id_col, text_col)
     ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "h")
-    _blocks(ordered, bits, block_tokens).write.parquet(f"{out}/blocks")
-    totals = spark.read.parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    _blocks(ordered, bits, block_tokens).write.partitionBy("shard").parquet(f"{out}/blocks")
+    totals = spark.read.schema(BLOCKS).parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # One row per shard.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"), F.col("n").alias("shard_tokens")).write.parquet(f"{out}/shards")
@@ -163,7 +163,7 @@ def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, vocabular
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with `start`: the place of a block's first id among all ids."""
     shards = spark.read.parquet(f"{path}/shards")
-    return spark.read.parquet(f"{path}/blocks").join(shards, "shard").withColumn("start", F.col("shard_start") + F.col("first_token"))
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(shards, "shard").withColumn("start", F.col("shard_start") + F.col("first_token"))
 
 
 def read_documents(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -186,8 +186,26 @@ def read_documents(spark: SparkSession, path: str, ids: bool = True) -> DataFram
     return read_blocks(spark, path).select("start", "n_tokens", "bits", "packed", "doc_ids", "doc_tokens").mapInArrow(run, schema)
 
 
+def blocks_of_range(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:
+    """start, n_tokens, bits and packed of the blocks that hold some of the ids first to first + count.
+
+    The table of shards tells which folders hold them; of the outer two only blocks that reach into the range are read.
+    """
+    until = F.col("shard_start") + F.col("shard_tokens")
+    held = spark.read.parquet(f"{path}/shards").where((F.col("shard_start") < first + count) & (until > first)).orderBy("shard").collect()
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("shard").isin([r.shard for r in held]))
+    if held:
+        low, high = held[0], held[-1]
+        before = F.col("first_token") < first + count - high.shard_start
+        behind = F.col("first_token") + F.col("n_tokens") > first - low.shard_start
+        one = low.shard == high.shard
+        blocks = blocks.where(before if one else (F.col("shard") != high.shard) | before).where(behind if one else (F.col("shard") != low.shard) | behind)
+    starts = F.broadcast(spark.createDataFrame([(r.shard, r.shard_start) for r in held], "shard int, shard_start bigint"))  # a row a shard of the range
+    return blocks.join(starts, "shard").select((F.col("shard_start") + F.col("first_token")).alias("start"), "n_tokens", "bits", "packed")
+
+
 def read_range(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:
-    """Ids first to first + count of the whole set (start, token_ids), in one row per block that holds some; other blocks' ids aren't unpacked."""
+    """Ids first to first + count of the whole set (start, token_ids), in one row per block that holds some; other shards' folders aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,5 +214,4 @@ def read_range(spark: SparkSession, path: str, first: int, count: int) -> DataFr
                 yield pa.RecordBatch.from_pylist([{"start": a, "token_ids": unpack(packed, bits, a - start, b - a).tolist()}], schema)
 
     schema = pa.schema([("start", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
-    hit = read_blocks(spark, path).where((F.col("start") < first + count) & (F.col("start") + F.col("n_tokens") > first))
-    return hit.select("start", "n_tokens", "bits", "packed").mapInArrow(run, "start bigint, token_ids array<int>")
+    return blocks_of_range(spark, path, first, count).mapInArrow(run, "start bigint, token_ids array<int>")

@@ -148,8 +148,8 @@ def test_embedding_links(spark, most):
 
 def test_mixing_meets_targets(spark, empty):
     rows = [(i, "w " * (i % 7), "en", (None, "a", "b", "c")[i % 4], 0) for i in range(400)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("size", mixing.words(F.col("text")))
-    found = mixing.assign(docs.select("doc_id", "source", "size")).collect()
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"size": mixing.words(F.col("text")), "key": mixing.order_key()})
+    found = mixing.assign(docs.select("doc_id", "source", "size", "key")).collect()
     per = {}
     for r in found:
         assert 0 <= r.taken <= 3 * r.size
@@ -157,9 +157,18 @@ def test_mixing_meets_targets(spark, empty):
         assert abs(r.taken - r.target) <= 1
         per[r.source] = r.target
     assert sum(per.values()) == pytest.approx(sum(r.size for r in found)) and per["b"] > per["a"]
-    mixed = mixing.mix(docs.drop("size"))
+    mixed = mixing.mix(docs.drop("size", "key"))
     assert mixed.select(F.sum(mixing.words(F.col("text")))).first()[0] == sum(r.taken for r in found)
-    assert mixing.assign(empty.withColumn("size", F.lit(0))).count() == 0
+    assert mixing.assign(empty.withColumns({"size": F.lit(0), "key": mixing.order_key()})).count() == 0
+
+
+def test_mixing_takes_the_same_texts_however_rows_are_dealt(spark):
+    rows = [(None if i % 3 else 5, f"words of number {i} " * (i % 4), "en", f"s{i % 2}" if i % 7 else None, 0) for i in range(200)] + [(None, "copy of a text", None, "s0", 1)] * 30
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS key", "2 AS tie", "3 AS taken", "4 AS size")
+    found = [sorted(map(str, mixing.mix(docs.repartition(n)).collect())) for n in (3, 7, 1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+    ranges = docs.select(F.substring(mixing.order_key(), 1, mixing.RANGE_DIGITS).alias("r")).where("doc_id IS NULL").distinct().count()
+    assert ranges > 100  # rows without an id are spread
 
 
 def test_fingerprints(spark, docs):

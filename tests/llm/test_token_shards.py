@@ -1,5 +1,7 @@
 """Shards of hot ids, packing at every width, and the word store that forgets."""
 
+import re
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -49,3 +51,20 @@ def test_words_are_the_library_s_whatever_is_forgotten():
         ids, counts = small.encode(texts[at : at + 5])
         assert ids.tolist() == [i for t in texts[at : at + 5] for i in library.encode(t, add_special_tokens=False).ids]
         assert counts.sum() == len(ids)
+
+
+def test_random_access_reads_the_folders_of_the_range_only(spark, tmp_path):
+    rows = [(i, f"document number {i} of some words " * 3) for i in range(300)]
+    place = str(tmp_path / "files")
+    token_files.write(spark.createDataFrame(rows, "doc_id bigint, text string"), place, PATH, 2, 50_257, block_tokens=64)
+    flat = [i for r in sorted(token_files.read_documents(spark, place).collect(), key=lambda r: r.start) for i in r.token_ids]
+    shards = {r.shard: r for r in spark.read.parquet(f"{place}/shards").collect()}
+    assert len(shards) > 4
+    for first, count in ((0, 1), (100, 500), (len(flat) - 3, 50), (0, len(flat)), (len(flat), 5)):
+        found = sorted(token_files.read_range(spark, place, first, count).collect())
+        assert [i for r in found for i in r.token_ids] == flat[first : first + count]
+    shard = shards[2]
+    blocks = token_files.blocks_of_range(spark, place, shard.shard_start + 70, 20)
+    plan = blocks._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+ (= |IN \()2", plan) and re.search(r"PushedFilters: \[[^\]]*LessThan\(first_token,90\)", plan)
+    assert blocks.count() <= 2

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from groundloom.config import MatchConfig
 from groundloom.functions.text import contains_words, normalize, word_runs
-from groundloom.functions.vectors import Embedder, measured, measured_cosine
+from groundloom.functions.vectors import Embedder, measured
+from groundloom.operators.near import near_pairs, nearest
 from groundloom.sources.staging import staged
 
 #: Rows of a block where all rows of a group are compared.
@@ -48,16 +49,6 @@ def part_of(v: Column, w: Column, config: MatchConfig) -> Column:
     return _guarded(shorter, config) & contains_words(longer, shorter)
 
 
-def pair_matches(v: str, w: str, config: MatchConfig, vectors: bool = False) -> Column:
-    """Of two columns of names; with vectors their vectors are columns too, named vec_ and the name's column."""
-    out = F.col(v) == F.col(w)
-    if config.allow_substring_match:
-        out |= part_of(F.col(v), F.col(w), config)
-    if vectors:
-        out |= F.coalesce(measured_cosine(F.col(f"vec_{v}"), F.col(f"vec_{w}")) >= config.entity_sim_threshold, F.lit(False))
-    return out
-
-
 def with_vectors(df: DataFrame, names: list[str], embed: Embedder | None) -> DataFrame:
     """df with vec_<name>, the vector of each name and its squared length: made once a row, before rows are paired."""
     if not embed:
@@ -65,11 +56,6 @@ def with_vectors(df: DataFrame, names: list[str], embed: Embedder | None) -> Dat
     return df.withColumns({f"vec_{c}": measured(embed(F.col(c))) for c in names})
 
 
-def with_shared_vectors(df: DataFrame, name: str, embed: Embedder) -> DataFrame:
-    """df with vec_<name>, made once for each distinct name: for names that many rows share, such as predicates."""
-    return df.join(with_vectors(df.select(name).distinct(), [name], embed), name)
-
-
 def substring_pairs(names: DataFrame, refs: DataFrame, config: MatchConfig) -> DataFrame:
     """(source_id, v, w) of names in one another.
 
@@ -108,8 +94,7 @@ def match_entities(names: DataFrame, refs: DataFrame, config: MatchConfig, embed
         rest = rest.join(part, ["source_id", "v"], "left_anti")
     if embed:
         rest = staged(rest, "unmatched")
-        near = nearest(with_vectors(rest, ["v"], embed), with_vectors(refs, ["w"], embed), ["source_id"], "v", "w")
-        near = near.where(F.col("cos") >= config.entity_sim_threshold)
+        near = nearest(with_vectors(rest, ["v"], embed), with_vectors(refs, ["w"], embed), ["source_id"], "v", "w", config.entity_sim_threshold)
         found = found.unionByName(near.select("source_id", "v", F.col("w").alias("ref"), F.lit("embedding").alias("method")))
     return found
 
@@ -130,11 +115,59 @@ def in_blocks(left: DataFrame, right: DataFrame, group: list[str], l_key: list[s
     return dealt(left, l_key, "l", "r").join(dealt(right, r_key, "r", "l"), [*group, "__l", "__r"]).drop("__l", "__r")
 
 
-def nearest(queries: DataFrame, refs: DataFrame, group: list[str], query: str, ref: str) -> DataFrame:
-    """The reference of the largest cosine (then the smallest) in a query's group; both sides have vectors."""
-    pairs = in_blocks(queries, refs, group, [query], [ref]).select(*group, query, ref, measured_cosine(F.col(f"vec_{query}"), F.col(f"vec_{ref}")).alias("cos"))
-    first = F.min(F.struct(F.col("cos").isNull().alias("none"), (-F.col("cos")).alias("far"), ref, "cos")).alias("x")
-    return pairs.groupBy(*group, query).agg(first).select(*group, query, f"x.{ref}", "x.cos")
+def matching_pairs(left: DataFrame, right: DataFrame, l_name: str, r_name: str, config: MatchConfig, embed: Embedder | None, least: float | None = None) -> DataFrame:
+    """source_id, l_name, r_name, strength of all pairs of names (source_id and the name, distinct) that match.
+
+    The strength is the cosine where only vectors match, at `least` or more (the threshold of entities by
+    default), and 2 where the names are equal or parts of one another.
+    """
+    sides = left.select("source_id", F.col(l_name).alias("v")), right.select("source_id", F.col(r_name).alias("w"))
+    plain = sides[0].join(sides[1].withColumn("v", F.col("w")), ["source_id", "v"])
+    if config.allow_substring_match:
+        plain = plain.unionByName(substring_pairs(*sides, config))
+    out = plain.withColumn("strength", F.lit(2.0))
+    if embed:
+        vectors = with_vectors(sides[0], ["v"], embed), with_vectors(sides[1], ["w"], embed)
+        near = near_pairs(*vectors, ["source_id"], ["v"], ["w"], "vec_v", "vec_w", config.entity_sim_threshold if least is None else least)
+        out = out.unionByName(near.select("source_id", "v", "w", F.col("cos").alias("strength"))).groupBy("source_id", "v", "w").agg(F.max("strength").alias("strength"))
+    return out.withColumnsRenamed({"v": l_name, "w": r_name})
+
+
+#: Rows of predicates that agree up to which they are handed to every task.
+FEW = 50_000
+
+
+def predicate_pairs(left: DataFrame, right: DataFrame, least: float, embed: Embedder | None) -> DataFrame:
+    """r, r2, rel of the predicates (columns r and r2) that agree: 2 if they are equal, else their cosine."""
+    sides = left.select("r").distinct(), right.select("r2").distinct()
+    out = sides[0].join(sides[1].withColumn("r", F.col("r2")), "r").withColumn("rel", F.lit(2.0))
+    if embed:
+        vectors = (with_vectors(df, [c], embed).withColumn("one", F.lit(1)) for df, c in zip(sides, ("r", "r2"), strict=True))
+        near = near_pairs(*vectors, ["one"], ["r"], ["r2"], "vec_r", "vec_r2", least)
+        out = out.unionByName(near.select("r", "r2", F.col("cos").alias("rel"))).groupBy("r", "r2").agg(F.max("rel").alias("rel"))
+    out = staged(out, "predicates")
+    return F.broadcast(out) if out.count() <= FEW else out
+
+
+def triple_pairs(triples: DataFrame, ref_triples: DataFrame, config: MatchConfig, embed: Embedder | None, ends_least: float | None = None, rel_least: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of triples (source_id, s, r, o, s2, r2, o2) whose ends match and whose predicates agree, with `ends`, the weaker end's
+    strength, and `rel`: those that agree in direction, and those with the reference's ends the other way round.
+
+    Ends are matched name by name first, so triples meet by equal names only, and a predicate that all triples
+    share costs nothing.
+    """
+    triples, ref_triples = staged(triples.select("source_id", *"sro").distinct(), "open-triples"), staged(ref_triples, "reference-triples")
+    ends = lambda df, names: df.select("source_id", F.explode(F.array(*names)).alias("end")).distinct()
+    matched = staged(matching_pairs(ends(triples, "so").withColumnRenamed("end", "v"), ends(ref_triples, ["s2", "o2"]).withColumnRenamed("end", "w"), "v", "w", config, embed, ends_least), "ends")
+    agreed = predicate_pairs(triples, ref_triples, config.relation_sim_threshold if rel_least is None else rel_least, embed)
+    side = lambda v, w, name: matched.select("source_id", F.col("v").alias(v), F.col("w").alias(w), F.col("strength").alias(name))
+
+    def paired(a: str, b: str) -> DataFrame:
+        first = triples.join(side("s", a, "first"), ["source_id", "s"]).join(ref_triples, ["source_id", a])
+        both = first.join(side("o", b, "second"), ["source_id", "o", b]).join(agreed, ["r", "r2"])
+        return both.select("source_id", *"sro", "s2", "r2", "o2", F.least("first", "second").alias("ends"), "rel")
+
+    return paired("s2", "o2"), paired("o2", "s2")
 
 
 def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFrame, config: MatchConfig, embed: Embedder | None = None) -> DataFrame:
@@ -148,22 +181,10 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFra
     open_triples = open_triples.withColumns({"s_again": normalize(F.col("s")), "o_again": normalize(F.col("o"))})
     for c in ("s_again", "o_again"):
         open_triples = open_triples.join(ends.withColumnRenamed("v", c), ["source_id", c], "left_semi")
-    if embed:
-        near = F.coalesce(measured_cosine(F.col("vec_r"), F.col("vec_r2")) >= config.relation_sim_threshold, F.lit(False))
-        # Written, as both are read for their predicates, for the sizes of their groups and for their pairs.
-        open_triples, ref_triples = staged(open_triples, "open-triples"), staged(ref_triples, "reference-triples")
-        left = with_shared_vectors(with_vectors(open_triples, list("so"), embed), "r", embed)
-        right = with_shared_vectors(with_vectors(ref_triples, ["s2", "o2"], embed), "r2", embed)
-        pairs = in_blocks(left, right, ["source_id"], list("sro"), ["s2", "r2", "o2"]).where((F.col("r") == F.col("r2")) | near)
-    else:
-        pairs = open_triples.join(ref_triples.withColumn("r", F.col("r2")), ["source_id", "r"])
-
-    def both(a: str, b: str) -> Column:
-        return pair_matches("s", a, config, embed is not None) & pair_matches("o", b, config, embed is not None)
-
-    method = F.when(both("s2", "o2"), "forward")
+    forward, inverse = triple_pairs(open_triples, ref_triples, config, embed)
+    found = forward.withColumn("method", F.lit("forward"))
     if config.inverse_edge_match or not config.direction_sensitive_edges:
-        method = method.when(both("o2", "s2"), "inverse")
-    found = pairs.withColumn("method", method).where(F.col("method").isNotNull())
+        found = found.unionByName(inverse.withColumn("method", F.lit("inverse")))
+    # Of one reference triple both ways round, the forward one stands: it sorts first.
     first = F.min(F.struct("s2", "r2", "o2", "method")).alias("x")
     return found.groupBy("source_id", "s", "r", "o").agg(first).select("source_id", "s", "r", "o", "x.*")

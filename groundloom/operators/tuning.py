@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundloom.config import EvalConfig, MatchConfig
 from groundloom.functions.metrics import finite, risk
-from groundloom.functions.vectors import Embedder, measured_cosine
+from groundloom.functions.vectors import Embedder
 from groundloom.operators import matching, ranking
 from groundloom.operators.prefix import spread_number
 from groundloom.sources.staging import staged
@@ -51,39 +51,35 @@ def sample(rows: DataFrame, n: int, seed: str = "sample", id_col: str = "respons
 def threshold_sweep(answers: DataFrame, contexts: DataFrame, questions: DataFrame, labels: DataFrame, embed: Embedder, match: MatchConfig, config: EvalConfig, alpha: float) -> DataFrame:
     """tau_e, tau_r, n, auc over a grid of thresholds.
 
-    How strongly names and triples of a source match (2: without vectors) is found once, in blocks, and
-    thresholds are applied after.
+    A name's strength is that of its best match (2: without vectors). For a triple, the matches that no other
+    one beats in both its ends and its predicate answer all thresholds: of them stands, for each threshold of
+    predicates, the strength of the ends, so a triple is one row whatever the grid.
     """
     from groundloom.functions.text import normalize
 
-    def near(v: str, w: str) -> Column:
-        return F.coalesce(measured_cosine(F.col(f"vec_{v}"), F.col(f"vec_{w}")), F.lit(-1.0))
-
-    def strength(v: str, w: str) -> Column:
-        plain = F.col(v) == F.col(w)
-        if match.allow_substring_match:
-            plain |= matching.part_of(F.col(v), F.col(w), match)
-        return F.when(plain, 2.0).otherwise(near(v, w))
-
-    vectors, source, grid = matching.with_vectors, ["source_id"], F.explode(F.array(*(F.struct(F.lit(e).alias("tau_e"), F.lit(r).alias("tau_r")) for e in config.sweep_entity for r in config.sweep_relation)))
-    refs, triples = vectors(matching.union_entities(contexts, questions), ["w"], embed), vectors(matching.union_relations(contexts, questions), ["s2", "r2", "o2"], embed)
+    entity, relation = config.sweep_entity, config.sweep_relation
+    refs, ref_triples = staged(matching.union_entities(contexts, questions), "references"), matching.union_relations(contexts, questions)
     names = answers.select("response_id", "source_id", F.explode("entities").alias("raw")).withColumn("v", normalize(F.col("raw")))
-    # Each distinct name and triple of a source is compared once.
-    each = vectors(names.where("v != ''").select("source_id", "v").distinct(), ["v"], embed)
-    met = matching.in_blocks(each, refs, source, ["v"], ["w"]).groupBy("source_id", "v").agg(F.max(strength("v", "w")).alias("best"))
-    best = names.join(met, ["source_id", "v"], "left")
-    eg = best.withColumn("g", grid).groupBy("response_id", "g").agg(F.avg(F.coalesce(F.col("best") >= F.col("g.tau_e"), F.lit(False)).cast("double")).alias("EG"))
+    each = staged(names.where("v != ''").select("source_id", "v").distinct(), "names")
+    met = matching.matching_pairs(each, refs, "v", "w", match, embed, min(entity)).groupBy("source_id", "v").agg(F.max("strength").alias("best"))
+    # A name of a source with no reference matches at no threshold, as one whose best match is below them all.
+    best = staged(names.join(met, ["source_id", "v"], "left").withColumn("best", F.coalesce("best", F.lit(-1.0))), "best")
+    share = lambda c, t: F.avg((F.col(c) >= F.lit(t)).cast("double"))
+    eg = best.groupBy("response_id").agg(*(share("best", t).alias(f"eg{k}") for k, t in enumerate(entity)))
     edges = answers.select("response_id", "source_id", F.explode("relations").alias("e")).select("response_id", "source_id", "e", *(normalize(F.col(f"e.{c}")).alias(c) for c in "sro"))
+    edges = staged(edges, "edges")
+    pairs, _ = matching.triple_pairs(edges.where("s != '' AND o != ''"), ref_triples, match, embed, min(entity), min(relation))
+    skyline = [F.max(F.when(F.col("rel") >= t, F.col("ends"))).alias(f"held{k}") for k, t in enumerate(relation)]
     gate = {c: best.groupBy("response_id", F.col("v").alias(c)).agg(F.max("best").alias(f"best_{c}")) for c in "so"}
-    pairs = matching.in_blocks(vectors(edges.select("source_id", *"sro").distinct(), list("sro"), embed), triples, source, list("sro"), ["s2", "r2", "o2"])
-    pairs = pairs.select("source_id", *"sro", F.least(strength("s", "s2"), strength("o", "o2")).alias("ends"), F.when(F.col("r") == F.col("r2"), 2.0).otherwise(near("r", "r2")).alias("rel"), grid.alias("g"))
-    held = pairs.where((F.col("ends") >= F.col("g.tau_e")) & (F.col("rel") >= F.col("g.tau_r"))).select("source_id", *"sro", "g").distinct().withColumn("some", F.lit(True))
-    tried = edges.withColumn("g", grid).join(held, ["source_id", *"sro", "g"], "left").join(gate["s"], ["response_id", "s"], "left").join(gate["o"], ["response_id", "o"], "left")
-    holds = F.col("some") & F.col("best_s").isNotNull() & F.col("best_o").isNotNull() & (F.least("best_s", "best_o") >= F.col("g.tau_e"))
-    per_edge = tried.groupBy("response_id", "g", "e").agg(F.max(F.coalesce(holds, F.lit(False)).cast("double")).alias("held"))
-    rp = per_edge.groupBy("response_id", "g").agg(F.avg("held").alias("RP"))
-    rows = eg.join(rp, ["response_id", "g"], "left").join(labels.select("response_id", "y"), "response_id")
-    rows = rows.select("g.tau_e", "g.tau_r", "y", risk(F.col("EG"), F.col("RP"), alpha).alias("h"))
+    tried = edges.join(pairs.groupBy("source_id", *"sro").agg(*skyline), ["source_id", *"sro"], "left").join(gate["s"], ["response_id", "s"], "left").join(gate["o"], ["response_id", "o"], "left")
+    none = F.lit(-1.0)
+    strength = [F.max(F.least(*(F.coalesce(c, none) for c in (f"held{k}", "best_s", "best_o")))).alias(f"held{k}") for k in range(len(relation))]
+    per_edge = tried.groupBy("response_id", "e").agg(*strength)
+    rp = per_edge.groupBy("response_id").agg(*(share(f"held{j}", t).alias(f"rp{k}_{j}") for k, t in enumerate(entity) for j in range(len(relation))))
+    rows = eg.join(rp, "response_id", "left").join(labels.select("response_id", "y"), "response_id")
+    risks = [F.struct(F.lit(e).alias("tau_e"), F.lit(r).alias("tau_r"), risk(F.col(f"eg{k}"), F.col(f"rp{k}_{j}"), alpha).alias("h")) for k, e in enumerate(entity) for j, r in enumerate(relation)]
+    # Only an answer's risks, a number for each point of the grid, are rows of their own.
+    rows = rows.select("y", F.explode(F.array(*risks)).alias("x")).select("y", "x.*")
     return ranking.auc(rows, ["tau_e", "tau_r"]).select("tau_e", "tau_r", "n", "auc")
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from groundloom.config import Config, ExtractConfig, MatchConfig
 from groundloom.functions import text
 from groundloom.functions.metrics import complement
-from groundloom.functions.vectors import letter_counts
-from groundloom.operators import extract, matching, ranking, scoring, tuning
+from groundloom.functions.vectors import letter_counts, measured
+from groundloom.operators import extract, matching, near, ranking, scoring, tuning
 from groundloom.plans import evaluate
 from groundloom.plans.instances import graphs, instances, read, rows, scored, written_corpus
 from groundloom.sources import jsonl
@@ -199,18 +199,11 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 def embedding_nn(spark: SparkSession, d: str) -> DataFrame:
     """The nearest vector of its label to every twentieth one."""
-    given = read(spark, d, "embeddings").where("label IS NOT NULL")
-    asked = given.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label", F.col("embedding").alias("a"))
-    refs = given.select(F.col("vec_id").alias("ref"), "label", F.col("embedding").alias("b"))
-    pairs = asked.join(refs, "label").where("query != ref").withColumn("cos", _unit_cos())
-    best = pairs.groupBy("query", "label").agg(F.max(F.struct(F.col("cos"), (-F.col("ref")).alias("r"))).alias("x"))
-    return best.select("query", "label", (-F.col("x.r")).alias("ref"), F.round("x.cos", 6).alias("cos"))
-
-
-def _unit_cos():
-    from groundloom.functions.vectors import cosine
-
-    return F.round(cosine(F.col("a"), F.col("b")), 9)
+    given = read(spark, d, "embeddings").where("label IS NOT NULL").select("vec_id", "label", measured(F.col("embedding").cast("array<double>")).alias("vec"))
+    asked = given.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label", F.col("vec").alias("vec_query"))
+    refs = given.select(F.col("vec_id").alias("ref"), "label", F.col("vec").alias("vec_ref"))
+    found = near.nearest(asked, refs, ["label"], "query", "ref", digits=9, other=True)
+    return found.select("query", "label", "ref", F.round("cos", 6).alias("cos"))
 
 
 def flag_labels(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundloom.config import MatchConfig
 from groundloom.functions.metrics import cfi, complement, risk
-from groundloom.functions.text import normalize
+from groundloom.functions.text import contains_words, normalize, word_runs
 from groundloom.functions.vectors import Embedder
 from groundloom.operators import matching
 from groundloom.sources.staging import staged
@@ -87,12 +87,18 @@ def eval_rows(scored: DataFrame, instances: DataFrame, alpha: float) -> DataFram
 
 def supported_in_text(edges: DataFrame, texts: DataFrame) -> DataFrame:
     """The `support` mode, as this library reads it: triples (source_id, s, r, o) whose two ends stand in the
-    normalized text of the source (source_id, text) as whole words."""
-    from groundloom.functions.text import contains_words
+    normalized text of the source (source_id, text) as whole words.
 
+    Each end of a source is looked for once, and only in a text that has its first word among its own.
+    """
     given = texts.select("source_id", normalize(F.col("text")).alias("body"))
-    found = edges.join(given, "source_id").where(contains_words(F.col("body"), F.col("s")) & contains_words(F.col("body"), F.col("o")))
-    return found.select("source_id", *"sro").distinct()
+    words = given.select("source_id", F.explode(F.array_distinct(word_runs(F.col("body")))).alias("word"))
+    ends = edges.select("source_id", F.explode(F.array("s", "o")).alias("end")).distinct().withColumn("word", F.element_at(word_runs(F.col("end")), 1))
+    likely = ends.join(words, ["source_id", "word"], "left_semi").unionByName(ends.where("word IS NULL")).drop("word")
+    found = staged(likely.join(given, "source_id").where(contains_words(F.col("body"), F.col("end"))).select("source_id", "end"), "ends-in-texts")
+    for c in "so":
+        edges = edges.join(found.withColumnRenamed("end", c), ["source_id", c], "left_semi")
+    return edges.select("source_id", *"sro").distinct()
 
 
 def critical_risk(scored: DataFrame, beta: float = 0.5, k: int = 3) -> DataFrame:

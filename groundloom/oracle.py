@@ -331,6 +331,36 @@ def oracle_sql() -> dict[str, str]:
         "usage_summary": "SELECT count(*) AS api_calls, sum(round(value * 100)::BIGINT)::BIGINT AS cost_cents FROM events WHERE event_type <> 'view'",
         "sample_n": "SELECT doc_id, source FROM documents ORDER BY md5('sample:' || doc_id), doc_id LIMIT 300",
         "prefix_limit": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100",
+        "graph_store": f"""WITH w AS (SELECT doc_id, {_KEY} AS cache_key, {_words('text')} AS w FROM documents), k AS (SELECT doc_id, cache_key, {_firsts('w')} AS e FROM w), own AS (SELECT DISTINCT cache_key FROM k SEMI JOIN labels USING (doc_id))
+          SELECT cache_key, greatest(len(any_value(e)) - 1, 0)::INT AS n_relations, array_to_string(CASE WHEN o.cache_key IS NULL THEN any_value(e) ELSE list_prepend('labelled', any_value(e)) END, '|') AS entities
+          FROM k LEFT JOIN own o USING (cache_key) GROUP BY cache_key, o.cache_key""",
+        "chunked_graphs": rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM documents),
+          s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]*[.!?]+\s*|[^.!?]+')) AS sentence, generate_subscripts(regexp_extract_all(text, '[^.!?]*[.!?]+\s*|[^.!?]+'), 1) AS i FROM t),
+          p AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS place FROM (
+            SELECT doc_id, i, unnest(range(0, (length(sentence) - 1) // 6000 + 1)) AS k, sentence FROM s), LATERAL (SELECT substr(sentence, k * 6000 + 1, 6000) AS piece)),
+          laid AS (
+            SELECT doc_id, place, 0 AS chunk, length(piece) AS used FROM p WHERE place = 1
+            UNION ALL
+            SELECT p.doc_id, p.place, CASE WHEN used + length(piece) <= 6000 THEN chunk ELSE chunk + 1 END, CASE WHEN used + length(piece) <= 6000 THEN used + length(piece) ELSE length(piece) END
+            FROM laid JOIN p ON p.doc_id = laid.doc_id AND p.place = laid.place + 1),
+          c AS (SELECT doc_id, chunk, string_agg(piece, '' ORDER BY place) AS text FROM laid JOIN p USING (doc_id, place) GROUP BY doc_id, chunk),
+          e AS (SELECT doc_id, {_firsts('w')} AS e FROM (SELECT doc_id, {_words('text')} AS w FROM c)),
+          r AS (SELECT DISTINCT doc_id, a || '>co_occurs_with>' || b AS link, a, b FROM (SELECT doc_id, unnest(list_zip(e[:-2], e[2:])) AS x FROM e WHERE len(e) > 1), LATERAL (SELECT x[1] AS a, x[2] AS b))
+          SELECT t.doc_id, (SELECT count(*) FROM c WHERE c.doc_id = t.doc_id)::INT AS n_chunks,
+            coalesce((SELECT string_agg(w, '|' ORDER BY w) FROM (SELECT DISTINCT unnest(e) AS w FROM e WHERE e.doc_id = t.doc_id)), '') AS entities,
+            coalesce((SELECT string_agg(link, '|' ORDER BY a, b) FROM r WHERE r.doc_id = t.doc_id), '') AS relations
+          FROM t""",
+        "usage_of_calls": rf"""WITH t AS (SELECT regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM documents), each AS (
+            SELECT text, count(*) AS n, any_value(regexp_extract_all(lower(text), '[a-z][a-z0-9]+')) AS w FROM t WHERE text <> '' GROUP BY text),
+          done AS (SELECT *, len(w) >= 3 AS good, len({_firsts('w')}) AS k FROM each)
+          SELECT count_if(good)::BIGINT AS api_calls, 0.25::DOUBLE * count_if(good) AS estimated_cost_usd, sum(len(w)) FILTER (WHERE good)::BIGINT AS prompt_tokens, sum(2 * k) FILTER (WHERE good)::BIGINT AS completion_tokens,
+            count(*) AS attempts, count_if(NOT good)::BIGINT AS failed, sum(n - 1)::BIGINT AS cache_hits, count_if(good)::BIGINT AS last_cum_calls, 0.25::DOUBLE * count_if(good) AS last_cum_cost_usd FROM done""",
+        "prefix_in_file": "SELECT doc_id, source FROM documents ORDER BY md5(doc_id::VARCHAR) LIMIT 100",
+        "average_precision": rows(
+            """SELECT grp, sum(p + q)::BIGINT AS n, sum(p)::BIGINT AS n_pos, CASE WHEN sum(p) > 0 THEN sum(p * (tp::DOUBLE / said)) / sum(p) END AS ap FROM (
+              SELECT *, sum(p) OVER w AS tp, sum(p + q) OVER w AS said FROM steps WINDOW w AS (PARTITION BY grp ORDER BY h DESC)) GROUP BY grp""",
+            steps="SELECT grp, h, count_if(y = 1) AS p, count_if(y = 0) AS q FROM " + _overall("task") + " WHERE h IS NOT NULL GROUP BY grp, h",
+        ),
         "h_histogram": rows("""SELECT task, y, bin, count(*) AS n, count(*)::DOUBLE / nullif(any_value(total) * any_value(width), 0) AS density FROM (
           SELECT *, CASE WHEN width > 0 THEN least(floor((h - lo) / width), 19) ELSE 0 END::INT AS bin FROM (
             SELECT *, (max(h) OVER g - min(h) OVER g) / 20.0::DOUBLE AS width, min(h) OVER g AS lo, count(*) OVER g AS total FROM rows_ WHERE h IS NOT NULL WINDOW g AS (PARTITION BY task, y)))

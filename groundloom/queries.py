@@ -384,6 +384,68 @@ def skipped_responses(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.failures(turns, answers, contexts, contexts.select("source_id", F.lit(None).cast("string").alias("error")))
 
 
+def graph_store(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of graphs that several writers filled at the same time: the first commit of a text's key counts, after compaction too.
+
+    The writer of the labelled documents commits before that of all documents, which wrote first; all are
+    written once more, the commits are made one, and the labelled ones come again, to no effect.
+    """
+    found = extract.offline_graph(extract.with_key(read(spark, d, "documents"), "text", CONFIG.extract), "text").select("doc_id", "cache_key", "entities", "relations")
+    own = found.join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("entities", F.array_prepend("entities", F.lit("labelled"))).drop("doc_id")
+    found = staged(found.drop("doc_id"), "graphs")
+    store = extract.graph_store(spark, new_path(spark, "cache"), "documents")
+    late, early = store.write(found), store.write(own)
+    store.commit(early)
+    store.commit(late)
+    store.append(found.withColumn("entities", F.array(F.lit("again"))))
+    store.compact()
+    store.append(own.withColumn("entities", F.array(F.lit("again"))))
+    return store.found(found.select("cache_key").distinct()).select("cache_key", F.size("relations").alias("n_relations"), _joined("entities").alias("entities"))
+
+
+def chunked_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs of all texts, of chunks that end with sentences where a text is longer than the bound."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    made = lambda df: extract.offline_graph(df, "text").drop("text")
+    found = extract.chunked_graphs(docs, "doc_id", "text", "documents", new_path(spark, "cache"), made, CONFIG.extract).graphs
+    parts = docs.select("doc_id", F.size(extract.chunks(text.strip(F.col("text")), CONFIG.extract.context_chunk_chars)).alias("n_chunks"))
+    return found.join(parts, "doc_id").select("doc_id", "n_chunks", _joined("entities").alias("entities"), _triples("relations").alias("relations"))
+
+
+def _counting_backend():
+    """A backend that says what its calls took: a token for each word given and two for each entity, a quarter of a cent a call."""
+    import re
+
+    def generate(given: str, cluster: bool, chunk_size: int | None) -> tuple[list, list, dict]:
+        words = re.findall("[a-z][a-z0-9]+", given.lower())
+        if len(words) < 3:
+            raise ValueError("too short")
+        first = list(dict.fromkeys(words))[:12]
+        return first, [], {"prompt_tokens": len(words), "completion_tokens": 2 * len(first), "cost": 0.25}
+
+    return generate
+
+
+def usage_of_calls(spark: SparkSession, d: str) -> DataFrame:
+    """What extracting all documents takes: calls, tokens, cost, failures, and texts that an equal one had brought into the cache."""
+    docs, config = read(spark, d, "documents"), ExtractConfig(max_retries=1, concurrency=16, calls_per_task=4)
+    made = lambda df: extract.backend_graph(df, "cache_key", "text", _counting_backend, config)
+    log = staged(extract.call_log([extract.cached_graphs(docs, "doc_id", "text", "documents", new_path(spark, "cache"), made, config).calls]), "log")
+    last = log.agg(F.max("cum_calls").alias("last_cum_calls"), F.max("cum_cost_usd").alias("last_cum_cost_usd"))
+    return extract.call_summary(log).crossJoin(F.broadcast(last))  # one row each
+
+
+def prefix_in_file(spark: SparkSession, d: str) -> DataFrame:
+    """The first records of JSON lines in the order of the file, which is that of a hash here."""
+    folder = new_path(spark, "lines")
+    jsonl.write_jsonl(read(spark, d, "documents").select("doc_id", "source").orderBy(F.md5(F.col("doc_id").cast("string"))), folder)
+    return jsonl.first_in_files(jsonl.with_place(jsonl.read_jsonl(spark, folder, "doc_id bigint, source string")), 100)
+
+
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.average_precision(ranking.with_overall(_scores(spark, d), "task"), ["grp"])
+
+
 QUERIES: tuple[Query, ...] = (
     fake_entities, fake_edges, graph_codec, build_instances, split_counts, ref_union, ref_triples, normalize_lines, cache_keys, cache_miss,
     eg_exact, match_cascade, substring_matches, rp_align, rp_inverse, score_rows, audit_lists, auc_by_task, auc_by_model, prf_by_task,
@@ -391,6 +453,7 @@ QUERIES: tuple[Query, ...] = (
     embedding_nn, flag_labels, json_facts, dedupe_sources, first_instances, usage_cumsum, usage_summary, sample_n, prefix_limit,
     h_histogram, topk_claims, text_support, single_shares, skipped_responses, corpus_instances, corpus_train, corpus_scores,
     match_by_language, predicate_align, backend_graphs, tuned_alpha_theta, evaluation_summary, audit_records,
+    graph_store, chunked_graphs, usage_of_calls, prefix_in_file, average_precision,
 )
 
 

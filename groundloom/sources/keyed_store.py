@@ -19,8 +19,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Digits of a hex key that name its folder: 256 of them.
-DIGITS = 2
+#: Digits of a hex key that name its folder: 16 of them, of files that are cut by size.
+DIGITS = 1
 COMMITS = "commit bigint, batch string, upto bigint"
 
 
@@ -102,7 +102,7 @@ class KeyedStore:
         return rows.join(places, "batch").groupBy(self.key).agg(first).select("x.*")
 
     def prefixes_of(self, keys: DataFrame) -> list[str]:
-        """The prefixes that occur among keys, 256 at most."""
+        """The prefixes that occur among keys, 16 at most."""
         return sorted(r[0] for r in keys.select(F.substring(self.key, 1, DIGITS)).distinct().collect() if r[0] is not None)
 
     def misses(self, wanted: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A run of key characters, or a stretch of it between joints (= / + _ -), that takes many tokens of a tiktoken
 vocabulary for its length (few characters a token) is a random string, unless it is a digest of a known
-length, a UUID, or lies in a pattern's span.
+length (in hex, or in base64 after its function's name), a UUID, a hardware address, a piece of the alphabet, or
+lies in a pattern's span.
 
 Spans are half-open ranges of code points. Null text counts as empty; repeated rows and ids are scanned row
 by row; other columns are ignored unless kept. An empty table gives no rows.
@@ -33,7 +34,10 @@ PART = re.compile(r"[A-Za-z0-9]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-UUID_PART = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
+#: Identifiers within runs: UUIDs, hardware addresses, and digests in base64 after the name of their function.
+KNOWN_PART = re.compile(
+    rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|[0-9A-Fa-f]{{2}}(?:-[0-9A-Fa-f]{{2}}){{5}}|sha1-[A-Za-z0-9+/]{{27}}=|sha256-[A-Za-z0-9+/]{{43}}=|sha384-[A-Za-z0-9+/]{{64}}|sha512-[A-Za-z0-9+/]{{86}}==)(?![A-Za-z0-9+/=])"
+)
 
 _ENCODINGS: dict = {}
 
@@ -61,8 +65,10 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_identifier(run: str) -> bool:
-    """Digests of known length and UUIDs, whose randomness is no secret."""
-    return bool(len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run))
+    """Digests of known length and UUIDs, whose randomness is no secret, and characters in the order of their codes."""
+    if len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run):
+        return True
+    return len(run) > 8 and all(ord(y) - ord(x) == 1 for x, y in zip(run, run[1:]))
 
 
 def _uncovered(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,7 +132,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, ratio:
             continue
         while at < len(covered) and covered[at][1] <= a:
             at += 1
-        skip, k = [u.span() for u in UUID_PART.finditer(text, a, b)], at
+        skip, k = [u.span() for u in KNOWN_PART.finditer(text, a, b)], at
         while k < len(covered) and covered[k][0] < b:
             skip.append(covered[k])
             k += 1

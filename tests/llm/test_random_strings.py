@@ -35,6 +35,22 @@ def test_rests_and_identifiers_in_runs():
     assert spans(f"/objects/{'0123456789ABCDEF' * 2}") == []
 
 
+def test_digests_addresses_and_alphabets_are_no_secrets():
+    import base64
+    import hashlib
+
+    for k in range(100):
+        for name in ("sha1", "sha256", "sha384", "sha512"):
+            digest = base64.b64encode(hashlib.new(name, b"%d" % k).digest()).decode()
+            assert spans(f'integrity="{name}-{digest}" crossorigin') == [], digest
+        raw = hashlib.md5(b"%d" % k).hexdigest()
+        for joint in ("-", ":"):
+            assert spans("address " + joint.join(raw[i : i + 2] for i in range(0, 12, 2))) == []
+    assert spans(string.ascii_uppercase) == spans(string.ascii_lowercase + " abcdefghijklmnop") == []
+    # A key beside an identifier is still found.
+    assert spans("/01-23-45-67-89-ab/zQ9x7Kp2Vw8Rt5Yb3Nm6Jh1") == ["zQ9x7Kp2Vw8Rt5Yb3Nm6Jh1"]
+
+
 @pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", string.ascii_lowercase, string.ascii_lowercase + string.digits, BASE62])
 @pytest.mark.parametrize("n", [20, 24])
 def test_alphabets(alphabet, n):

@@ -1,12 +1,14 @@
 """Pairs of rows whose vectors have a cosine of a threshold or more, found exactly, group by group.
 
-Rows of one vector are compared once. A group that is larger than a block is parted by pivots: each vector goes to
-the nearest of some vectors of the group, and as angles on the sphere obey the triangle inequality, two parts
+Groups that fit into a block are compared as they are, many of them in a task. In larger ones, rows of one vector
+are compared once, and the group is parted by pivots: each vector goes to the nearest of some vectors of the group, and as angles on the sphere obey the triangle inequality, two parts
 whose pivots are further apart than both parts' radii and the threshold's angle together hold no pair and never
 meet. Parts are cut into blocks, and each pair of blocks is a task's matrix product.
 
 How much the pivots save depends on the vectors: parts of well separated clusters hardly meet, while among
 vectors spread over many dimensions nearly all parts do, and the comparisons stay quadratic in the group.
+
+Null groups are no groups; null and zero vectors, and those that hold NaN, are near to none.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,54 +141,107 @@ def _arranged(left: DataFrame, right: DataFrame, least: float, block: int) -> tu
     return *near, staged(meetings, "meetings")
 
 
-def _compared(left: DataFrame, right: DataFrame, meetings: DataFrame, hits, block: int, digits: int | None = None, other: bool = False) -> DataFrame:
-    """g, lid, rid, cos of the pairs for which hits(cosines of two blocks) is true, over all pairs of blocks of parts that meet.
+def _nullable(column: pa.ChunkedArray) -> pa.Array:
+    """A column of structs, fields that are never null being declared as ones that may be."""
+    whole = column.combine_chunks()
+    return pa.StructArray.from_arrays(whole.flatten(), names=[f.name for f in whole.type])
 
-    digits: to which cosines are rounded first; other: pairs of equal ids are no pairs.
-    """
 
-    bundles = max(1, (meetings.agg(F.sum(F.col("cl") + F.col("cr"))).first()[0] or 0) // (2 * block))
+def _keep(hits, digits: int | None, other: bool, distinct: bool = False):
+    """Of two tables of g, id, v, n: the pairs of equal groups for which hits(their cosines) is true.
 
-    def side(df: DataFrame, s: str, other_side: str):
-        dealt = df.join(meetings.withColumnRenamed(f"p{s}", "part"), ["g", "part"]).withColumnRenamed("part", f"p{s}")
-        dealt = dealt.withColumn(f"k{s}", F.pmod(F.xxhash64("v"), F.col(f"b{s}")).cast("int")).withColumn(f"k{other_side}", F.explode(F.sequence(F.lit(0), F.col(f"b{other_side}") - 1)))
-        # Groups of one part and block go together, as many as fill a block; each other pair of blocks has a task of its own.
-        alone = F.col("alone") | (F.col("bl") > 1) | (F.col("br") > 1)
-        place = F.struct("pl", "pr", "kl", "kr", F.when(alone, F.xxhash64("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(bundles))).alias("bundle"))
-        return dealt.select("g", "id", "v", "n", place.alias("place")).groupBy("place")
+    Its columns are in the order of the right ids. digits: to which cosines are rounded first; other: pairs of
+    equal ids are no pairs; distinct: of the right rows of one vector, the first stands for all.
+    """
 
-    def keep(a: pa.Table, b: pa.Table) -> pa.Table:
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(a) and len(b):
+            b = b.take(pc.sort_indices(b["id"].combine_chunks().field(0)))
             left_side, right_side = Side(a), Side(b)
             ids = [t["id"].combine_chunks().field(0).to_numpy(zero_copy_only=False) for t in (a, b)] if other else []
             for g, own in left_side.of.items():
                 if its := right_side.of.get(g):
+                    if distinct and len(its) > 1:
+                        its = [its[k] for k in np.sort(np.unique(right_side.v[its], axis=0, return_index=True)[1])]
                     found = left_side.cosines(own, right_side, its)
                     if digits is not None:
                         found = np.round(found, digits)
+                    found[np.isnan(found)] = -2.0
                     if other:
                         found[ids[0][own][:, None] == ids[1][its]] = -2.0
                     i, j = np.nonzero(hits(found))
                     out.append((np.array(own)[i], np.array(its)[j], found[i, j]))
         i, j, cos = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"g": (a if len(a) else b)["g"].take(i), "lid": a["id"].take(i), "rid": b["id"].take(j), "cos": cos})
+        taken = {"g": (a if len(a) else b)["g"].take(i), "lid": a["id"].take(i), "rid": b["id"].take(j)}
+        return pa.table({**{name: _nullable(column) for name, column in taken.items()}, "cos": cos})
+
+    return run
 
+
+def _found_schema(left: DataFrame, right: DataFrame) -> str:
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((left, "g"), (left, "id"), (right, "id"))]
-    return side(left, "l", "r").cogroup(side(right, "r", "l")).applyInArrow(keep, "g {}, lid {}, rid {}, cos double".format(*kinds))
+    return "g {}, lid {}, rid {}, cos double".format(*kinds)
+
+
+def _compared(left: DataFrame, right: DataFrame, meetings: DataFrame, hits, block: int, digits: int | None = None, other: bool = False) -> DataFrame:
+    """g, lid, rid, cos of the pairs for which hits(cosines of two blocks) is true, over all pairs of blocks of parts that meet.
+
+    digits: to which cosines are rounded first; other: pairs of equal ids are no pairs.
+    """
+
+    bundles = max(1, (meetings.agg(F.sum(F.col("cl") + F.col("cr"))).first()[0] or 0) // (2 * block))
+
+    def side(df: DataFrame, s: str, other_side: str):
+        dealt = df.join(meetings.withColumnRenamed(f"p{s}", "part"), ["g", "part"]).withColumnRenamed("part", f"p{s}")
+        dealt = dealt.withColumn(f"k{s}", F.pmod(F.xxhash64("v"), F.col(f"b{s}")).cast("int")).withColumn(f"k{other_side}", F.explode(F.sequence(F.lit(0), F.col(f"b{other_side}") - 1)))
+        # Groups of one part and block go together, as many as fill a block; each other pair of blocks has a task of its own.
+        alone = F.col("alone") | (F.col("bl") > 1) | (F.col("br") > 1)
+        place = F.struct("pl", "pr", "kl", "kr", F.when(alone, F.xxhash64("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(bundles))).alias("bundle"))
+        return dealt.select("g", "id", "v", "n", place.alias("place")).groupBy("place")
+
+    return side(left, "l", "r").cogroup(side(right, "r", "l")).applyInArrow(_keep(hits, digits, other), _found_schema(left, right))
+
+
+def _together(left: DataFrame, right: DataFrame, rows: int, hits, block: int, digits: int | None = None, other: bool = False, distinct: bool = False) -> DataFrame:
+    """g, lid, rid, cos of the pairs for which hits is true, of groups that fit into a block: as many to a task as fill one. rows: how many both sides have."""
+    bundle = F.pmod(F.xxhash64("g"), F.lit(max(1, rows // (2 * block))))
+    sides = (df.withColumn("bundle", bundle).groupBy("bundle") for df in (left, right))
+    return next(sides).cogroup(next(sides)).applyInArrow(_keep(hits, digits, other, distinct), _found_schema(left, right))
+
+
+def _by_size(left: DataFrame, right: DataFrame, group: list[str], block: int) -> tuple[tuple[DataFrame, DataFrame], int, tuple[DataFrame, DataFrame] | None]:
+    """The rows of the groups that fit into a block on both sides and their number, and those of larger groups, if there are any."""
+    sides = left.dropna(subset=group), right.dropna(subset=group)
+    each = [df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")) for df in sides]
+    sizes = each[0].unionByName(each[1]).groupBy(*group).agg(F.max("n").alias("n"), F.sum("n").alias("rows"))
+    most, rows = sizes.agg(F.max("n"), F.sum(F.when(F.col("n") <= block, F.col("rows")))).first()
+    if (most or 0) <= block:
+        return sides, rows or 0, None
+    sizes = staged(sizes, "group-sizes")
+    of = lambda which: tuple(df.join(sizes.where(which).select(*group), group, "left_semi") for df in sides)
+    return of(F.col("n") <= block), rows or 0, of(F.col("n") > block)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, group: list[str], l_key: list[str], r_key: list[str], l_vec: str, r_vec: str, least: float, block: int = BLOCK) -> DataFrame:
     """All pairs of rows of one group with cosine >= least, and `cos`. Vectors are structs of v and n, its squared length.
 
-    Columns of the two sides differ but for group; null and zero vectors are near to none.
+    Columns of the two sides differ but for group.
     """
+    hits = lambda cos: cos >= least
+    small, rows, large = _by_size(left, right, group, block)
+    own = [[c for c in df.columns if c not in (vec, *group)] for df, vec in ((left, l_vec), (right, r_vec))]
+    found = _together(_vectors(small[0], group, own[0], l_vec, True), _vectors(small[1], group, own[1], r_vec, True), rows, hits, block)
+    pairs = found.select("g.*", "lid.*", "cos", "rid.*").select(*group, "cos", *own[0], *own[1])
+    if not large:
+        return pairs
+    left, right = large
     sides = _vectors(left, group, l_key, l_vec), _vectors(right, group, r_key, r_vec)
     sides = staged(sides[0], "left-vectors"), staged(sides[1], "right-vectors")
-    found = _compared(*_arranged(*sides, least, block), lambda cos: cos >= least, block)
+    found = _compared(*_arranged(*sides, least, block), hits, block)
     found = found.withColumnsRenamed({"g": "__g", "lid": "__l", "rid": "__r"})
-    pairs = found.join(_members(left, sides[0], group, l_vec, "__l"), ["__g", "__l"]).join(_members(right, sides[1], group, r_vec, "__r"), ["__g", "__r"])
-    return pairs.select("__g.*", *(c for c in pairs.columns if c not in ("__g", "__l", "__r")))
+    far = found.join(_members(left, sides[0], group, l_vec, "__l"), ["__g", "__l"]).join(_members(right, sides[1], group, r_vec, "__r"), ["__g", "__r"])
+    return pairs.unionByName(far.select("__g.*", *(c for c in far.columns if c not in ("__g", "__l", "__r"))))
 
 
 def compared_pairs(left: DataFrame, right: DataFrame, group: list[str], l_key: list[str], r_key: list[str], l_vec: str, r_vec: str, least: float, block: int = BLOCK) -> int:
@@ -201,11 +257,26 @@ def nearest(queries: DataFrame, refs: DataFrame, group: list[str], query: str, r
     compared; other: a reference of the query's own name is left out.
     """
     l_vec, r_vec = f"vec_{query}", f"vec_{ref}"
+
+    def hits(cos: np.ndarray) -> np.ndarray:
+        """Of each row the first of the largest, as columns are in the order of the references."""
+        out = np.zeros(cos.shape, bool)
+        at = cos.argmax(1)
+        some = np.flatnonzero(cos[np.arange(len(cos)), at] >= least)
+        out[some, at[some]] = True
+        return out
+
+    small, rows, large = _by_size(queries, refs, group, block)
+    found = _together(_vectors(small[0], group, [query], l_vec, True), _vectors(small[1], group, [ref], r_vec, True), rows, hits, block, digits, other, not other)
+    near = found.select("g.*", f"lid.{query}", f"rid.{ref}", "cos")
+    if not large:
+        return near
+    queries, refs = large
     # Of the references of one vector only the smallest, its id, can be the answer.
     sides = staged(_vectors(queries, group, [query], l_vec, other), "query-vectors"), staged(_vectors(refs, group, [ref], r_vec, other), "reference-vectors")
-    found = _compared(*_arranged(*sides, least, block), lambda cos: (cos == cos.max(1)[:, None]) & (cos >= least), block, digits, other)
+    found = _compared(*_arranged(*sides, least, block), hits, block, digits, other)
     best = found.groupBy("g", "lid").agg(F.min(F.struct((-F.col("cos")).alias("far"), F.col(f"rid.{ref}").alias(ref), "cos")).alias("x"))
     if other:
-        return best.select("g.*", f"lid.{query}", f"x.{ref}", "x.cos")
+        return near.unionByName(best.select("g.*", f"lid.{query}", f"x.{ref}", "x.cos"))
     best = best.select(F.col("g").alias("__g"), F.col("lid").alias("__l"), f"x.{ref}", "x.cos")
-    return _members(queries, sides[0], group, l_vec, "__l").join(best, ["__g", "__l"]).select("__g.*", query, ref, "cos")
+    return near.unionByName(_members(queries, sides[0], group, l_vec, "__l").join(best, ["__g", "__l"]).select("__g.*", query, ref, "cos"))

@@ -13,7 +13,7 @@ from groundloom.config import MatchConfig
 from groundloom.functions.text import contains_words, normalize, word_runs
 from groundloom.functions.vectors import Embedder, measured
 from groundloom.operators.near import near_pairs, nearest
-from groundloom.sources.staging import staged
+from groundloom.sources.staging import staged, staged_pair
 
 #: Rows of a block where all rows of a group are compared.
 BLOCK = 1024
@@ -70,10 +70,11 @@ def substring_pairs(names: DataFrame, refs: DataFrame, config: MatchConfig) -> D
     firsts = [x.select("source_id", c, F.element_at("words", 1).alias("word")).where(F.size("words") > 0) for x, c in ((v, "v"), (w, "w"))]
     all_words = [x.select("source_id", c, F.explode(F.array_distinct("words")).alias("word")) for x, c in ((v, "v"), (w, "w"))]
     by_word = firsts[0].join(all_words[1], ["source_id", "word"]).unionByName(all_words[0].join(firsts[1], ["source_id", "word"]))
-    bare = F.size("words") == 0
-    wordless = in_blocks(v.where(bare).drop("words"), w.drop("words"), ["source_id"], ["v"], ["w"])
-    wordless = wordless.unionByName(in_blocks(v.drop("words"), w.where(bare).drop("words"), ["source_id"], ["v"], ["w"]))
-    pairs = by_word.drop("word").unionByName(wordless)
+    pairs, bare = by_word.drop("word"), F.size("words") == 0
+    # Mostly there are none; then the other side is not dealt into blocks.
+    for few, sides in ((v.where(bare), (v.where(bare), w)), (w.where(bare), (v, w.where(bare)))):
+        if not few.isEmpty():
+            pairs = pairs.unionByName(in_blocks(*(x.drop("words") for x in sides), ["source_id"], ["v"], ["w"]))
     return pairs.where((F.col("v") != F.col("w")) & part_of(F.col("v"), F.col("w"), config)).distinct()
 
 
@@ -85,7 +86,7 @@ def match_entities(names: DataFrame, refs: DataFrame, config: MatchConfig, embed
     names = names.where(F.col("v") != "").distinct()
     if config.allow_substring_match or embed:
         # Each way of matching reads both sides, their words and the sizes of their groups.
-        names, refs = staged(names, "names"), staged(refs, "references")
+        names, refs = staged_pair(names.select("source_id", "v"), refs.select("source_id", "w"), "names")
     exact = names.join(refs.withColumn("v", F.col("w")), ["source_id", "v"]).select("source_id", "v", F.col("w").alias("ref"), F.lit("exact").alias("method"))
     found, rest = exact, names.join(refs.withColumnRenamed("w", "v"), ["source_id", "v"], "left_anti")
     if config.allow_substring_match:
@@ -139,7 +140,7 @@ FEW = 50_000
 
 def predicate_pairs(left: DataFrame, right: DataFrame, least: float, embed: Embedder | None) -> DataFrame:
     """r, r2, rel of the predicates (columns r and r2) that agree: 2 if they are equal, else their cosine."""
-    sides = left.select("r").distinct(), right.select("r2").distinct()
+    sides = staged_pair(left.select("r").distinct(), right.select("r2").distinct(), "predicates")
     out = sides[0].join(sides[1].withColumn("r", F.col("r2")), "r").withColumn("rel", F.lit(2.0))
     if embed:
         vectors = (with_vectors(df, [c], embed).withColumn("one", F.lit(1)) for df, c in zip(sides, ("r", "r2"), strict=True))
@@ -156,9 +157,10 @@ def triple_pairs(triples: DataFrame, ref_triples: DataFrame, config: MatchConfig
     Ends are matched name by name first, so triples meet by equal names only, and a predicate that all triples
     share costs nothing.
     """
-    triples, ref_triples = staged(triples.select("source_id", *"sro").distinct(), "open-triples"), staged(ref_triples, "reference-triples")
+    triples, ref_triples = staged_pair(triples.select("source_id", *"sro").distinct(), ref_triples.select("source_id", "s2", "r2", "o2"), "triples")
     ends = lambda df, names: df.select("source_id", F.explode(F.array(*names)).alias("end")).distinct()
-    matched = staged(matching_pairs(ends(triples, "so").withColumnRenamed("end", "v"), ends(ref_triples, ["s2", "o2"]).withColumnRenamed("end", "w"), "v", "w", config, embed, ends_least), "ends")
+    sides = staged_pair(ends(triples, "so").withColumnRenamed("end", "v"), ends(ref_triples, ["s2", "o2"]).withColumnRenamed("end", "w"), "ends")
+    matched = staged(matching_pairs(*sides, "v", "w", config, embed, ends_least), "matched-ends")
     agreed = predicate_pairs(triples, ref_triples, config.relation_sim_threshold if rel_least is None else rel_least, embed)
     side = lambda v, w, name: matched.select("source_id", F.col("v").alias(v), F.col("w").alias(w), F.col("strength").alias(name))
 

@@ -34,7 +34,8 @@ SLACK = 1e-6
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
-    return np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+    # 0.0 is added so that no zero is negative, and equal vectors have equal bytes.
+    return (np.asarray(lists.flatten(), np.float64) + 0.0).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
 class Side:
@@ -162,8 +163,11 @@ def _keep(hits, digits: int | None, other: bool, distinct: bool = False):
             ids = [t["id"].combine_chunks().field(0).to_numpy(zero_copy_only=False) for t in (a, b)] if other else []
             for g, own in left_side.of.items():
                 if its := right_side.of.get(g):
-                    if distinct and len(its) > 1:
-                        its = [its[k] for k in np.sort(np.unique(right_side.v[its], axis=0, return_index=True)[1])]
+                    if distinct:
+                        first: dict[bytes, int] = {}
+                        for k in its:
+                            first.setdefault(right_side.v[k].tobytes(), k)
+                        its = [*first.values()]
                     found = left_side.cosines(own, right_side, its)
                     if digits is not None:
                         found = np.round(found, digits)

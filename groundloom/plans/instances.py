@@ -42,9 +42,10 @@ def graphs(given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Graphs of the responses, contexts and questions; contexts and questions once for each source."""
     sources = first_of(given, "source_id", "response_id", ["context", "query"])
     answers = extract.offline_graph(given.select("response_id", "source_id", "response"), "response", phrases=True).drop("response")
-    contexts = extract.offline_graph(sources.select("source_id", "context"), "context").drop("context")
-    questions = extract.offline_graph(sources.select("source_id", "query"), "query").drop("query")
-    return tuple(staged(g, name) for g, name in ((answers, "answer-graphs"), (contexts, "context-graphs"), (questions, "question-graphs")))
+    for c in ("context", "query"):
+        sources = extract.offline_graph(sources, c).withColumn(c, F.struct("entities", "relations")).drop("entities", "relations")
+    sources = staged(sources, "source-graphs")
+    return staged(answers, "answer-graphs"), sources.select("source_id", "context.*"), sources.select("source_id", "query.*")
 
 
 def scored(given: DataFrame, config: Config, vectors: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders made for local sessions without a setting, by application.
 _OWN: dict[str, str] = {}
@@ -36,6 +37,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_pair(left: DataFrame, right: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables of as many columns, alike in types, written as one; rows of a side lie in files of their own."""
+    marked = [df.toDF(*left.columns).withColumn("__right", F.lit(x)) for df, x in ((left, False), (right, True))]
+    both = staged(marked[0].unionByName(marked[1]), name)
+    sides = (both.where(F.col("__right") == F.lit(x)).drop("__right") for x in (False, True))
+    return next(sides), next(sides).toDF(*right.columns)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes the files of staged tables that no later plan reads."""
     for df in tables:

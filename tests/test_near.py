@@ -80,3 +80,18 @@ def test_clusters_that_are_apart_never_meet(spark):
     found = near.near_pairs(asked, right, *args)
     few = [k for k in range(0, n, 100)]
     assert found.count() == int((unit[few] @ unit.T >= 0.95).sum()) and want > n
+
+
+def test_small_and_large_groups_rows_of_one_vector_and_no_vectors(spark):
+    """Groups within a block and beyond it in one call: of equal references the smallest, null groups and NaN near to none."""
+    same = [("small", f"n{k}", [1.0, -0.0]) for k in (3, 1, 2)] + [("small", "far", [0.0, 1.0]), ("small", "bad", [float("nan"), 1.0]), (None, "n0", [1.0, 0.0])]
+    same += [("large", f"n{k:02}", [1.0, float(k % 3)]) for k in range(20)]
+    refs = frame(spark, same, "b")
+    asked = frame(spark, [("small", "a", [2.0, 0.0]), ("small", "nan", [float("nan"), 0.0]), (None, "a", [1.0, 0.0]), ("large", "a", [1.0, 0.0]), ("large", "c", [1.0, 2.0])], "a")
+    for block in (8, 2048):
+        found = {(r.g, r.a, r.b) for r in near.nearest(asked, refs, ["g"], "a", "b", 0.9, block=block).collect()}
+        assert found == {("small", "a", "n1"), ("large", "a", "n00"), ("large", "c", "n02")}
+        pairs = near.near_pairs(asked, refs, ["g"], ["a"], ["b"], "vec_a", "vec_b", 0.99, block).collect()
+        assert sorted((r.g, r.a, r.b) for r in pairs) == sorted(
+            [("small", "a", f"n{k}") for k in (1, 2, 3)] + [("large", "a", f"n{k:02}") for k in range(20) if k % 3 == 0] + [("large", "c", f"n{k:02}") for k in range(20) if k % 3 == 2]
+        )

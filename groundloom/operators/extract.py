@@ -18,11 +18,13 @@ from groundloom.config import ExtractConfig
 from groundloom.functions.text import cache_key, strip
 from groundloom.operators.prefix import running_sums
 from groundloom.sources.keyed_store import KeyedStore
-from groundloom.sources.staging import staged
+from groundloom.sources.staging import file_groups, new_path, staged
 
 MAX_ENTITIES, MIN_LETTERS, LINK = 12, 4, "co_occurs_with"
 #: What a row of a backend says of its call.
 USAGE = {"seconds": "double", "calls": "bigint", "prompt_tokens": "bigint", "completion_tokens": "bigint", "cost_usd": "double"}
+#: Bytes of written texts that a task which calls a backend reads, about, and rows of a file of them.
+TASK_BYTES, FILE_ROWS = 128 << 20, 5_000
 GRAPH = "entities array<string>, relations array<struct<s:string,r:string,o:string>>"
 
 
@@ -75,7 +77,8 @@ def backend_graph(df: DataFrame, key: str, text_col: str, load: Callable[[], Cal
 
     `concurrency` calls are under way in the cluster, `calls_per_task` of them in each task, which keeps the
     order of its rows; each task takes its share of `calls_per_second`. A task that is run again makes its calls
-    again, but leaves its rows, and so its usage, once.
+    again, but leaves its rows, and so its usage, once. More texts than so many tasks should read are called for in
+    rounds, one after the other, so that a task's share is bounded and the number of calls under way stays.
     """
     tasks = max(1, -(-config.concurrency // config.calls_per_task))
     interval = tasks / config.calls_per_second if config.calls_per_second else 0.0
@@ -123,8 +126,15 @@ def backend_graph(df: DataFrame, key: str, text_col: str, load: Callable[[], Cal
                 yield pd.DataFrame(some, columns=[key, "entities", "relations", "error", *USAGE])
 
     kind = df.schema[key].dataType.simpleString()
-    given = df.select(key, F.col(text_col).alias("text")).repartition(tasks)
-    return given.mapInPandas(run, f"`{key}` {kind}, {GRAPH}, error string, {', '.join(f'{c} {t}' for c, t in USAGE.items())}")
+    given = staged(df.select(key, F.col(text_col).alias("text")), "texts", FILE_ROWS)
+    made = lambda texts: texts.repartition(tasks).mapInPandas(run, f"`{key}` {kind}, {GRAPH}, error string, {', '.join(f'{c} {t}' for c, t in USAGE.items())}")
+    rounds = file_groups(given, tasks * TASK_BYTES)
+    if len(rounds) < 2:
+        return made(given)
+    spark, place = df.sparkSession, new_path(df.sparkSession, "calls")
+    for files in rounds:
+        made(spark.read.schema(given.schema).parquet(*files)).write.mode("append").parquet(place)
+    return spark.read.schema(made(given).schema).parquet(place)
 
 
 def extraction_params(config: ExtractConfig) -> dict:

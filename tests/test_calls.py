@@ -2,6 +2,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from groundloom.config import ExtractConfig
@@ -99,3 +100,28 @@ def test_chunked_graphs_resume_from_the_cache(spark, tmp_path):
     (tmp_path / "up").touch()
     second = {r.id: r for r in run().collect()}
     assert asked.value == before + 1 and second[1].entities == ["Aa", "Cc", "Ee", "bb", "dd", "ff"] and len(second[1].relations) == 3
+
+
+@pytest.mark.parametrize("concurrency, share", [(4, 10), (8, 5)])
+def test_more_texts_are_called_for_in_rounds(spark, monkeypatch, concurrency, share):
+    """No task reads more than its share, and no more calls than asked for are under way."""
+    monkeypatch.setattr(extract, "FILE_ROWS", 10)
+    monkeypatch.setattr(extract, "TASK_BYTES", 1)
+
+    def load():
+        seen = []
+
+        def generate(text, cluster, chunk):
+            seen.append(text)
+            began = time.monotonic()
+            time.sleep(0.05)
+            return [text], [(began, len(seen), time.monotonic())]
+
+        return generate
+
+    texts = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "id int, text string").coalesce(1)
+    rows = extract.backend_graph(texts, "id", "text", load, ExtractConfig(concurrency=concurrency, calls_per_task=4)).collect()
+    assert sorted((r.id, *r.entities) for r in rows) == [(k, f"text {k}") for k in range(40)]
+    assert max(int(r.relations[0].r) for r in rows) <= share
+    spans = [(float(r.relations[0].s), float(r.relations[0].o)) for r in rows]
+    assert max(sum(a <= x < b for a, b in spans) for x, _ in spans) <= concurrency

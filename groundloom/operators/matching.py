@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundloom.config import MatchConfig
 from groundloom.functions.text import contains_words, normalize, word_runs
-from groundloom.functions.vectors import Embedder, measured
+from groundloom.functions.vectors import Embedder, measured, measured_cosine
 from groundloom.operators.near import near_pairs, nearest
 from groundloom.sources.staging import staged, staged_pair
 
@@ -134,25 +134,30 @@ def matching_pairs(left: DataFrame, right: DataFrame, l_name: str, r_name: str,
     return out.withColumnsRenamed({"v": l_name, "w": r_name})
 
 
-#: Rows of predicates that agree up to which they are handed to every task.
+#: Pairs of predicates that agree up to which they are handed to every task.
 FEW = 50_000
 
 
-def predicate_pairs(left: DataFrame, right: DataFrame, least: float, embed: Embedder | None) -> DataFrame:
-    """r, r2, rel of the predicates (columns r and r2) that agree: 2 if they are equal, else their cosine."""
-    sides = staged_pair(left.select("r").distinct(), right.select("r2").distinct(), "predicates")
-    out = sides[0].join(sides[1].withColumn("r", F.col("r2")), "r").withColumn("rel", F.lit(2.0))
-    if embed:
-        vectors = (with_vectors(df, [c], embed).withColumn("one", F.lit(1)) for df, c in zip(sides, ("r", "r2"), strict=True))
-        near = near_pairs(*vectors, ["one"], ["r"], ["r2"], "vec_r", "vec_r2", least)
-        out = out.unionByName(near.select("r", "r2", F.col("cos").alias("rel"))).groupBy("r", "r2").agg(F.max("rel").alias("rel"))
-    out = staged(out, "predicates")
-    return F.broadcast(out) if out.count() <= FEW else out
-
+def agreeing(met: DataFrame, least: float, embed: Embedder | None) -> DataFrame:
+    """The pairs of triples (with columns r and r2) whose predicates agree, with `rel`: 2 if they are equal, else their cosine.
 
-def triple_pairs(triples: DataFrame, ref_triples: DataFrame, config: MatchConfig, embed: Embedder | None, ends_least: float | None = None, rel_least: float | None = None) -> tuple[DataFrame, DataFrame]:
+    Only predicates of triples that met are compared, each pair once, so that no row is made for the other pairs of
+    a corpus's predicates.
+    """
+    same, other = met.where(F.col("r") == F.col("r2")).withColumn("rel", F.lit(2.0)), met.where(F.col("r") != F.col("r2"))
+    if not embed or other.isEmpty():
+        return same
+    pairs = staged(other.select("r", "r2").distinct(), "predicate-pairs")
+    vectors = staged(with_vectors(pairs.select(F.explode(F.array("r", "r2")).alias("r")).distinct(), ["r"], embed), "predicates")
+    told = pairs.join(vectors, "r").join(vectors.select(F.col("r").alias("r2"), F.col("vec_r").alias("vec_r2")), "r2")
+    cosines = staged(told.select("r", "r2", measured_cosine(F.col("vec_r"), F.col("vec_r2")).alias("rel")), "agreed")
+    agreed = cosines.where((F.col("rel") >= least) & ~F.isnan("rel"))
+    return same.unionByName(other.join(F.broadcast(agreed) if agreed.count() <= FEW else agreed, ["r", "r2"]))
+
+
+def triple_pairs(triples: DataFrame, ref_triples: DataFrame, config: MatchConfig, embed: Embedder | None, ends_least: float | None = None, rel_least: float | None = None, inverse: bool = False) -> DataFrame:
     """Pairs of triples (source_id, s, r, o, s2, r2, o2) whose ends match and whose predicates agree, with `ends`, the weaker end's
-    strength, and `rel`: those that agree in direction, and those with the reference's ends the other way round.
+    strength, `rel`, and `inverse`: whether the reference's ends are the other way round. Those are looked for only if asked.
 
     Ends are matched name by name first, so triples meet by equal names only, and a predicate that all triples
     share costs nothing.
@@ -161,15 +166,17 @@ def triple_pairs(triples: DataFrame, ref_triples: DataFrame, config: MatchConfig
     ends = lambda df, names: df.select("source_id", F.explode(F.array(*names)).alias("end")).distinct()
     sides = staged_pair(ends(triples, "so").withColumnRenamed("end", "v"), ends(ref_triples, ["s2", "o2"]).withColumnRenamed("end", "w"), "ends")
     matched = staged(matching_pairs(*sides, "v", "w", config, embed, ends_least), "matched-ends")
-    agreed = predicate_pairs(triples, ref_triples, config.relation_sim_threshold if rel_least is None else rel_least, embed)
     side = lambda v, w, name: matched.select("source_id", F.col("v").alias(v), F.col("w").alias(w), F.col("strength").alias(name))
 
     def paired(a: str, b: str) -> DataFrame:
         first = triples.join(side("s", a, "first"), ["source_id", "s"]).join(ref_triples, ["source_id", a])
-        both = first.join(side("o", b, "second"), ["source_id", "o", b]).join(agreed, ["r", "r2"])
-        return both.select("source_id", *"sro", "s2", "r2", "o2", F.least("first", "second").alias("ends"), "rel")
+        both = first.join(side("o", b, "second"), ["source_id", "o", b])
+        return both.select("source_id", *"sro", "s2", "r2", "o2", F.least("first", "second").alias("ends"), F.lit(a == "o2").alias("inverse"))
 
-    return paired("s2", "o2"), paired("o2", "s2")
+    met = paired("s2", "o2")
+    if inverse:
+        met = met.unionByName(paired("o2", "s2"))
+    return agreeing(staged(met, "meetings"), config.relation_sim_threshold if rel_least is None else rel_least, embed)
 
 
 def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFrame, config: MatchConfig, embed: Embedder | None = None) -> DataFrame:
@@ -183,10 +190,8 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matched: DataFra
     open_triples = open_triples.withColumns({"s_again": normalize(F.col("s")), "o_again": normalize(F.col("o"))})
     for c in ("s_again", "o_again"):
         open_triples = open_triples.join(ends.withColumnRenamed("v", c), ["source_id", c], "left_semi")
-    forward, inverse = triple_pairs(open_triples, ref_triples, config, embed)
-    found = forward.withColumn("method", F.lit("forward"))
-    if config.inverse_edge_match or not config.direction_sensitive_edges:
-        found = found.unionByName(inverse.withColumn("method", F.lit("inverse")))
+    found = triple_pairs(open_triples, ref_triples, config, embed, inverse=config.inverse_edge_match or not config.direction_sensitive_edges)
+    found = found.withColumn("method", F.when(F.col("inverse"), "inverse").otherwise("forward"))
     # Of one reference triple both ways round, the forward one stands: it sorts first.
     first = F.min(F.struct("s2", "r2", "o2", "method")).alias("x")
     return found.groupBy("source_id", "s", "r", "o").agg(first).select("source_id", "s", "r", "o", "x.*")

@@ -68,7 +68,7 @@ def threshold_sweep(answers: DataFrame, contexts: DataFrame, questions: DataFram
     eg = best.groupBy("response_id").agg(*(share("best", t).alias(f"eg{k}") for k, t in enumerate(entity)))
     edges = answers.select("response_id", "source_id", F.explode("relations").alias("e")).select("response_id", "source_id", "e", *(normalize(F.col(f"e.{c}")).alias(c) for c in "sro"))
     edges = staged(edges, "edges")
-    pairs, _ = matching.triple_pairs(edges.where("s != '' AND o != ''"), ref_triples, match, embed, min(entity), min(relation))
+    pairs = matching.triple_pairs(edges.where("s != '' AND o != ''"), ref_triples, match, embed, min(entity), min(relation))
     skyline = [F.max(F.when(F.col("rel") >= t, F.col("ends"))).alias(f"held{k}") for k, t in enumerate(relation)]
     gate = {c: best.groupBy("response_id", F.col("v").alias(c)).agg(F.max("best").alias(f"best_{c}")) for c in "so"}
     tried = edges.join(pairs.groupBy("source_id", *"sro").agg(*skyline), ["source_id", *"sro"], "left").join(gate["s"], ["response_id", "s"], "left").join(gate["o"], ["response_id", "o"], "left")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from groundloom.config import MatchConfig
 from groundloom.functions.metrics import cfi
 from groundloom.functions.text import normalize
+from groundloom.functions.vectors import letter_counts
 from groundloom.operators import matching, scoring
 
 GRAPH = "source_id string, entities array<string>, relations array<struct<s:string,r:string,o:string>>"
@@ -76,3 +77,14 @@ def test_scores(spark):
 def test_cfi(spark):
     one = spark.range(1).select(cfi(F.lit(0.5), F.lit(1.0), 0.7).alias("a"), cfi(F.lit(0.8), F.lit(None).cast("double"), 0.7).alias("b")).first()
     assert one.a == pytest.approx(0.65) and one.b == 0.8
+
+
+def test_only_predicates_of_triples_that_met_are_compared(spark, monkeypatch):
+    met, plain = {}, matching.staged
+    monkeypatch.setattr(matching, "staged", lambda df, name: met.setdefault(name, plain(df, name)))
+    triples = spark.createDataFrame([("1", "paris", "capital of", "france"), *(("2", f"x{k}", f"seen in {k}", f"y{k}") for k in range(30))], "source_id string, s string, r string, o string")
+    refs = spark.createDataFrame([("1", "paris", "capitals of", "france"), ("1", "paris", "zz", "france"), *(("2", f"v{k}q", f"seen at {k}", f"w{k}q") for k in range(30))], "source_id string, s2 string, r2 string, o2 string")
+    ends = triples.select("source_id", F.explode(F.array("s", "o")).alias("v"))
+    found = matching.align_relations(triples, refs, ends, MatchConfig(), letter_counts).collect()
+    assert [(r.source_id, r.r2, r.method) for r in found] == [("1", "capitals of", "forward")]
+    assert sorted((r.r, r.r2) for r in met["predicate-pairs"].collect()) == [("capital of", "capitals of"), ("capital of", "zz")]

@@ -127,6 +127,8 @@ def bootstrap(rows: DataFrame, theta: float, config: EvalConfig, h: str = "h", m
     good = rows.where(finite(F.col(h))).select("response_id", "y", F.col(h).alias("h"))
     counted = good.groupBy("h", "y").agg(F.count(F.lit(1)).alias("n"), F.min("response_id").alias("first"))
     drawn = counted.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(config.bootstrap_replicates - 1))))
+    # The scores may be few, and all in one task, but their draws are the work.
+    drawn = drawn.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
     drawn = drawn.withColumn("w", draws(hashed(str(config.seed), "rep", "first"), F.col("n"))).where("w > 0").select("rep", "h", "y", "w")
     drawn = staged(drawn, "draws")
     auc = staged(ranking.auc(drawn, ["rep"], weight=F.col("w")).where("auc IS NOT NULL").select("rep", F.col("auc").alias("v")), "draws-auc")

@@ -103,3 +103,10 @@ def test_average_precision_and_a_metric_of_one_s_own(spark):
     own = {"ap": lambda d: ranking.average_precision(d, ["rep"], weight=F.col("w")).select("rep", F.col("ap").alias("v"))}
     (band,) = tuning.bootstrap(df, 0.5, EvalConfig(bootstrap_replicates=60), metrics=own).collect()
     assert band.metric == "ap" and band.n > 50 and band.lo < plain(False) < band.hi
+
+
+def test_draws_of_few_scores_are_spread(spark, monkeypatch):
+    held, plain = {}, tuning.staged
+    monkeypatch.setattr(tuning, "staged", lambda df, name: held.setdefault(name, df) if name == "draws" else plain(df, name))
+    tuning.bootstrap(frame(spark, [(0.1, 0), (0.9, 1)] * 20), 0.5, EvalConfig(bootstrap_replicates=40))
+    assert held["draws"].select(F.spark_partition_id()).distinct().count() > 1

@@ -14,6 +14,7 @@ Null groups are no groups; null and zero vectors, and those that hold NaN, are n
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +40,39 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class Side:
-    """Vectors of a task, with their rows by group."""
+    """Vectors of a task."""
 
     def __init__(self, rows: pa.Table) -> None:
-        self.rows, self.v, self.n = rows, _matrix(rows["v"]), rows["n"].to_numpy()
-        self.of: dict[tuple, list[int]] = {}
-        for k, g in enumerate(rows["g"].to_pylist()):
-            self.of.setdefault(tuple(g.values()), []).append(k)
+        self.v, self.n = _matrix(rows["v"]), rows["n"].to_numpy()
 
-    def cosines(self, own: list[int], other: Side, its: list[int]) -> np.ndarray:
+    def cosines(self, own: Sequence[int], other: Side, its: Sequence[int]) -> np.ndarray:
         """Of all pairs of some rows of the two sides."""
         return self.v[own] @ other.v[its].T / np.sqrt(np.outer(self.n[own], other.n[its]))
 
 
+def _common(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each group g that both tables have, the numbers of its rows in either, ascending."""
+    codes = np.zeros(len(a) + len(b), np.int64)
+    for sides in zip(*(t["g"].combine_chunks().flatten() for t in (a, b)), strict=True):
+        of = pa.concat_arrays(sides).dictionary_encode()
+        codes = np.unique(codes * len(of.dictionary) + of.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    rows, names, starts = [], [], []
+    for own in (codes[: len(a)], codes[len(a) :]):
+        order = np.argsort(own, kind="stable")
+        name, start = np.unique(own[order], return_index=True)
+        rows.append(order)
+        names.append(name)
+        starts.append([*start.tolist(), len(order)])
+    for i, j in zip(*(x.tolist() for x in np.intersect1d(*names, assume_unique=True, return_indices=True)[1:]), strict=True):
+        yield rows[0][starts[0][i] : starts[0][i + 1]], rows[1][starts[1][j] : starts[1][j + 1]]
+
+
 def _vectors(df: DataFrame, group: list[str], keys: list[str], vector: str, each: bool = False) -> DataFrame:
-    """g, id, v, n: the distinct vectors of each group, zero ones left out; the least key of a vector's rows is its id. each: one for every row."""
-    v = F.col(f"{vector}.v").cast("array<double>")
-    given = df.where(F.col(f"{vector}.n") > 0).select(F.struct(*group).alias("g"), v.alias("v"), F.col(f"{vector}.n").cast("double").alias("n"), F.struct(*keys).alias("id"))
-    return given.select("g", "id", "v", "n") if each else given.groupBy("g", "v", "n").agg(F.min("id").alias("id"))
+    """g, id, v, n: the distinct vectors of each group, zero ones left out; the least key of a vector's rows is its id. each: one for every row, which _keep leaves out if it is zero."""
+    columns = F.struct(*group).alias("g"), F.struct(*keys).alias("id"), F.col(f"{vector}.v").cast("array<double>").alias("v"), F.col(f"{vector}.n").cast("double").alias("n")
+    if each:
+        return df.select(*columns)  # a filter would make each vector once more
+    return df.where(F.col(f"{vector}.n") > 0).select(*columns).groupBy("g", "v", "n").agg(F.min("id").alias("id"))
 
 
 def _members(df: DataFrame, vectors: DataFrame, group: list[str], vector: str, name: str) -> DataFrame:
@@ -157,25 +173,25 @@ def _keep(hits, digits: int | None, other: bool, distinct: bool = False):
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        a, b = (t.filter(pc.greater(t["n"], 0.0)) for t in (a, b))
         if len(a) and len(b):
             b = b.take(pc.sort_indices(b["id"].combine_chunks().field(0)))
             left_side, right_side = Side(a), Side(b)
             ids = [t["id"].combine_chunks().field(0).to_numpy(zero_copy_only=False) for t in (a, b)] if other else []
-            for g, own in left_side.of.items():
-                if its := right_side.of.get(g):
-                    if distinct:
-                        first: dict[bytes, int] = {}
-                        for k in its:
-                            first.setdefault(right_side.v[k].tobytes(), k)
-                        its = [*first.values()]
-                    found = left_side.cosines(own, right_side, its)
-                    if digits is not None:
-                        found = np.round(found, digits)
-                    found[np.isnan(found)] = -2.0
-                    if other:
-                        found[ids[0][own][:, None] == ids[1][its]] = -2.0
-                    i, j = np.nonzero(hits(found))
-                    out.append((np.array(own)[i], np.array(its)[j], found[i, j]))
+            for own, its in _common(a, b):
+                if distinct:
+                    first: dict[bytes, int] = {}
+                    for k in its.tolist():
+                        first.setdefault(right_side.v[k].tobytes(), k)
+                    its = np.array([*first.values()])
+                found = left_side.cosines(own, right_side, its)
+                if digits is not None:
+                    found = np.round(found, digits)
+                found[np.isnan(found)] = -2.0
+                if other:
+                    found[ids[0][own][:, None] == ids[1][its]] = -2.0
+                i, j = np.nonzero(hits(found))
+                out.append((own[i], its[j], found[i, j]))
         i, j, cos = (np.concatenate(x) for x in zip(*out, strict=True))
         taken = {"g": (a if len(a) else b)["g"].take(i), "lid": a["id"].take(i), "rid": b["id"].take(j)}
         return pa.table({**{name: _nullable(column) for name, column in taken.items()}, "cos": cos})

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from groundloom.functions.vectors import measured
+from groundloom.functions.vectors import letter_counts, measured
 from groundloom.operators import near
 
 
@@ -95,3 +95,11 @@ def test_small_and_large_groups_rows_of_one_vector_and_no_vectors(spark):
         assert sorted((r.g, r.a, r.b) for r in pairs) == sorted(
             [("small", "a", f"n{k}") for k in (1, 2, 3)] + [("large", "a", f"n{k:02}") for k in range(20) if k % 3 == 0] + [("large", "c", f"n{k:02}") for k in range(20) if k % 3 == 2]
         )
+
+
+def test_a_vector_is_made_once(spark):
+    rows = spark.createDataFrame([("g", "ab"), ("g", ""), ("g", None)], "g string, v string").withColumn("vec_v", measured(letter_counts(F.col("v"))))
+    plan = near._vectors(rows, ["g"], ["v"], "vec_v", True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
+    refs = spark.createDataFrame([("g", "ba"), ("g", "-"), ("h", "ab")], "g string, w string").withColumn("vec_w", measured(letter_counts(F.col("w"))))
+    assert [tuple(r) for r in near.near_pairs(rows, refs, ["g"], ["v"], ["w"], "vec_v", "vec_w", -1.0).select("v", "w").collect()] == [("ab", "ba")]

@@ -21,6 +21,8 @@ from groundloom.sources.keyed_store import KeyedStore
 from groundloom.sources.staging import file_groups, new_path, staged
 
 MAX_ENTITIES, MIN_LETTERS, LINK = 12, 4, "co_occurs_with"
+#: Characters of a text that are looked through first.
+BEGINNING = 512
 #: What a row of a backend says of its call.
 USAGE = {"seconds": "double", "calls": "bigint", "prompt_tokens": "bigint", "completion_tokens": "bigint", "cost_usd": "double"}
 #: Bytes of written texts that a task which calls a backend reads, about, and rows of a file of them.
@@ -29,9 +31,20 @@ GRAPH = "entities array<string>, relations array<struct<s:string,r:string,o:stri
 
 
 def tokens(text: Column) -> Column:
-    """The first distinct words of a text, in order."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9]+"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(found, lambda t: F.length(t) >= MIN_LETTERS)), 1, MAX_ENTITIES)
+    """The first distinct words of a text, in order.
+
+    Mostly they stand in its beginning; the rest is read only where they don't.
+    """
+
+    def firsts(low: Column) -> Column:
+        found = F.regexp_extract_all(low, F.lit("[a-z][a-z0-9]+"), F.lit(0))
+        return F.slice(F.array_distinct(F.filter(found, lambda t: F.length(t) >= MIN_LETTERS)), 1, MAX_ENTITIES)
+
+    whole = F.coalesce(text, F.lit(""))
+    # The word at the cut may go on, so it is left out.
+    begun = F.regexp_replace(F.lower(F.substring(whole, 1, BEGINNING)), "[a-z0-9]+$", "")
+    tried = F.transform(F.array(firsts(begun)), lambda x: F.when(F.size(x) == MAX_ENTITIES, x).otherwise(firsts(F.lower(whole))))
+    return F.element_at(tried, 1)
 
 
 def links(entities: Column) -> Column:

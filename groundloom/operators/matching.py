@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundloom.config import MatchConfig
-from groundloom.functions.text import contains_words, normalize, word_runs
+from groundloom.functions.text import WORD, contains_words, normalize, word_runs
 from groundloom.functions.vectors import Embedder, measured, measured_cosine
 from groundloom.operators.near import near_pairs, nearest
 from groundloom.sources.staging import staged, staged_pair
@@ -21,13 +21,15 @@ BLOCK = 1024
 
 def union_entities(*graphs: DataFrame) -> DataFrame:
     """Distinct normalized entities (source_id, w) of graphs with source_id and entities."""
-    each = [g.select("source_id", F.explode("entities").alias("e")).select("source_id", normalize(F.col("e")).alias("w")) for g in graphs]
+    # A filter is pushed below a column, which is then made twice, but not below an outer generator.
+    each = [g.select("source_id", F.explode_outer(F.transform("entities", normalize)).alias("w")) for g in graphs]
     return _union(each).where(F.col("w") != "").distinct()
 
 
 def union_relations(*graphs: DataFrame) -> DataFrame:
     """Distinct normalized triples (source_id, s2, r2, o2); all three parts must be left."""
-    each = [g.select("source_id", F.explode("relations").alias("e")).select("source_id", *(normalize(F.col(f"e.{c}")).alias(f"{c}2") for c in "sro")) for g in graphs]
+    named = lambda e: F.struct(*(normalize(e[c]).alias(f"{c}2") for c in "sro"))
+    each = [g.select("source_id", F.explode_outer(F.transform("relations", named)).alias("e")).select("source_id", "e.*") for g in graphs]
     return _union(each).where((F.col("s2") != "") & (F.col("r2") != "") & (F.col("o2") != "")).distinct()
 
 
@@ -63,18 +65,15 @@ def substring_pairs(names: DataFrame, refs: DataFrame, config: MatchConfig) -> D
     equality by which the join finds its candidates. Names without any word are compared within the source.
     """
 
-    def side(df: DataFrame, c: str) -> DataFrame:
-        return df.select("source_id", c, word_runs(F.col(c)).alias("words"))
-
-    v, w = side(names, "v"), side(refs, "w")
-    firsts = [x.select("source_id", c, F.element_at("words", 1).alias("word")).where(F.size("words") > 0) for x, c in ((v, "v"), (w, "w"))]
-    all_words = [x.select("source_id", c, F.explode(F.array_distinct("words")).alias("word")) for x, c in ((v, "v"), (w, "w"))]
+    v, w = names.select("source_id", "v"), refs.select("source_id", "w")
+    firsts = [x.where(F.rlike(c, F.lit(WORD))).select("source_id", c, F.regexp_extract(c, WORD, 0).alias("word")) for x, c in ((v, "v"), (w, "w"))]
+    all_words = [x.select("source_id", c, F.explode_outer(F.array_distinct(word_runs(F.col(c)))).alias("word")).where("word IS NOT NULL") for x, c in ((v, "v"), (w, "w"))]
     by_word = firsts[0].join(all_words[1], ["source_id", "word"]).unionByName(all_words[0].join(firsts[1], ["source_id", "word"]))
-    pairs, bare = by_word.drop("word"), F.size("words") == 0
+    pairs, bare = by_word.drop("word"), [x.where(~F.rlike(c, F.lit(WORD))) for x, c in ((v, "v"), (w, "w"))]
     # Mostly there are none; then the other side is not dealt into blocks.
-    for few, sides in ((v.where(bare), (v.where(bare), w)), (w.where(bare), (v, w.where(bare)))):
+    for few, sides in ((bare[0], (bare[0], w)), (bare[1], (v, bare[1]))):
         if not few.isEmpty():
-            pairs = pairs.unionByName(in_blocks(*(x.drop("words") for x in sides), ["source_id"], ["v"], ["w"]))
+            pairs = pairs.unionByName(in_blocks(*sides, ["source_id"], ["v"], ["w"]))
     return pairs.where((F.col("v") != F.col("w")) & part_of(F.col("v"), F.col("w"), config)).distinct()
 
 

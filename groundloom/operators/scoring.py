@@ -16,7 +16,8 @@ ID = ["response_id", "source_id"]
 
 
 def _sizes(graph: DataFrame, key: str, mark: str) -> DataFrame:
-    return graph.select(key, F.size("entities").alias(f"V{mark}"), F.size("relations").alias(f"E{mark}"))
+    named = F.exists("entities", lambda e: normalize(e) != "")
+    return graph.select(key, F.size("entities").alias(f"V{mark}"), F.size("relations").alias(f"E{mark}"), named.alias(f"named_{mark}"))
 
 
 def score(answers: DataFrame, contexts: DataFrame, questions: DataFrame, config: MatchConfig, embed: Embedder | None = None) -> DataFrame:
@@ -47,10 +48,9 @@ def score(answers: DataFrame, contexts: DataFrame, questions: DataFrame, config:
         _listed(F.when(yes, F.struct("e", *"sro")), "sro").alias("supported_relations"),
         _listed(F.when(~yes, F.struct("e", *"sro")), "sro").alias("unsupported_relations"),
     )
-    some_ref = refs.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_refs"))
     out = answers.select(*ID, F.size("entities").alias("Va"), F.size("relations").alias("Ea"))
     out = out.join(_sizes(contexts, "source_id", "c"), "source_id").join(_sizes(questions, "source_id", "q"), "source_id", "left")
-    out = out.join(per_name, ID, "left").join(per_edge, ID, "left").join(some_ref, "source_id", "left")
+    out = out.join(per_name, ID, "left").join(per_edge, ID, "left")
     return out.select(
         *ID,
         *(F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("Vc", "Ec", "Vq", "Eq", "Va", "Ea")),
@@ -59,7 +59,7 @@ def score(answers: DataFrame, contexts: DataFrame, questions: DataFrame, config:
         (F.col("Ea") > 0).alias("RP_defined"),
         *(F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in _LISTS.items()),
         (F.col("Va") == 0).alias("unscorable"),
-        (F.coalesce("n_refs", F.lit(0)) == 0).alias("ref_empty"),
+        (~(F.coalesce("named_c", F.lit(False)) | F.coalesce("named_q", F.lit(False)))).alias("ref_empty"),
     )
 
 

@@ -88,3 +88,12 @@ def test_only_predicates_of_triples_that_met_are_compared(spark, monkeypatch):
     found = matching.align_relations(triples, refs, ends, MatchConfig(), letter_counts).collect()
     assert [(r.source_id, r.r2, r.method) for r in found] == [("1", "capitals of", "forward")]
     assert sorted((r.r, r.r2) for r in met["predicate-pairs"].collect()) == [("capital of", "capitals of"), ("capital of", "zz")]
+
+
+def test_a_name_is_normalized_once(spark):
+    names = matching.union_entities(graph(spark, ["Paris", "..", "The  Cat"], [("a", "b", "..")]))
+    triples = matching.union_relations(graph(spark, ["Paris"], [("a", "b", ".."), ("Paris", "is", "It")]))
+    assert sorted(r.w for r in names.collect()) == ["cat", "paris"] and [(r.s2, r.r2, r.o2) for r in triples.collect()] == [("paris", "is", "it")]
+    for df in (names, triples):
+        filters = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+        assert filters and not any("regexp_replace" in line for line in filters)

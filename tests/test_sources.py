@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from groundloom.config import load_config
 from groundloom.sources.construct import business_text
@@ -44,3 +45,16 @@ def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("[1]")
     with pytest.raises(ValueError):
         load_config(str(tmp_path / "c.yaml"))
+
+
+def test_the_first_words_of_long_texts(spark):
+    """Those of the whole text, wherever the beginning that is looked through first ends."""
+    import re
+
+    from groundloom.operators import extract
+
+    words = [f"word{chr(97 + k)}" for k in range(14)]
+    texts = [" " * n + " ".join(words) for n in range(380, 520, 7)] + ["ab " * 300 + " ".join(words), "same " * 400 + "other", " ".join(words[:11]) + " " * 440 + "x" * 90, "É" * 505 + "wordabcdefgh " + " ".join(words), ""]
+    firsts = lambda t: list(dict.fromkeys(w for w in re.findall("[a-z][a-z0-9]+", t.lower()) if len(w) >= 4))[:12]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", extract.tokens(F.col("t")).alias("e")).collect()
+    assert all(r.e == firsts(r.t) for r in rows)
